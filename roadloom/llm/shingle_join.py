@@ -24,7 +24,8 @@ from roadloom.operators.components import connected_components
 CELLS = 1 << 19
 SLOT = 4096
 LIGHT_MAX = 24
-BLOOM_BITS = 1 << 24
+FIELD_BITS = 1 << 24
+TOKEN_BITS = 1 << 24
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -102,8 +103,8 @@ def count_sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, key: str, text: str, size: int, pct: int, sketch: np.ndarray) -> DataFrame:
-    """(key, sid, n, score, scan, prefix, small): sid names the set (null if empty); prefix holds its rarest shingles in
-    the global order (sketch level, hash); score says how common its shingles are, scan how long its lists; small holds
+    """(key, sid, n, score, scan, prefix, small, last_level): sid names the set (null if empty); prefix holds its rarest shingles in
+    the global order (sketch level, hash), last_level the level of its last one; score says how common its shingles are, scan how long its lists; small holds
     all shingles of sets up to LIGHT_MAX."""
     level = np.log2(np.maximum(sketch, 1)).astype(np.uint8)
     spare = np.maximum(sketch - sketch.mean(), 1).astype(np.float32)
@@ -119,19 +120,19 @@ def describe_sets(docs: DataFrame, key: str, text: str, size: int, pct: int, ske
                 s = sh(t)
                 n = len(s)
                 if not n:
-                    rows.append((k, None, 0, 0.0, 0.0, None, None))
+                    rows.append((k, None, 0, 0.0, 0.0, None, None, 0))
                     continue
                 cell = (s & np.uint64(CELLS - 1)).astype(np.int64)
                 lv = level[cell]
                 p = prefix_length(n, pct)
                 order = np.argsort(lv, kind="stable")[:p]  # s is sorted: ties by hash
                 sid = int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64))
-                rows.append((k, sid, n, float(lv.mean()), float(spare[cell[order]].sum()), s[order].astype(np.int64), s.astype(np.int64) if n <= LIGHT_MAX else None))
-            out = pd.DataFrame(rows, columns=["key", "sid", "n", "score", "scan", "prefix", "small"])
+                rows.append((k, sid, n, float(lv.mean()), float(spare[cell[order]].sum()), s[order].astype(np.int64), s.astype(np.int64) if n <= LIGHT_MAX else None, int(lv[order[-1]])))
+            out = pd.DataFrame(rows, columns=["key", "sid", "n", "score", "scan", "prefix", "small", "last_level"])
             out["sid"], out["key"] = out["sid"].astype("Int64"), out["key"].astype(b["k"].dtype if b["k"].notna().all() else object)
             yield out
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"key {kind}, sid long, n int, score double, scan double, prefix array<long>, small array<long>")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"key {kind}, sid long, n int, score double, scan double, prefix array<long>, small array<long>, last_level int")
 
 
 def subsets_of(n: int, m: int, pct: int) -> int:
@@ -141,13 +142,13 @@ def subsets_of(n: int, m: int, pct: int) -> int:
 
 
 def choose_boundary(sizes: dict[int, tuple[int, float]], pct: int, limit: int = LIGHT_MAX) -> int:
-    """The boundary x (sets below x are light) of least cost: subsets emitted by light sets against list entries scanned
-    for the others. sizes: n -> (number of sets, length of all their lists)."""
+    """The boundary x (sets below x are light) of least cost: subsets emitted by light sets against list entries sent
+    and scanned for the others. sizes: n -> (number of sets, length of all their lists)."""
     def cost(x):
         light = sum(c * sum(subsets_of(n, m, pct) for m in range(1, x)) for n, (c, _) in sizes.items() if n < x)
-        return light + sum(s for n, (_, s) in sizes.items() if n >= -(-pct * x // 100))
+        return light + sum(c * prefix_length(n, pct) + s for n, (c, s) in sizes.items() if n >= -(-pct * x // 100))
 
-    return min(range(1, limit + 2), key=lambda x: (cost(x), x))
+    return min(range(1, limit + 2), key=lambda x: (cost(x), -x))
 
 
 def light_links(sets: DataFrame, boundary: int, pct: int) -> DataFrame:
@@ -177,32 +178,95 @@ def light_links(sets: DataFrame, boundary: int, pct: int) -> DataFrame:
     return got.join(hubs, keys).where("sid <> hub").select(F.col("sid").alias("src"), F.col("hub").alias("dst")).distinct()
 
 
+def bit_field(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Field of `bits` bits with those of the column's values set; its size doesn't depend on the input. See in_field."""
+    return _field(values.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("p")), bits)
+
+
+def _field(at: DataFrame, bits: int) -> np.ndarray:
+    rows = at.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
+    field = np.zeros(bits // 64, np.uint64)
+    field[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint64)
+    return field
+
+
+def in_field(field: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return ((field[p // 64] >> (p % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def shared_entries(reps: DataFrame, least: int, bits: int = TOKEN_BITS) -> DataFrame:
+    """Inverted-list entries (token, sid, n, score, pos) of the sets of `least` shingles or more, without the tokens that
+    one set alone has in its prefix.
+
+    Most tokens are such, so tokens are counted first; a bit field of fixed size then drops most lone entries before the
+    lists are dealt out. Entries that it lets pass wrongly fall out in the join with the lists' heads.
+    """
+    heavy = reps.where(F.col("n") >= least)
+    counted = heavy.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
+    field = _field(counted.select(F.pmod("token", F.lit(bits)).alias("p")), bits)
+
+    def keep(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            lens = b["prefix"].map(len).to_numpy()
+            token = np.concatenate(b["prefix"].to_list())
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens)
+            row = np.repeat(np.arange(len(b)), lens)
+            ok = in_field(field, (token % bits + bits) % bits)
+            row = row[ok]
+            yield pd.DataFrame({"token": token[ok], "sid": b["sid"].to_numpy()[row], "n": b["n"].to_numpy()[row], "score": b["score"].to_numpy()[row], "pos": pos[ok]})
+
+    return heavy.select("sid", "n", "score", "prefix").mapInPandas(keep, "token long, sid long, n int, score double, pos int")
+
+
+def picked(rows: DataFrame, column: str, wanted: DataFrame, schema: str) -> DataFrame:
+    """rows (columns as in schema) whose column may be among wanted's: a bit field test ahead of a shuffled join."""
+    field = bit_field(wanted, column, FIELD_BITS)
+
+    def keep(batches):
+        for b in batches:
+            yield b[in_field(field, b["p"].to_numpy(np.int64))].drop(columns="p")
+
+    return rows.withColumn("p", F.pmod(F.xxhash64(column), F.lit(FIELD_BITS))).mapInPandas(keep, schema)
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes have enough in common. Beyond the prefix that ends first in the global order nothing
+    of it can be in the other prefix, so the intersection is at most the common prefix plus what is left of that set."""
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    few = picked(reps.select("sid", "n", "prefix", "last_level"), "sid", ends, "sid long, n int, prefix array<long>, last_level int")
+    side = lambda x: few.select(*[F.col(c).alias(f"{c}_{x}") for c in few.columns]).withColumnRenamed(f"sid_{x}", x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Tokens are ordered as unsigned numbers within a level.
+    last = lambda x: f"struct(last_level_{x}, element_at(prefix_{x}, -1) ^ -9223372036854775808L)"
+    rest = f"case when {last('a')} <= {last('b')} then n_a - size(prefix_a) else n_b - size(prefix_b) end"
+    return both.where(F.expr(f"({100 + pct}) * (size(array_intersect(prefix_a, prefix_b)) + {rest}) >= {pct} * (n_a + n_b)")).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, pct: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link, by their exact intersection.
+    """The pairs (a, b) of set ids whose sets link: those with plausible prefixes, by their exact intersection.
 
     Sets are made again from the texts of those documents that stand for a set in a pair. A bit field of fixed size picks
     them out of all documents before anything is shuffled; where it is full it lets more pass, which the join drops.
     """
+    pairs = materialize(plausible(pairs, reps, pct), "join-pairs")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(reps.select("sid", "rep"), "sid")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS))
-    words = need.select(bit("rep").alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
-    field = np.zeros(BLOOM_BITS // 64, np.uint64)
-    field[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
+    field = bit_field(need, "rep", FIELD_BITS)
 
     def tokens(batches):
         from xxhash import xxh3_64_intdigest
 
         sh = Shingler(size)
         for b in batches:
-            p = b["p"].to_numpy(np.int64)
-            b = b[((field[p // 64] >> (p % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)]
+            b = b[in_field(field, b["p"].to_numpy(np.int64))]
             for i in range(0, len(b), 256):
                 sets = [sh(t) for t in b["t"].iloc[i : i + 256]]
                 sets = [s for s in sets if len(s)]
                 yield pd.DataFrame({"sid": [int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64)) for s in sets], "tokens": [s.astype(np.int64) for s in sets]})
 
-    made = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t"), bit(key).alias("p")).mapInPandas(tokens, "sid long, tokens array<long>")
-    made = materialize(made.join(need.select("sid"), "sid", "left_semi"), "join-sets")
+    made = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t"), F.pmod(F.xxhash64(key), F.lit(FIELD_BITS)).alias("p")).mapInPandas(tokens, "sid long, tokens array<long>")
+    made = materialize(made, "join-sets")
     one = pairs.join(made.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = one.join(made.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
     i, u = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
@@ -221,13 +285,13 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     need = lambda n, m: f"cast(ceil({pct} * ({n} + {m}) / {100.0 + pct} - 1e-9) as int)"
     sketch = count_sketch(docs, text, size)
     rows = materialize(describe_sets(docs, key, text, size, pct, sketch), "join-docs")
-    reps = rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "score", "scan", "prefix", "small")])
+    reps = rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "score", "scan", "prefix", "small", "last_level")])
     reps = materialize(reps, "join-reps")
     sizes = {r["n"]: (r["c"], r["s"]) for r in reps.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("c"), F.sum("scan").alias("s")).collect()}
     boundary = choose_boundary(sizes, pct)
     light = materialize(light_links(reps, boundary, pct), "join-light")
 
-    entries = reps.where(F.col("n") >= -(-pct * boundary // 100)).select("sid", "n", "score", F.posexplode("prefix").alias("pos", "token"))
+    entries = shared_entries(reps, -(-pct * boundary // 100))
     hubs = entries.groupBy("token").agg(F.max(F.struct("score", "sid", "n", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
     lists = materialize(entries.join(hubs, "token").select("token", "sid", "n", "pos", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos")), "join-lists")
 
