@@ -40,19 +40,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     result. Each round is a table in the shared scratch folder, so a lost executor costs one round at most.
     """
     spark = edges.sparkSession
-    cur = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).where("u <> v").distinct()
-    old_path, old_sum = None, None
-    for _ in range(max_rounds):
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch_path(spark, "cc")
-        (cur if old_sum is None else _star(_star(cur, True), False)).write.parquet(path)
-        nxt = spark.read.schema(cur.schema).parquet(path)
-        row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if old_path is not None:
-            drop_scratch(spark, old_path)
-        cur, old_path = nxt, path
-        if old_sum == (row["n"], row["h"]) or row["n"] == 0:
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path), path
+
+    first = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).where("u <> v").distinct()
+    schema = first.schema
+    cur, path = stored(first)
+    seen = None
+    for _ in range(max_rounds):
+        row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if row["n"] == 0 or seen == (row["n"], row["h"]):
             break
-        old_sum = (row["n"], row["h"])
+        seen = (row["n"], row["h"])
+        # Each step is stored, so that no plan holds more than one step.
+        half, half_path = stored(_star(cur, True))
+        nxt, nxt_path = stored(_star(half, False))
+        for old in (path, half_path):
+            drop_scratch(spark, old)
+        cur, path = nxt, nxt_path
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
