@@ -27,26 +27,70 @@ class CachedEncoder:
     """Token ids of whole texts, by runs between spaces and newlines.
 
     The tokenizer drops white space and never joins what stands on both sides of it (NFC, lower case and the splitter
-    don't look across it either), so a text's ids are those of its runs in order. Runs repeat, hence the cache; it is
-    emptied when it holds `limit` runs.
+    don't look across it either), so a text's ids are those of its runs in order. A run of ASCII letters with ASCII
+    punctuation behind it splits once more: its lower-cased letters and its punctuation are separate words to the
+    splitter (an apostrophe may join, such runs stay whole). Runs and words repeat, hence the caches; each is emptied
+    when it holds `limit` entries.
     """
 
-    def __init__(self, file: str, limit: int = 400_000):
+    TAIL = ".,!?;:"
+
+    def __init__(self, file: str, limit: int = 600_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of its own cost more than they give
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.ids = Tokenizer.from_file(file), limit, {}
+        self.tok, self.limit, self.runs, self.words = Tokenizer.from_file(file), limit, {}, {}
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def shared(cls, file: str) -> "CachedEncoder":
+        """One encoder per worker process and file, so that later tasks of the process find it warm."""
+        import sys
+
+        held = sys.__dict__.setdefault("_roadloom_encoders", {})
+        if file not in held:
+            held[file] = cls(file)
+        return held[file]
+
+    def learn(self, runs: set[str]) -> None:
+        if len(self.runs) + len(runs) > self.limit:
+            self.runs.clear()
+        if len(self.words) > self.limit:
+            self.words.clear()
+        parts, words = [], self.words
+        for r in runs:
+            head = r.rstrip(self.TAIL)
+            parts.append((r, head.lower(), r[len(head):]) if head.isascii() and head.isalpha() else (r, r, ""))
+        new = [w for w in {w for p in parts for w in p[1:]} if w not in words]
+        # Words of letters alone are one word to the splitter too: encoded together, they part at the word ends.
+        plain = [w for w in new if w.isalpha()]
+        ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(plain):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(plain, (cuts * 4).tolist()):
+                words[w] = raw[at:end]
+                at = end
+            new = [w for w in new if not w.isalpha()]
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            words[w] = np.array(e.ids, np.uint32).tobytes()
+        for r, a, b in parts:
+            self.runs[r] = words[a] + words[b]
 
     def __call__(self, text: str) -> np.ndarray:
         runs = text.replace("\n", " ").split(" ")
-        known = self.ids
-        new = [r for r in set(runs) if r not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(runs))
-            for r, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[r] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, runs)), np.uint32)
+        known = self.runs
+        try:
+            got = b"".join(map(known.__getitem__, runs))
+        except KeyError:
+            self.learn({r for r in runs if r not in known})
+            if not all(map(known.__contains__, runs)):  # the cache was emptied on the way
+                self.learn(set(runs))
+            got = b"".join(map(known.__getitem__, runs))
+        return np.frombuffer(got, np.uint32)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -59,7 +103,7 @@ def cut_pieces(docs: DataFrame, file: str, key: str = "doc_id", text: str = "tex
     """One row per piece: key, piece, start, length, ids_crc32. A null text is empty and has the end id alone."""
 
     def encode(batches):
-        enc = CachedEncoder(file)
+        enc = CachedEncoder.shared(file)
         for b in batches:
             rows = []
             for k, t in zip(b[key], b[text]):
