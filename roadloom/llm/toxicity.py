@@ -58,15 +58,15 @@ class FM:
         return out
 
 
-def fit_fm(rows: list[set[int]], labels: np.ndarray, factors: int = 8, max_terms: int = 1024, epochs: int = 30, l2: float = 1e-3, rate: float = 0.2, seed: int = 5, min_docs: int = 8) -> FM:
-    """Adagrad on logistic loss. Terms kept: those in min_docs rows at least, half of max_terms by how far their rate of
+def fit_fm(rows: list, labels: np.ndarray, factors: int = 8, max_terms: int = 1024, epochs: int = 30, l2: float = 1e-3, rate: float = 0.2, seed: int = 5, min_docs: int = 8) -> FM:
+    """Adagrad on logistic loss over rows of distinct hashed terms. Terms kept: those in min_docs rows at least, half of max_terms by how far their rate of
     positives lies from the mean (in standard errors), the other half by document frequency, so that pairs can form."""
     y = np.asarray(labels, np.float64)
     if not len(rows) or y.min() == y.max():
         mean = float(np.clip(y.mean() if len(y) else 0.0, 0.001, 0.999))
         return FM(np.zeros(0, np.int64), float(np.log(mean / (1 - mean))), np.zeros(0), np.zeros((0, factors)))
-    flat = np.concatenate([np.fromiter(r, np.int64, len(r)) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate([np.fromiter(r, np.int32, len(r)) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     ids, inv = np.unique(flat, return_inverse=True)
     df = np.bincount(inv, minlength=len(ids))
     pos = np.bincount(inv, weights=y[doc], minlength=len(ids))
@@ -114,7 +114,7 @@ def fit_fm(rows: list[set[int]], labels: np.ndarray, factors: int = 8, max_terms
     return FM(ids[keep], w0, w, v)
 
 
-def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000):
+def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000):
     """(rows of hashed terms, labels) of at most about max_rows labelled documents, drawn by a hash of the key.
 
     Null labels, keys and texts are not learned from; a key labelled twice counts as its larger label. The labels' sample
@@ -131,9 +131,8 @@ def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype("int32"), "terms": [np.array(sorted(h(t)), np.int32).tobytes() for t in b["_t"]]})
 
-    got = joined.mapInPandas(terms, "y int, terms binary").collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["terms"])))
-    return [set(np.frombuffer(r["terms"], np.int32).tolist()) for r in got], np.array([r["y"] for r in got])
+    got = joined.mapInPandas(terms, "y int, terms binary").toPandas().sort_values(["y", "terms"])
+    return [np.frombuffer(t, np.int32) for t in got["terms"]], got["y"].to_numpy()
 
 
 def score_toxicity(docs: DataFrame, model: FM, text: str = "text") -> DataFrame:
