@@ -120,7 +120,7 @@ def road_in(c) -> Column:
 
 def split_ids(c) -> Column:
     """Distinct non-empty ids of a list separated by ; , or |, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(display_text(c), "[;,|]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(display_text(c), "[;,|]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def preview(values: Column, most: int = 6) -> Column:
