@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from roadloom.functions.names import name_parts, type_family
 from roadloom.functions.text import chainage_km, clean_text, display_text, normal_text, object_key, positive_number, project_key, road_in
@@ -103,7 +104,7 @@ def moved_objects(diffs: DataFrame) -> DataFrame:
     return a.join(m, "object_key").where("missing <> candidate").groupBy("missing", "candidate").agg(F.count("*").alias("objects"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """8 for names with a sequence matcher ratio from 0.92, 4 from 0.85, else 0. Called on pairs that survived the road join."""
     from difflib import SequenceMatcher
