@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from roadloom.functions.names import name_parts, type_family
+from roadloom.functions.shared import materialize
 from roadloom.functions.text import chainage_km, clean_text, display_text, normal_text, object_key, positive_number, project_key, road_in
 
 
@@ -196,3 +197,34 @@ def quantities(df: DataFrame, value: str, amount: str) -> DataFrame:
     """Objects and amount per attribute value, over the whole network and per road (grouping sets); '' is unknown."""
     d = df.withColumn("value", display_text(value)).withColumn("_n", positive_number(amount))
     return d.groupingSets([["value", "road"], ["value"]], "value", "road").agg(F.count("*").alias("objects"), F.sum("_n").alias("amount")).withColumn("road", F.coalesce("road", F.lit("*")))
+
+
+def mutation_suggestions(compared: DataFrame, diffs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(project_key, object_key, suggestion, proposed): what to check by hand in either export; nothing is written back.
+
+    Projects missing on one side give one row, with the best replacement from candidates (missing, candidate, score) where there
+    is one; each object difference of a project whose status isn't complete gives one row. object_key is empty in project rows.
+    """
+    # Stored, as both halves need it: a row per project.
+    open_ = materialize(compared.where("status <> 'OK_COMPLETE'").select("project_key", "status"), "open-projects")
+    a = open_.where("status in ('MISSING_IN_MAINTENANCE', 'NO_ASSET_OBJECTS')")
+    if candidates is None:
+        a = a.withColumn("_best", F.lit(None).cast("string"))
+    else:
+        top = candidates.groupBy("missing").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("_best"))
+        a = a.join(top.withColumnRenamed("missing", "project_key"), "project_key", "left")
+    gone = F.col("status") == "MISSING_IN_MAINTENANCE"
+    rename = F.when(~gone, "CHECK_PROJECT_WITHOUT_OBJECTS").when(F.col("_best").isNotNull(), "CHECK_PROJECT_NAME").otherwise("CREATE_PROJECT_OR_CHECK_EXPORT")
+    a = a.select("project_key", F.lit("").alias("object_key"), rename.alias("suggestion"), F.when(gone, F.coalesce("_best", "project_key")).otherwise("").alias("proposed"))
+    kind = F.when(F.col("difference") == "only_in_asset", "CHECK_LINK_IN_MAINTENANCE").when(F.col("difference") == "only_in_maintenance", "CHECK_LINK_IN_ASSET").when(F.col("difference") == "suspicious_road", "CHECK_ROAD").otherwise("CHECK_CHAINAGE")
+    c = diffs.join(open_.select("project_key"), "project_key", "left_semi").select("project_key", "object_key", kind.alias("suggestion"), F.lit("").alias("proposed"))
+    return a.unionByName(c)
+
+
+def project_objects(asset: DataFrame, maint: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(project_key, object_key, asset_rows, maint_rows, differences): the objects of every project on both sides."""
+    a = asset.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key")).where("project_key <> ''").groupBy("project_key", "object_key").agg(F.count("*").alias("asset_rows"))
+    m = maint.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key")).where("project_key <> ''").groupBy("project_key", "object_key").agg(F.count("*").alias("maint_rows"))
+    d = diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences"))
+    j = a.join(m, ["project_key", "object_key"], "full_outer").join(d, ["project_key", "object_key"], "left")
+    return j.select("project_key", "object_key", F.coalesce("asset_rows", F.lit(0)).alias("asset_rows"), F.coalesce("maint_rows", F.lit(0)).alias("maint_rows"), F.coalesce("differences", F.lit("")).alias("differences"))
