@@ -80,8 +80,8 @@ def write_warc(planned: DataFrame, path: str, key: str = "page_id", uri: str = "
 
         fs, root = _fs(path)
         out, tmp, n, size = None, None, 0, 0
-        for b in batches:
-            for k, u, p, t in zip(*(c.to_pylist() for c in b.columns)):
+        for part in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # few payloads at a time as Python texts
+            for k, u, p, t in zip(*(c.to_pylist() for c in part.columns)):
                 if out is None:
                     name = uuid.uuid4().hex
                     tmp, final = f"{root}/_tmp-{name}", f"{root}/part-{name}.warc.gz"
@@ -116,48 +116,62 @@ def parse_record(raw: bytes, file: str, offset: int):
             (h.get("warc-payload-digest") or "").rpartition(":")[2], length, body, file, offset)
 
 
+class _Window:
+    """Bytes of a file from `base` on, read once and in order, `chunk` at a time."""
+
+    def __init__(self, read_at, size: int, base: int, chunk: int):
+        self.read_at, self.size, self.base, self.chunk, self.buf = read_at, size, base, chunk, bytearray()
+
+    def more(self) -> bool:
+        at = self.base + len(self.buf)
+        if at >= self.size:
+            return False
+        self.buf += self.read_at(at, min(self.chunk, self.size - at))
+        return True
+
+    def drop_before(self, pos: int) -> None:
+        if pos - self.base >= self.chunk:
+            del self.buf[: pos - self.base]
+            self.base = pos
+
+
 def owned_records(read_at, size: int, start: int, end: int, file: str = "", chunk: int = CHUNK):
-    """Records of a file whose first byte lies in [start, end). read_at(offset, n) gives bytes."""
-    pos = start
+    """Records of a file whose first byte lies in [start, end). read_at(offset, n) gives bytes; each byte is read once."""
+    win, pos = _Window(read_at, size, start, chunk), start
     while pos < min(end, size):
-        buf = read_at(pos, min(chunk, size - pos))
-        at = buf.find(MAGIC)
+        win.drop_before(pos)
+        at = win.buf.find(MAGIC, pos - win.base)
         if at < 0:
-            pos += max(1, len(buf) - len(MAGIC) + 1)
+            pos = max(pos, win.base + len(win.buf) - len(MAGIC) + 1)
+            if not win.more():
+                return
             continue
-        if pos + at >= end:
+        pos = win.base + at
+        if pos >= end:
             return
-        if len(buf) - at < min(64, size - pos - at):  # the candidate's header must lie in the buffer
-            pos += at
-            continue
-        raw, used = _member(read_at, size, pos + at, buf[at:], chunk)
-        rec = parse_record(raw, file, pos + at) if raw is not None else None
-        if rec is None:
-            pos += at + 1
-        else:
+        raw, used = _member(win, at)
+        rec = parse_record(raw, file, pos) if raw is not None else None
+        if rec is not None:
             yield rec
-            pos += at + used
+        pos += 1 if rec is None else used
 
 
-def _member(read_at, size, at, buf, chunk):
-    """(decoded bytes, compressed length) of the gzip member at `at`, or (None, 0); gives up as soon as no WARC header comes."""
-    z, out, used, checked = zlib.decompressobj(31), [], 0, False
-    nxt = at + len(buf)
+def _member(win: _Window, at: int, step: int = 1 << 14):
+    """(decoded bytes, compressed length) of the gzip member at `at` of the window, or (None, 0); gives up as soon as no WARC
+    header comes."""
+    z, out, nxt, head = zlib.decompressobj(31), [], at, b""
     try:
-        while True:
-            got = z.decompress(buf)
-            used += len(buf)
-            out.append(got)
-            if not checked and (head := b"".join(out)[:5]) and len(head) == 5:
-                if head != b"WARC/":
-                    return None, 0
-                checked = True
-            if z.eof:
-                return b"".join(out), used - len(z.unused_data)
-            if nxt >= size:
+        while not z.eof:
+            if nxt == len(win.buf) and not win.more():
                 return None, 0
-            buf = read_at(nxt, min(chunk, size - nxt))
-            nxt += len(buf)
+            piece = bytes(win.buf[nxt : nxt + step])
+            nxt += len(piece)
+            out.append(z.decompress(piece))
+            if len(head) < 5:
+                head = (head + out[-1][:5])[:5]
+                if not b"WARC/".startswith(head):
+                    return None, 0
+        return b"".join(out), nxt - len(z.unused_data) - at
     except zlib.error:
         return None, 0
 
