@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Base rules are fixed. The method adds cutoffs on further measures: a cutoff may be used in a stratum only if an exact
-binomial bound on labelled holdout documents shows, corrected for all cutoffs tried, that it rejects at most a share
-alpha of good documents.
+Base rules are fixed. The method adds cutoffs on further measures: one joint rule of a cutoff per measure may be used in a
+stratum only if an exact binomial bound on labelled holdout documents shows that it rejects at most a share alpha of good
+documents. Rules are tested from loosest to strictest up to the first failure, which needs no correction for their number.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ MEASURES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "odd_word_length": "abs(ln(greatest(word_chars, 1) / greatest(n_words, 1) / 5.0))",
 }
+#: Rules from loosest to strictest: shares of the way from good documents' largest value to that of all, then quantiles of good ones.
+LOOSE = [0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625]
+QUANTILES = [0.9995, 0.999, 0.998, 0.995, 0.99]
 
 
 def repeat_words(words: str, window: int = WINDOW) -> Column:
@@ -71,26 +74,46 @@ def binomial_tail(k: str, n: str, alpha: float) -> Column:
     return F.expr(f"case when {k} >= {n} * {alpha!r}D then 1D when {k} = 0 then exp({n} * ln({1 - alpha!r}D)) else {sum_up} end")
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", label: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(stratum, one cutoff per measure): the smallest cutoff proven safe, null where none is.
+def prove_rules(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", label: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """(stratum, rules, passed, n, rejected, p, one cutoff per measure): how far each stratum's joint rules were proven safe.
 
-    Good documents (label 1) are split by a hash of the key: one half proposes cutoffs (quantiles), the other tests them.
-    Each measure may reject a share alpha / (number of measures) of good documents; a cutoff passes if the exact binomial
-    probability of as few rejections as seen, at that share, is at most delta over the number of all tests in all strata.
-    With probability 1 - delta all chosen cutoffs keep within alpha per stratum. Keys labelled twice count once, by
-    their smaller label; null labels and keys don't count.
+    Documents are split by a hash of the key. One half proposes rules, nested from loose to strict: cutoffs between the largest
+    value of all documents and of good ones (label 1), then quantiles of the good ones; values above are rejected. The good
+    ones of the other half test them in this order, each at delta over the number of strata, and the first failure ends it,
+    so with probability 1 - delta no stratum's rule rejects more than alpha of its good documents. n, rejected and p are of
+    the strictest rule passed, or of the first one where none passes; cutoffs are null there. Keys labelled twice count
+    once, by their smaller label; null labels, keys and strata don't count.
     """
-    each = alpha / len(MEASURES)
+    names = list(MEASURES)
+    half = F.crc32(F.concat_ws("/", F.lit("half"), F.col(key).cast("string")).cast("binary")) % 2
     lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_y")).where("_y = 1").select(key)
-    good = measured.join(lab, key, "left_semi").select(stratum, (F.crc32(F.concat_ws("/", F.lit("half"), F.col(key).cast("string")).cast("binary")) % 2).alias("half"), F.expr("stack(" + str(len(MEASURES)) + ", " + ", ".join(f"'{m}', {m}" for m in MEASURES) + ") as (measure, value)"))
-    qs = [0.99, 0.995, 0.998, 0.999, 0.9995, 1.0]
-    grid = good.where("half = 0").groupBy(stratum, "measure").agg(F.array_distinct(F.percentile_approx("value", qs, 10000)).alias("c")).select(stratum, "measure", F.explode("c").alias("cutoff"))
-    grid = materialize(grid, "quality-grid")
-    tests = grid.count()
-    seen = good.where("half = 1").groupBy(stratum, "measure", "value").agg(F.count("*").alias("m"))
-    risk = seen.join(grid, [stratum, "measure"]).groupBy(stratum, "measure", "cutoff").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("m")).otherwise(0)).alias("k"))
-    ok = risk.withColumn("p", binomial_tail("k", "n", each)).where(F.col("p") <= delta / max(tests, 1))
-    return ok.groupBy(stratum).agg(*[F.min(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in MEASURES])
+    known = measured.where(F.col(stratum).isNotNull()).select(key, stratum, *names, half.alias("half"))
+    good = materialize(known.join(lab, key, "left_semi"), "quality-good")
+    widest = known.where("half = 0").groupBy(stratum).agg(*[F.max(m).alias(f"top_{m}") for m in names])
+    own = good.where("half = 0").groupBy(stratum).agg(*[F.percentile_approx(m, [1.0, *QUANTILES], 10000).alias(f"own_{m}") for m in names])
+    cut = lambda m: F.concat(*[F.array(F.col(f"own_{m}")[0] + f * (F.col(f"top_{m}") - F.col(f"own_{m}")[0])) for f in LOOSE], F.col(f"own_{m}"))
+    grid = materialize(own.join(widest, stratum).select(stratum, *[cut(m).alias(f"c_{m}") for m in names]), "quality-grid")
+    strata = grid.count()
+    rules = len(LOOSE) + 1 + len(QUANTILES)
+    # Rules are nested, so the first one that rejects a document tells all that do.
+    first = F.array_min(F.array(*[F.coalesce(F.array_min(F.expr(f"transform(c_{m}, (c, i) -> if({m} > c, i, null))")), F.lit(rules)) for m in names]))
+    seen = good.where("half = 1").join(grid, stratum).groupBy(stratum, first.alias("first")).agg(F.count("*").alias("m"))
+    seen = seen.groupBy(stratum).agg(F.sum("m").alias("n"), F.collect_list(F.struct("first", "m")).alias("firsts"))
+    each = seen.select(stratum, "n", F.explode(F.expr(f"transform(sequence(0, {rules - 1}), r -> struct(r as rule, aggregate(firsts, 0L, (a, x) -> a + if(x.first <= r, x.m, 0L)) as k))")).alias("t")).select(stratum, "n", "t.rule", F.col("t.k").alias("k"))
+    each = each.withColumn("p", binomial_tail("k", "n", alpha))
+    # The count rejected grows with the rule, and p with it: those that pass come before the first failure.
+    ok = F.col("p") <= delta / max(strata, 1)
+    got = each.groupBy(stratum).agg(F.first("n").alias("n"), F.count_if(ok).alias("passed"), F.array_sort(F.collect_list(F.struct("rule", "k", "p"))).alias("ts"))
+    at = F.get("ts", F.greatest(F.col("passed") - 1, F.lit(0)).cast("int"))
+    out = grid.join(got, stratum, "left").withColumns({"passed": F.coalesce("passed", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    return out.select(stratum, F.lit(rules).alias("rules"), "passed", "n", at["k"].alias("rejected"), at["p"].alias("p"), *[F.when(F.col("passed") > 0, F.get(f"c_{m}", (F.col("passed") - 1).cast("int"))).alias(f"cut_{m}") for m in names])
+
+
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", label: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """(stratum, one cutoff per measure) of the strictest joint rule proven safe; strata without one are left out.
+
+    A stratum needs ln(delta / strata) / ln(1 - alpha) good test documents at least, those of the test half; see prove_rules."""
+    return prove_rules(measured, labels, key, stratum, label, alpha, delta).where("passed > 0").select(stratum, *[f"cut_{m}" for m in MEASURES])
 
 
 def judge_quality(measured: DataFrame, cutoffs: DataFrame, stratum: str = "stratum", broadcast_rows: int = 100_000) -> DataFrame:

@@ -166,6 +166,16 @@ def test_quality_bounds(spark):
     assert [(r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) for r in m] == [(0, 0, 0), (18, 16, 0), (3, 0, 1)]
 
 
+def test_quality_cutoffs_pass_where_labels_are_enough(spark):
+    rows = [(i, "a" if i < 1000 else "b", (i % 7) / 1000) for i in range(1100)] + [(2000 + i, "ab"[i % 2], 0.9) for i in range(40)]
+    measured = spark.createDataFrame([(i, k, v, 0.0, 0.0, 0.1, False) for i, k, v in rows], "doc_id long, stratum string, symbol_share double, dup_line_share double, repeat_share double, odd_word_length double, base_failed boolean")
+    labels = spark.createDataFrame([(i, 1 if i < 2000 else 0) for i, *_ in rows], "doc_id long, quality int")
+    proven = {r["stratum"]: r for r in quality.prove_rules(measured, labels).collect()}
+    assert proven["a"]["passed"] > 0 and proven["a"]["p"] <= 0.05 / 2 and proven["b"]["passed"] == 0 and proven["b"]["cut_symbol_share"] is None
+    out = quality.judge_quality(measured, quality.choose_cutoffs(measured, labels)).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == {i for i, k, v in rows if k == "a" and v == 0.9}
+
+
 def test_language_and_toxicity(spark):
     rng = random.Random(4)
     words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["quick", "brown", "jumps", "lazy"]}
