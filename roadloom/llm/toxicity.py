@@ -58,60 +58,69 @@ class FM:
         return out
 
 
-def fit_fm(rows: list, labels: np.ndarray, factors: int = 8, max_terms: int = 1024, epochs: int = 30, l2: float = 1e-3, rate: float = 0.2, seed: int = 5, min_docs: int = 8) -> FM:
-    """Adagrad on logistic loss over rows of distinct hashed terms. Terms kept: those in min_docs rows at least, half of max_terms by how far their rate of
-    positives lies from the mean (in standard errors), the other half by document frequency, so that pairs can form."""
+def fit_fm(rows: list, labels: np.ndarray, factors: int = 8, epochs: int = 30, l2: float = 1e-3, rate: float = 0.2, seed: int = 5, min_docs: int = 1) -> FM:
+    """Adagrad on logistic loss over rows of distinct hashed terms. Every term in min_docs rows at least is learned, however rare.
+
+    A term's x is what the other rows say for it, the larger of two shares: the square of its z (how far its rate of positives
+    lies from the mean, in standard errors) over 4, 1 at most, and df / (df + half the rows), so that pairs of terms that tell
+    nothing alone can form. In training a row's own label and count are left out of its x, or a term of that row alone would
+    explain it; for scoring x is folded into w and v.
+    """
     y = np.asarray(labels, np.float64)
     if not len(rows) or y.min() == y.max():
         mean = float(np.clip(y.mean() if len(y) else 0.0, 0.001, 0.999))
         return FM(np.zeros(0, np.int64), float(np.log(mean / (1 - mean))), np.zeros(0), np.zeros((0, factors)))
     flat = np.concatenate([np.fromiter(r, np.int32, len(r)) for r in rows])
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    ids, inv = np.unique(flat, return_inverse=True)
-    df = np.bincount(inv, minlength=len(ids))
-    pos = np.bincount(inv, weights=y[doc], minlength=len(ids))
+    ids, col = np.unique(flat, return_inverse=True)
     base = y.mean()
-    z = (pos - df * base) / np.sqrt(df * base * (1 - base))
-    ok = df >= min(min_docs, max(2, len(rows) // 50))
-    by_z = np.where(ok & (np.abs(z) >= 4), np.abs(z), -1)
-    top = np.argsort(-by_z, kind="stable")[: max_terms // 2]
-    keep = set(top[by_z[top] > 0].tolist()) | set(np.argsort(-np.where(ok, df, -1), kind="stable")[: max_terms // 2].tolist())
-    keep = np.array(sorted(k for k in keep if ok[k]), np.int64)
-    if not len(keep):
+    ok = np.bincount(col, minlength=len(ids)) >= min_docs
+    pos_of = np.cumsum(ok) - 1
+    doc, col, ids = doc[ok[col]], pos_of[col[ok[col]]].astype(np.int32), ids[ok]
+    if not len(ids):
         return FM(np.zeros(0, np.int64), float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, factors)))
-    pos_of = np.full(len(ids), -1)
-    pos_of[keep] = np.arange(len(keep))
-    col = pos_of[inv]
-    doc, col = doc[col >= 0], col[col >= 0]
+    df, pos = np.bincount(col), np.bincount(col, weights=y[doc])
+
+    def weight(df, pos):
+        z = (pos - df * base) / np.sqrt(np.maximum(df, 1) * base * (1 - base))
+        return np.maximum(np.minimum(np.abs(z) / 4, 1) ** 2, df / (df + len(rows) / 2))
+
+    x = weight(df[col] - 1, pos[col] - y[doc])
     starts = np.searchsorted(doc, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
-    k = len(keep)
+    k = len(ids)
     w, v, w0 = np.zeros(k), rng.normal(0, 0.01, (k, factors)), float(np.log(base / (1 - base)))
     gw, gv, g0 = np.full(k, 1e-6), np.full((k, factors), 1e-6), 1e-6
-    size = 256
+    size, place = 256, np.zeros(k, np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), size):
             pick = order[at : at + size]
             lens = starts[pick + 1] - starts[pick]
             c = np.concatenate([col[starts[p] : starts[p + 1]] for p in pick])
+            used = np.flatnonzero(np.bincount(c, minlength=k))
+            place[used] = np.arange(len(used))
+            c = place[c]
+            xs = np.concatenate([x[starts[p] : starts[p + 1]] for p in pick])
             r = np.repeat(np.arange(len(pick)), lens)
-            s = np.stack([np.bincount(r, v[c, f], len(pick)) for f in range(factors)], 1)
-            q = np.bincount(r, (v[c] ** 2).sum(1), len(pick))
-            p = 1 / (1 + np.exp(-np.clip(w0 + np.bincount(r, w[c], len(pick)) + 0.5 * ((s**2).sum(1) - q), -40, 40)))
+            n, wu, vu = len(used), w[used], v[used]
+            s = np.stack([np.bincount(r, vu[:, f][c] * xs, len(pick)) for f in range(factors)], 1)
+            q = np.bincount(r, (vu**2).sum(1)[c] * xs**2, len(pick))
+            p = 1 / (1 + np.exp(-np.clip(w0 + np.bincount(r, wu[c] * xs, len(pick)) + 0.5 * ((s**2).sum(1) - q), -40, 40)))
             e = (p - y[pick]) / len(pick)
             d0 = e.sum()
             g0 += d0 * d0
             w0 -= rate * d0 / np.sqrt(g0)
-            used = np.unique(c)
-            dw = np.bincount(c, e[r], k)[used] + l2 * w[used] / 10
+            # The gradient of v is the sum of e * x * (s - v * x) over a term's rows.
+            ex, es = e[r] * xs, e[:, None] * s
+            dw = np.bincount(c, ex, n) + l2 * wu / 10
             gw[used] += dw**2
-            w[used] -= rate * dw / np.sqrt(gw[used])
-            part = e[r][:, None] * (s[r] - v[c])
-            dv = np.stack([np.bincount(c, part[:, f], k)[used] for f in range(factors)], 1) + l2 * v[used]
+            w[used] = wu - rate * dw / np.sqrt(gw[used])
+            dv = np.stack([np.bincount(c, es[:, f][r] * xs, n) for f in range(factors)], 1) - np.bincount(c, ex * xs, n)[:, None] * vu + l2 * vu
             gv[used] += dv**2
-            v[used] -= rate * 0.3 * dv / np.sqrt(gv[used])
-    return FM(ids[keep], w0, w, v)
+            v[used] = vu - rate * 0.3 * dv / np.sqrt(gv[used])
+    full = weight(df, pos)
+    return FM(ids, w0, w * full, v * full[:, None])
 
 
 def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000):

@@ -192,6 +192,18 @@ def test_language_and_toxicity(spark):
     assert s[0] > 0.5 > max(s[1:])
 
 
+def test_toxicity_learns_rare_terms():
+    # Each toxic row has two telling terms, which stand in four training rows only, among terms of no meaning.
+    rng = random.Random(8)
+    noise = lambda: set(rng.sample(range(1000, 3000), 20))
+    rows = [(noise() | {i % 40, 40 + i * 7 % 40}, 1) for i in range(160)] + [(noise(), 0) for _ in range(1440)]
+    model = toxicity.fit_fm([r for r, _ in rows], np.array([y for _, y in rows]))
+    at = {int(t): i for i, t in enumerate(model.terms)}
+    assert set(at) == set().union(*[r for r, _ in rows])
+    score = lambda sets: model.score_rows([np.array([at[t] for t in s], np.int64) for s in sets])
+    assert (score([noise() | {i, 40 + i * 7 % 40} for i in range(40)]) >= 0.5).mean() > 0.9 and (score([noise() for _ in range(200)]) >= 0.5).mean() < 0.05
+
+
 def test_mixing(spark):
     rows = [(i, "big" if i < 300 else f"s{i % 3}", 10) for i in range(360)] + [(999, None, None)]
     d = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
