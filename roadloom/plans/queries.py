@@ -275,7 +275,7 @@ def axis_segments(spark, d):
  from (select axis_id, n, n * 100.0 as pos from (select axis_id, max(from_m + length) as len from seg group by 1) q, range(0, 1000) t(n) where n * 100 <= len - 1) p join seg s on s.axis_id = p.axis_id and p.pos >= s.from_m and p.pos < s.from_m + s.length""", SEG))
 def axis_points(spark, d):
     s = _segments(spark, d)
-    pos = linear.axis_lengths(s).select("axis_id", F.explode(F.sequence(F.lit(0), F.least(F.floor((F.col("length_m") - 1) / 100), F.lit(999)).cast("int"))).alias("n")).withColumn("position_m", F.col("n") * 100.0)
+    pos = linear.axis_lengths(s).where("length_m >= 1").select("axis_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("length_m") - 1) / 100).cast("int"))).alias("n")).withColumn("position_m", F.col("n") * 100.0)
     p = linear.points_at(pos, s)
     return p.select("axis_id", F.col("n").cast("bigint").alias("n"), F.round(F.col("x") * 100).cast("bigint").alias("x_cm"), F.round(F.col("y") * 100).cast("bigint").alias("y_cm"))
 
