@@ -119,23 +119,34 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bonus(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 65, most: int = 3) -> DataFrame:
+def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 65, most: int = 3, bucket: float = 1.0) -> DataFrame:
     """For projects missing in maintenance, up to `most` maintenance projects of the same road that may replace them.
 
-    Score: road 30, same category 25 or same family 15, overlapping range 25 (adjoining within 0.1 km 15), moved objects 20,
-    similar name up to 8, capped at 100; candidates from `least` on. Ties go to the larger name.
+    Score: road 30, same category 25 or same family 15, overlapping range 25 (adjoining within 0.1 km 15), moved objects 45
+    and 5 more for each beyond the first up to 60, similar name up to 8, capped at 100; candidates from `least` on. Ties go to the larger name. Pairs with moved objects
+    count whatever their family and range; without any, only one family and overlapping or adjoining ranges can reach 64,
+    so `least` may not be lower.
     """
+    if least < 64:
+        raise ValueError("pairs that score below 64 are not all looked at")
     p = name_parts("project_key")
     base = compared.select("project_key", "status", p["road"].alias("road"), p["category"].alias("category"), p["hm_start"].alias("s"), p["hm_end"].alias("e")).where("road <> ''")
-    gone = base.where("status = 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("missing"), "road", F.col("category").alias("c1"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    have = base.where("status <> 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("candidate"), "road", F.col("category").alias("c2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    fam = lambda c: type_family(c)["family"]
-    # Candidates share the road and a family, so the join key is narrow even where one road holds most projects.
-    pairs = gone.withColumn("f", fam("c1")).join(have.withColumn("f", fam("c2")), ["road", "f"])
+    # Stored, as both kinds of pairs need it: a row per project.
+    base = materialize(base.withColumn("f", type_family("category")["family"]), "replacement-projects")
+    gone = base.where("status = 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("missing"), "road", F.col("category").alias("c1"), F.col("f").alias("f1"), F.col("s").alias("s1"), F.col("e").alias("e1"))
+    have = base.where("status <> 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("candidate"), "road", F.col("category").alias("c2"), F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     near = F.greatest(F.col("s1"), F.col("s2")) - F.least(F.col("e1"), F.col("e2"))
-    pairs = pairs.where(near <= 0.1).join(moved_objects(diffs), ["missing", "candidate"], "left")
-    score = F.lit(30) + F.when(F.col("c1") == F.col("c2"), 25).otherwise(15) + F.when(near < 0, 25).otherwise(15) + F.when(F.col("objects") > 0, 20).otherwise(0) + name_similarity("missing", "candidate")
-    scored = pairs.withColumn("score", F.least(score, F.lit(100))).where(F.col("score") >= least)
+    known = F.col("s1").isNotNull() & F.col("e1").isNotNull() & F.col("s2").isNotNull() & F.col("e2").isNotNull()
+    moved = moved_objects(diffs).join(gone, "missing").join(have, ["candidate", "road"])
+    # Ranges enter every bucket that they touch when widened by 0.1 km, so a hot road is no single join key.
+    cells = lambda s, e: F.explode(F.sequence(F.floor((F.least(s, e) - 0.11) / bucket), F.floor((F.greatest(s, e) + 0.11) / bucket)))
+    g, h = gone.where("s1 is not null and e1 is not null").withColumn("b", cells("s1", "e1")), have.where("s2 is not null and e2 is not null").withColumn("b", cells("s2", "e2"))
+    alike = g.join(h.withColumnRenamed("f2", "f1").withColumn("f2", F.col("f1")), ["road", "f1", "b"]).where(near <= 0.1).drop("b").dropDuplicates(["missing", "candidate"])
+    alike = alike.join(moved.select("missing", "candidate"), ["missing", "candidate"], "left_anti").withColumn("objects", F.lit(0).cast("long"))
+    pairs = moved.unionByName(alike)
+    family = F.when(F.col("c1") == F.col("c2"), 25).when(F.col("f1") == F.col("f2"), 15).otherwise(0)
+    score = F.lit(30) + family + F.when(known & (near < 0), 25).when(known & (near <= 0.1), 15).otherwise(0) + F.when(F.col("objects") > 0, F.least(40 + 5 * F.col("objects"), F.lit(60))).otherwise(0) + name_similarity("missing", "candidate")
+    scored = pairs.withColumn("score", F.least(score, F.lit(100)).cast("int")).where(F.col("score") >= least)
     top = W.partitionBy("missing").orderBy(F.desc("score"), F.desc("candidate"))
     return scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("missing", "candidate", "score", "place")
 
