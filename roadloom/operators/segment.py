@@ -25,16 +25,27 @@ def summarise_runs(runs: DataFrame, keys: list[str], profile: list[str]) -> Data
     )
 
 
+def cut_stretches(runs: DataFrame, keys: list[str], max_objects: int = 2, max_length_m: float = 100.0) -> DataFrame:
+    """runs + stretch (from 1 within keys), cut at gaps and between two neighbours that are both too big to be absorbed.
+
+    No deviation is absorbed across such a cut, as merged runs only grow."""
+    w = W.partitionBy(*keys).orderBy("run")
+    big = (F.col("objects") > max_objects) | (F.col("end_m") - F.col("start_m") >= max_length_m)
+    d = runs.withColumn("_big", big)
+    cut = F.coalesce(F.col("gap_before") | (F.col("_big") & F.lag("_big").over(w)), F.lit(True))
+    return d.withColumn("_cut", cut.cast("int")).withColumn("stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_big", "_cut")
+
+
 def absorb_deviations(runs: DataFrame, keys: list[str], profile: list[str], max_objects: int = 2, max_length_m: float = 100.0) -> DataFrame:
     """keys + (run, part_of): short A-B-A deviations join the run around them.
 
     A run B of at most max_objects objects and less than max_length_m, without a gap before it or before its right
     neighbour, between two runs of one profile becomes part of the left one. Merged runs have three objects at least and
-    never count as short again, so one pass with a stack is the fixpoint. The stack holds the runs of one track, not its
-    objects; the fold runs over that array.
+    never count as short again, so one pass with a stack is the fixpoint. The stack holds the runs of one
+    stretch (cut_stretches), not of a whole track; only an unbroken row in which no two neighbours are big makes it long.
     """
     p = F.struct(*[F.col(c) for c in profile])
-    track = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "start_m", "end_m", "objects", "gap_before", p.alias("p"), F.array("run").alias("members")))).alias("rs"))
+    track = cut_stretches(runs, keys, max_objects, max_length_m).groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(F.struct("run", "start_m", "end_m", "objects", "gap_before", p.alias("p"), F.array("run").alias("members")))).alias("rs"))
     top, second = F.lit(-1), F.lit(-2)
 
     def push(stack, r):
