@@ -12,85 +12,86 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.functions.shared import materialize
+from roadloom.llm.words import bound_batches, gather_runs, split_texts, text_blocks
 
 CAPACITY = 4096
 END_ID = 1
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class CachedEncoder:
-    """Token ids of whole texts, by runs between spaces and newlines.
+class RunEncoder:
+    """Token ids of distinct runs between spaces and newlines.
 
     The tokenizer drops white space and never joins what stands on both sides of it (NFC, lower case and the splitter
-    don't look across it either), so a text's ids are those of its runs in order. A run of ASCII letters with ASCII
-    punctuation behind it splits once more: its lower-cased letters and its punctuation are separate words to the
-    splitter (an apostrophe may join, such runs stay whole). Runs and words repeat, hence the caches; each is emptied
-    when it holds `limit` entries.
+    don't look across it either), so a text's ids are those of its runs in order. A run of letters with ASCII punctuation
+    behind it splits once more: its letters and its punctuation are separate words to the splitter (an apostrophe may
+    join, such runs stay whole). It keeps the tokenizer alone, no words.
     """
 
-    TAIL = ".,!?;:"
+    LETTERS = r"^(?P<head>\pL+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
-    def __init__(self, file: str, limit: int = 600_000):
+    def __init__(self, file: str, chunk: int = 4096):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of its own cost more than they give
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.runs, self.words = Tokenizer.from_file(file), limit, {}, {}
+        self.tok, self.chunk = Tokenizer.from_file(file), chunk
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
-    @classmethod
-    def shared(cls, file: str) -> "CachedEncoder":
-        """One encoder per worker process and file, so that later tasks of the process find it warm."""
-        import sys
-
-        held = sys.__dict__.setdefault("_roadloom_encoders", {})
-        if file not in held:
-            held[file] = cls(file)
-        return held[file]
-
-    def learn(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > self.limit:
-            self.runs.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
-        parts, words = [], self.words
-        for r in runs:
-            head = r.rstrip(self.TAIL)
-            parts.append((r, head.lower(), r[len(head):]) if head.isascii() and head.isalpha() else (r, r, ""))
-        new = [w for w in {w for p in parts for w in p[1:]} if w not in words]
-        # Words of letters alone are one word to the splitter too: encoded together, they part at the word ends.
-        plain = [w for w in new if w.isalpha()]
-        ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(plain):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, (cuts * 4).tolist()):
-                words[w] = raw[at:end]
-                at = end
-            new = [w for w in new if not w.isalpha()]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            words[w] = np.array(e.ids, np.uint32).tobytes()
-        for r, a, b in parts:
-            self.runs[r] = words[a] + words[b]
-
-    def __call__(self, text: str) -> np.ndarray:
-        runs = text.replace("\n", " ").split(" ")
-        known = self.runs
-        try:
-            got = b"".join(map(known.__getitem__, runs))
-        except KeyError:
-            self.learn({r for r in runs if r not in known})
-            if not all(map(known.__contains__, runs)):  # the cache was emptied on the way
-                self.learn(set(runs))
-            got = b"".join(map(known.__getitem__, runs))
-        return np.frombuffer(got, np.uint32)
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone are one word to the splitter too: encoded together, they part at the word ends."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        n = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        return (ids, n) if len(n) == len(words) else self._one_by_one(words)
+
+    def _words(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, ids a word); letters marks words of letters alone."""
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        cut = int(letters.sum())
+        take = lambda a, z: [words[i] for i in order[a:z].tolist()]
+        parts = [self._letters(take(i, min(i + self.chunk, cut))) for i in range(0, cut, self.chunk)]
+        parts += [self._one_by_one(take(i, i + self.chunk)) for i in range(cut, len(words), self.chunk)]
+        pool = np.concatenate([np.zeros(0, np.uint32), *[p for p, _ in parts]])
+        got = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
+        n, starts = np.empty_like(got), np.empty_like(got)
+        n[order], starts[order] = got, np.cumsum(got) - got
+        return gather_runs(pool, starts, n), n
+
+    def __call__(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs one after the other, ids a run)."""
+        parted = pc.extract_regex(runs, self.LETTERS)
+        whole = pc.is_null(parted)
+        head = pc.if_else(whole, runs, pc.ascii_lower(pc.struct_field(parted, "head")))
+        tail = pc.if_else(whole, "", pc.struct_field(parted, "tail"))
+        words = pa.concat_arrays([head, tail]).dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(2, -1)
+        letters = np.zeros(len(words.dictionary), bool)
+        letters[codes[0][~whole.to_numpy(zero_copy_only=False)]] = True
+        pool, n = self._words(words.dictionary.to_pylist(), letters)
+        pairs = codes.T
+        return gather_runs(pool, (np.cumsum(n) - n)[pairs.ravel()], n[pairs.ravel()]), n[pairs].sum(1)
+
+
+def encode_texts(texts: pa.Array, encoder: RunEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids): text i has ids[offsets[i]:offsets[i + 1]], without end id."""
+    offsets, codes, runs = split_texts(texts, lambda t: pc.split_pattern(pc.replace_substring(t, "\n", " "), " "))
+    pool, n = encoder(runs)
+    count = n[codes]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return ends[offsets], gather_runs(pool, (np.cumsum(n) - n)[codes], count)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -103,20 +104,24 @@ def cut_pieces(docs: DataFrame, file: str, key: str = "doc_id", text: str = "tex
     """One row per piece: key, piece, start, length, ids_crc32. A null text is empty and has the end id alone."""
 
     def encode(batches):
-        enc = CachedEncoder.shared(file)
-        for b in batches:
-            rows = []
-            for k, t in zip(b[key], b[text]):
-                ids = np.append(enc(t or ""), np.uint32(end_id)).astype("<u4")
-                for p, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s : s + capacity]
-                    rows.append((k, p, s, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"])
-            out[key] = out[key].astype(b[key].dtype if b[key].notna().all() else object)
-            yield out
+        enc, end = RunEncoder(file), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for first, part in text_blocks(batch, text):
+                offsets, ids = encode_texts(part.column(text), enc)
+                ids = ids.astype("<u4", copy=False)
+                rows = []
+                for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    for p, s in enumerate(range(a, z + 1, capacity)):  # the end id stands at z
+                        e = min(s + capacity, z)
+                        crc = zlib.crc32(ids[s:e])
+                        last = s + capacity > z
+                        rows.append((first + i, p, s - a, e - s + last, zlib.crc32(end, crc) if last else crc))
+                row, *cols = np.array(rows, np.int64).reshape(-1, 5).T
+                out = [batch.column(key).take(pa.array(row)), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]]
+                yield pa.RecordBatch.from_arrays(out, names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(encode, f"{key} {kind}, {PIECES}")
+    return docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(encode, f"`{key}` {kind}, {PIECES}")
 
 
 @dataclass
@@ -259,6 +264,7 @@ def pack_documents(docs: DataFrame, file: str | None = None, key: str = "doc_id"
     Only documents longer than `capacity` are cut. Null texts count as empty and hold the end id alone; repeated rows are
     packed once each; an empty table gives an empty result; other columns of docs are ignored.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialize(cut_pieces(docs, file or tokenizer_file(), key, text, capacity, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = plan_packing(counts, capacity)
