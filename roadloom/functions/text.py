@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that mean an empty cell.
+#: Texts that mean an empty cell, besides white space.
 EMPTY_TEXTS = ["", "nan", "none", "null", "<na>"]
 #: Further texts that mean an empty technical attribute.
 EMPTY_PROFILE = ["nat", "-", "nvt", "n.v.t."]
