@@ -7,9 +7,10 @@ All roads at once; every grouping is by project key, so nothing larger than a pr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -33,18 +34,38 @@ RULES = Rules()
 
 def is_exempt(df: DataFrame, rules: Rules = RULES, skip: tuple[str, ...] = ("project",)):
     """Subtheme on the exempt list, or a marker text in any column but the skipped ones."""
-    cols = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c, t in df.dtypes if t == "string" and c not in skip]
-    hit = normal_text("subtheme").isin(list(rules.exempt))
-    for c in cols:
-        hit = hit | c.rlike("|".join(rules.markers[-1:]) + "|" + rules.markers[0])
-    return hit
+    cols = [F.col(c) for c, t in df.dtypes if t == "string" and c not in skip]
+    whole = F.lower(F.concat_ws("\u0001", *cols))
+    return reduce(lambda x, m: x | F.contains(whole, F.lit(m)), rules.markers, normal_text("subtheme").isin(list(rules.exempt)))
+
+
+def keyed_assets(asset: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """The columns of asset rows that reconciliation needs, read and cleaned once: project_key, object_no, object_key, km,
+    chainage, primary, exempt. A table that has been keyed stays as it is."""
+    if {"project_key", "object_key", "km"} <= set(asset.columns):
+        return asset
+    return asset.select(
+        project_key("project").alias("project_key"), "object_no", object_key("object_no").alias("object_key"), chainage_km("chainage_text").alias("km"), display_text("chainage_text").alias("chainage"),
+        normal_text("subtheme").isin(list(rules.backbone)).alias("primary"), is_exempt(asset, rules).alias("exempt"),
+    )
+
+
+def keyed_maintenance(maint: DataFrame) -> DataFrame:
+    """As keyed_assets, of a maintenance export: project_key, object_no, object_key, measure, amount, price."""
+    if {"project_key", "object_key", "measure"} <= set(maint.columns):
+        return maint
+    num = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0)).alias(c)
+    return maint.select(project_key("project").alias("project_key"), clean_text("object_no").alias("object_no"), object_key("object_no").alias("object_key"), clean_text("measure").alias("measure"), num("amount"), num("price"))
+
+
+def stored_sides(asset: DataFrame, maint: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables keyed and stored, for several operators: the wide exports are read once."""
+    return materialize(keyed_assets(asset), "keyed-assets"), materialize(keyed_maintenance(maint), "keyed-maintenance")
 
 
 def asset_projects(asset: DataFrame, rules: Rules = RULES) -> DataFrame:
     """One row per project key: counts of rows, objects, backbone, other and exempt objects, chainage range, unreadable chainages."""
-    a = asset.withColumn("project_key", project_key("project")).where("project_key <> ''").withColumn("km", chainage_km("chainage_text"))
-    a = a.withColumn("primary", normal_text("subtheme").isin(list(rules.backbone))).withColumn("exempt", is_exempt(asset, rules))
-    return a.groupBy("project_key").agg(
+    return keyed_assets(asset, rules).where("project_key <> ''").groupBy("project_key").agg(
         F.count("*").alias("asset_rows"), F.count_distinct("object_no").alias("asset_objects"), F.count_if("primary").alias("asset_primary"), F.count_if(~F.col("primary")).alias("asset_secondary"),
         F.count_if("exempt").alias("asset_exempt"), F.count_if(F.col("km").isNull()).alias("bad_chainages"), F.min("km").alias("hm_min"), F.max("km").alias("hm_max"),
     )
@@ -52,29 +73,36 @@ def asset_projects(asset: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 def maintenance_projects(maint: DataFrame) -> DataFrame:
     """One row per project key: lines, objects, measures, amount and price (decimal comma or point)."""
-    m = maint.withColumn("project_key", project_key("project")).where("project_key <> ''")
-    num = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
-    return m.groupBy("project_key").agg(
-        F.count("*").alias("maint_rows"), F.count_distinct(clean_text("object_no")).alias("maint_objects"), F.count_distinct(clean_text("measure")).alias("measures"),
-        F.sum(num("amount")).alias("amount"), F.sum(num("price")).alias("price"),
+    return keyed_maintenance(maint).where("project_key <> ''").groupBy("project_key").agg(
+        F.count("*").alias("maint_rows"), F.count_distinct("object_no").alias("maint_objects"), F.count_distinct("measure").alias("measures"), F.sum("amount").alias("amount"), F.sum("price").alias("price"),
     )
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key")).where("project_key <> '' and object_key <> ''").distinct()
+def _both_sides(a: DataFrame, m: DataFrame) -> DataFrame:
+    """(project_key, object_key, in_asset, in_maint): every object of a project once, in one shuffle of both tables."""
+    one = lambda df, x, y: df.where("project_key <> '' and object_key <> ''").select("project_key", "object_key", F.lit(x).alias("in_asset"), F.lit(y).alias("in_maint"))
+    return one(a, True, False).union(one(m, False, True)).groupBy("project_key", "object_key").agg(F.max("in_asset").alias("in_asset"), F.max("in_maint").alias("in_maint"))
+
+
+def _side_kinds() -> dict[str, Column]:
+    """Conditions on a row of _both_sides, by kind of difference."""
+    want, have = road_in("project_key"), road_in("object_key")
+    return {
+        "only_in_asset": ~F.col("in_maint"), "only_in_maintenance": ~F.col("in_asset"),
+        "suspicious_road": F.col("in_maint") & (want != "") & (have != "") & (want != have),
+    }
+
+
+BAD_CHAINAGE = "project_key <> '' and km is null"
 
 
 def object_differences(asset: DataFrame, maint: DataFrame) -> DataFrame:
     """(project_key, object_key, difference, chainage): objects on one side only, objects of another road, bad chainages."""
-    a, m = _pairs(asset), _pairs(maint)
-    only_a = a.join(m, ["project_key", "object_key"], "left_anti").withColumn("difference", F.lit("only_in_asset"))
-    only_m = m.join(a, ["project_key", "object_key"], "left_anti").withColumn("difference", F.lit("only_in_maintenance"))
-    want, have = road_in("project_key"), road_in("object_key")
-    wrong = m.where((want != "") & (have != "") & (want != have)).withColumn("difference", F.lit("suspicious_road"))
-    bad = asset.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key"), chainage_km("chainage_text").alias("km"), display_text("chainage_text").alias("chainage"))
-    bad = bad.where("project_key <> '' and km is null").select("project_key", "object_key", F.lit("invalid_chainage").alias("difference"), "chainage")
-    blank = F.lit("").alias("chainage")
-    return only_a.select("*", blank).unionByName(only_m.select("*", blank)).unionByName(wrong.select("*", blank)).unionByName(bad)
+    a, m = keyed_assets(asset), keyed_maintenance(maint)
+    kinds = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in _side_kinds().items()]), lambda x: x.isNotNull())
+    sides = _both_sides(a, m).select("project_key", "object_key", F.explode(kinds).alias("difference"), F.lit("").alias("chainage"))
+    bad = a.where(BAD_CHAINAGE).select("project_key", "object_key", F.lit("invalid_chainage").alias("difference"), "chainage")
+    return sides.unionByName(bad)
 
 
 def difference_counts(diffs: DataFrame) -> DataFrame:
@@ -84,9 +112,14 @@ def difference_counts(diffs: DataFrame) -> DataFrame:
 
 
 def compare_projects(asset: DataFrame, maint: DataFrame) -> DataFrame:
-    """Full reconciliation: every project of either side with its status ladder and difference counts."""
-    a, m, d = asset_projects(asset), maintenance_projects(maint), difference_counts(object_differences(asset, maint))
-    j = a.join(m, "project_key", "full_outer").join(d, "project_key", "left")
+    """Full reconciliation: every project of either side with its status ladder and difference counts.
+
+    The counts are those of difference_counts, taken from one row per object and from the projects' bad chainages.
+    """
+    k, n = stored_sides(asset, maint)
+    a, m = asset_projects(k), maintenance_projects(n)
+    d = _both_sides(k, n).groupBy("project_key").agg(*[F.count_if(c).alias(kind) for kind, c in _side_kinds().items()])
+    j = a.join(m, "project_key", "full_outer").join(d, "project_key", "left").withColumn("invalid_chainage", F.col("bad_chainages"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("only_in_asset", "only_in_maintenance", "suspicious_road", "invalid_chainage")}
     both = F.col("asset_rows").isNotNull() & F.col("maint_rows").isNotNull()
     j = j.withColumns(zero)
@@ -95,7 +128,8 @@ def compare_projects(asset: DataFrame, maint: DataFrame) -> DataFrame:
         .when(both & (F.col("invalid_chainage") > 0), "CHAINAGE_SUSPICIOUS").when(both, "OK_COMPLETE").when(F.col("maint_rows").isNull(), "MISSING_IN_MAINTENANCE").otherwise("NO_ASSET_OBJECTS")
     )
     severity = F.when(status == "OK_COMPLETE", "ok").when(status == "CHAINAGE_SUSPICIOUS", "attention").otherwise("warning")
-    return j.withColumn("status", status).withColumn("severity", severity).withColumn("road", road_in("project_key"))
+    # Stored: a row per project, which every list after it reads.
+    return materialize(j.withColumn("status", status).withColumn("severity", severity).withColumn("road", road_in("project_key")), "compared")
 
 
 def moved_objects(diffs: DataFrame) -> DataFrame:
@@ -119,45 +153,87 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bonus(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 65, most: int = 3, bucket: float = 1.0) -> DataFrame:
-    """For projects missing in maintenance, up to `most` maintenance projects of the same road that may replace them.
+def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 65, most: int = 3, bucket: float = 1.0, near_km: float = 1.0) -> DataFrame:
+    """(missing, candidate, score, place, objects, evidence): up to `most` maintenance projects of the same road that may stand for a
+    project missing in maintenance.
+
+    Score: road 35; same category 25, same family 15; ranges that overlap or a point inside the other 30, a gap up to 0.2 km 18, up
+    to near_km 8, by the better of the name's range and that of the objects' chainages; moved objects 45 and 5 more for each beyond
+    the first up to 60; a similar name 4 or 8. Of equal scores more objects win, then more overlap, the smaller gap and the
+    larger name. A project of another family counts only with moved objects.
 
-    Score: road 30, same category 25 or same family 15, overlapping range 25 (adjoining within 0.1 km 15), moved objects 45
-    and 5 more for each beyond the first up to 60, similar name up to 8, capped at 100; candidates from `least` on. Ties go to the larger name. Pairs with moved objects
-    count whatever their family and range; without any, only one family and overlapping or adjoining ranges can reach 64,
-    so `least` may not be lower.
+    Pairs come from two joins by equality: moved objects of one road, and stretches of road that both touch. Without
+    moved objects nothing beyond near_km can reach 64 but a name that is all but equal, and such names share an end.
     """
     if least < 64:
         raise ValueError("pairs that score below 64 are not all looked at")
     p = name_parts("project_key")
-    base = compared.select("project_key", "status", p["road"].alias("road"), p["category"].alias("category"), p["hm_start"].alias("s"), p["hm_end"].alias("e")).where("road <> ''")
+    base = compared.select("project_key", "status", p["road"].alias("road"), p["category"].alias("category"), p["hm_start"].alias("s"), p["hm_end"].alias("e"), *[F.col(c) if c in compared.columns else F.lit(None).cast("double").alias(c) for c in ("hm_min", "hm_max")]).where("road <> ''")
     # Stored, as both kinds of pairs need it: a row per project.
     base = materialize(base.withColumn("f", type_family("category")["family"]), "replacement-projects")
-    gone = base.where("status = 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("missing"), "road", F.col("category").alias("c1"), F.col("f").alias("f1"), F.col("s").alias("s1"), F.col("e").alias("e1"))
+    both = F.array(F.struct(F.col("s"), F.col("e")), F.struct(F.col("hm_min").alias("s"), F.col("hm_max").alias("e")))
+    gone = base.where("status = 'MISSING_IN_MAINTENANCE'").select(
+        F.col("project_key").alias("missing"), "road", F.col("category").alias("c1"), F.col("f").alias("f1"), F.array_distinct(F.filter(both, lambda x: x["s"].isNotNull() & x["e"].isNotNull())).alias("rs"))
     have = base.where("status <> 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("candidate"), "road", F.col("category").alias("c2"), F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    near = F.greatest(F.col("s1"), F.col("s2")) - F.least(F.col("e1"), F.col("e2"))
-    known = F.col("s1").isNotNull() & F.col("e1").isNotNull() & F.col("s2").isNotNull() & F.col("e2").isNotNull()
     moved = moved_objects(diffs).join(gone, "missing").join(have, ["candidate", "road"])
-    # Ranges enter every bucket that they touch when widened by 0.1 km, so a hot road is no single join key.
-    cells = lambda s, e: F.explode(F.sequence(F.floor((F.least(s, e) - 0.11) / bucket), F.floor((F.greatest(s, e) + 0.11) / bucket)))
-    g, h = gone.where("s1 is not null and e1 is not null").withColumn("b", cells("s1", "e1")), have.where("s2 is not null and e2 is not null").withColumn("b", cells("s2", "e2"))
-    alike = g.join(h.withColumnRenamed("f2", "f1").withColumn("f2", F.col("f1")), ["road", "f1", "b"]).where(near <= 0.1).drop("b").dropDuplicates(["missing", "candidate"])
+    # Ranges enter every bucket that they touch when widened by half the distance that still counts, so no road is a join key.
+    cells = lambda s, e: F.sequence(F.floor((F.least(s, e) - near_km / 2 - 0.01) / bucket), F.floor((F.greatest(s, e) + near_km / 2 + 0.01) / bucket))
+    g = gone.withColumn("b", F.explode(F.array_distinct(F.flatten(F.transform("rs", lambda x: cells(x["s"], x["e"]))))))
+    h = have.where("s2 is not null and e2 is not null").withColumn("b", F.explode(cells(F.col("s2"), F.col("e2"))))
+    alike = g.join(h, ["road", "b"]).drop("b").where("f1 = f2 or c1 = '' or c2 = ''").dropDuplicates(["missing", "candidate"])
     alike = alike.join(moved.select("missing", "candidate"), ["missing", "candidate"], "left_anti").withColumn("objects", F.lit(0).cast("long"))
     pairs = moved.unionByName(alike)
-    family = F.when(F.col("c1") == F.col("c2"), 25).when(F.col("f1") == F.col("f2"), 15).otherwise(0)
-    score = F.lit(30) + family + F.when(known & (near < 0), 25).when(known & (near <= 0.1), 15).otherwise(0) + F.when(F.col("objects") > 0, F.least(40 + 5 * F.col("objects"), F.lit(60))).otherwise(0) + name_similarity("missing", "candidate")
-    scored = pairs.withColumn("score", F.least(score, F.lit(100)).cast("int")).where(F.col("score") >= least)
-    top = W.partitionBy("missing").orderBy(F.desc("score"), F.desc("candidate"))
-    return scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("missing", "candidate", "score", "place")
+
+    def judged(x):
+        over = F.least(x["e"], F.col("e2")) - F.greatest(x["s"], F.col("s2"))
+        inside = (x["s"] == x["e"]) & x["s"].between(F.col("s2"), F.col("e2")) | (F.col("s2") == F.col("e2")) & F.col("s2").between(x["s"], x["e"])
+        gap = F.round(F.greatest(-over, F.lit(0.0)), 9)
+        score = F.when((over > 0) | inside, 30).when(gap <= 0.2, 18).when(gap <= near_km, 8).otherwise(0)
+        return F.when(F.col("s2").isNotNull() & F.col("e2").isNotNull(), F.struct(score.alias("score"), F.greatest(over, F.lit(0.0)).alias("overlap"), (-gap).alias("gap")))
+
+    pairs = pairs.withColumn("_h", F.coalesce(F.array_max(F.transform("rs", judged)), F.struct(F.lit(0).alias("score"), F.lit(0.0).alias("overlap"), F.lit(float("-inf")).alias("gap"))))
+    family = F.when((F.col("c1") != "") & (F.col("c1") == F.col("c2")), 25).when((F.col("f1") != "") & (F.col("f1") == F.col("f2")), 15).otherwise(0)
+    score = F.lit(35) + family + F.col("_h.score") + F.when(F.col("objects") > 0, F.least(40 + 5 * F.col("objects"), F.lit(60))).otherwise(0) + name_similarity("missing", "candidate")
+    scored = pairs.withColumn("score", score.cast("int")).where(F.col("score") >= least)
+    top = W.partitionBy("missing").orderBy(F.desc("score"), F.desc("objects"), F.desc("_h.overlap"), F.desc("_h.gap"), F.desc("candidate"))
+    evidence = F.when(F.col("objects") > 0, "same objects").when(F.col("_h.score") == 30, "overlapping range").when(F.col("_h.score") == 18, "adjoining range").when(F.col("_h.score") == 8, "range nearby").otherwise("name")
+    return scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("missing", "candidate", "score", "place", "objects", evidence.alias("evidence"))
+
+
+#: Points of a status in the priority score.
+STATUS_POINTS = {"OBJECT_DIFFERENCE": 20, "OBJECT_ROAD_SUSPICIOUS": 20, "MISSING_IN_MAINTENANCE": 20, "NO_ASSET_OBJECTS": 15, "CHAINAGE_SUSPICIOUS": 10}
+#: What a status may mean, and the points of that meaning.
+MEANING = {"CHAINAGE_SUSPICIOUS": ("probable error", 15), "OBJECT_DIFFERENCE": ("object link", 10), "OBJECT_ROAD_SUSPICIOUS": ("error or border case", 0), "NO_ASSET_OBJECTS": ("orphaned project or selection", 0)}
 
 
-def action_list(compared: DataFrame) -> DataFrame:
-    """Projects that need work: category, priority score (100 at most) and class (high from 85, middle from 55)."""
-    wrong = F.col("only_in_asset") + F.col("only_in_maintenance")
-    start = F.when(F.col("status") == "OBJECT_ROAD_SUSPICIOUS", 80).when(F.col("status") == "MISSING_IN_MAINTENANCE", 70).when(F.col("status") == "NO_ASSET_OBJECTS", 60).when(F.col("status") == "OBJECT_DIFFERENCE", 50).otherwise(30)
-    score = F.least(F.lit(100), start + F.least(F.lit(25), wrong) + F.least(F.lit(10), F.col("invalid_chainage")))
-    rows = compared.where("status <> 'OK_COMPLETE'").withColumn("score", score.cast("int"))
-    return rows.withColumn("priority", F.when(F.col("score") >= 85, "high").when(F.col("score") >= 55, "middle").otherwise("low")).select("road", "project_key", "status", "severity", "score", "priority", (wrong).alias("objects"))
+def action_list(compared: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Projects that need work: what their status may mean, a priority score (100 at most) and class (high from 85, middle from 55).
+
+    Score: severity 45 or 25, status 10 to 20, backbone objects 20, size of the project or of the difference 5, 12 (from 8)
+    or 20 (from 25), meaning up to 15, a replacement candidate 5 or 8 (from 90). candidates: as of replacement_candidates. objects counts
+    the objects that differ in the way of the status.
+    """
+    rows = compared.where("status <> 'OK_COMPLETE'")
+    if candidates is None:
+        rows = rows.withColumn("candidate", F.lit(None).cast("string")).withColumn("match_score", F.lit(0))
+    else:
+        best = candidates.where("place = 1").select(F.col("missing").alias("project_key"), "candidate", F.col("score").alias("match_score"))
+        rows = rows.join(best, "project_key", "left").withColumn("match_score", F.coalesce("match_score", F.lit(0)))
+    pick = lambda d, last: reduce(lambda w, kv: w.when(F.col("status") == kv[0], kv[1]), d.items(), F.when(F.lit(False), last)).otherwise(last)
+    old = (F.col("status") == "MISSING_IN_MAINTENANCE") & F.col("candidate").isNotNull()
+    meaning = F.when(old, "old name or migration").otherwise(pick({k: v[0] for k, v in MEANING.items()}, "export or name"))
+    points = F.when(old, 10).otherwise(pick({k: v[1] for k, v in MEANING.items()}, 0))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    kinds = {"OBJECT_ROAD_SUSPICIOUS": n("suspicious_road"), "OBJECT_DIFFERENCE": n("only_in_asset") + n("only_in_maintenance"), "CHAINAGE_SUSPICIOUS": n("invalid_chainage"), "MISSING_IN_MAINTENANCE": n("only_in_asset"), "NO_ASSET_OBJECTS": n("only_in_maintenance")}
+    rows = rows.withColumn("objects", pick(kinds, F.lit(0)))
+    size = F.greatest("objects", n("asset_objects"), n("maint_objects"))
+    score = (
+        F.when(F.col("severity") == "warning", 45).when(F.col("severity") == "attention", 25).otherwise(10) + pick(STATUS_POINTS, 0) + F.when(n("asset_primary") > 0, 20).otherwise(0)
+        + F.when(size >= 25, 20).when(size >= 8, 12).when(size >= 1, 5).otherwise(0) + points + F.when(F.col("match_score") >= 90, 8).when(F.col("match_score") >= 65, 5).otherwise(0)
+    )
+    rows = rows.withColumn("meaning", meaning).withColumn("score", F.least(score, F.lit(100)).cast("int"))
+    rows = rows.withColumn("priority", F.when(F.col("score") >= 85, "high").when(F.col("score") >= 55, "middle").otherwise("low"))
+    return materialize(rows.select("road", "project_key", "status", "severity", "score", "priority", "objects", "meaning", "candidate", "match_score", n("asset_primary").alias("asset_primary")), "actions")
 
 
 def carry_over(actions: DataFrame, previous: DataFrame, keys: list[str] = ["project_key", "status"], follow_up: list[str] = ["state", "owner", "remark"], order: str = "row_no") -> DataFrame:
@@ -234,8 +310,7 @@ def mutation_suggestions(compared: DataFrame, diffs: DataFrame, candidates: Data
 
 def project_objects(asset: DataFrame, maint: DataFrame, diffs: DataFrame) -> DataFrame:
     """(project_key, object_key, asset_rows, maint_rows, differences): the objects of every project on both sides."""
-    a = asset.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key")).where("project_key <> ''").groupBy("project_key", "object_key").agg(F.count("*").alias("asset_rows"))
-    m = maint.select(project_key("project").alias("project_key"), object_key("object_no").alias("object_key")).where("project_key <> ''").groupBy("project_key", "object_key").agg(F.count("*").alias("maint_rows"))
+    one = lambda df, x, y: df.where("project_key <> ''").select("project_key", "object_key", F.lit(x).alias("x"), F.lit(y).alias("y"))
+    j = one(keyed_assets(asset), 1, 0).union(one(keyed_maintenance(maint), 0, 1)).groupBy("project_key", "object_key").agg(F.sum("x").alias("asset_rows"), F.sum("y").alias("maint_rows"))
     d = diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences"))
-    j = a.join(m, ["project_key", "object_key"], "full_outer").join(d, ["project_key", "object_key"], "left")
-    return j.select("project_key", "object_key", F.coalesce("asset_rows", F.lit(0)).alias("asset_rows"), F.coalesce("maint_rows", F.lit(0)).alias("maint_rows"), F.coalesce("differences", F.lit("")).alias("differences"))
+    return j.join(d, ["project_key", "object_key"], "left").select("project_key", "object_key", "asset_rows", "maint_rows", F.coalesce("differences", F.lit("")).alias("differences"))

@@ -76,7 +76,7 @@ def track_coverage(spark, d):
 
 
 ZONES = "select axis_id, cast(round(hm_km * 10) as bigint) as zone, route_m as from_m, route_m + 30 as to_m, case when offset_m > 5 then 'red' else 'orange' end as color from fx_post where offset_m >= 5"
-POINTS = "select object_id as point_id, road as axis_id, start_m + pk % 50 as route_m from fx_asset where ln = 3"
+POINTS = "select object_id as point_id, road as axis_id, start_m + pk % 50 as route_m from fx_asset"
 
 
 @query(oracle("select p.point_id, p.axis_id, p.route_m, max(color) as color, string_agg(cast(zone as varchar), ', ' order by zone) as zones from p left join z on p.axis_id = z.axis_id and p.route_m between z.from_m - 10 and z.to_m + 10 group by 1, 2, 3", f"p as ({POINTS}), z as ({ZONES})"))
@@ -125,7 +125,7 @@ def bucket_diagnostics(spark, d):
  union all select project_key, '', 'CHECK_PROJECT_WITHOUT_OBJECTS', '' from cmp where status = 'NO_ASSET_OBJECTS'
  union all select d.project_key, d.object_key, case d.difference when 'only_in_asset' then 'CHECK_LINK_IN_MAINTENANCE' when 'only_in_maintenance' then 'CHECK_LINK_IN_ASSET' when 'suspicious_road' then 'CHECK_ROAD' else 'CHECK_CHAINAGE' end, '' from diffs d join cmp c on d.project_key = c.project_key where c.status <> 'OK_COMPLETE'""", CMP))
 def mutation_suggestions(spark, d):
-    a, m = asset(spark, d), maint(spark, d)
+    a, m = reconcile.stored_sides(asset(spark, d), maint(spark, d))
     return reconcile.mutation_suggestions(reconcile.compare_projects(a, m), reconcile.object_differences(a, m))
 
 
@@ -133,5 +133,5 @@ def mutation_suggestions(spark, d):
  from (select project_key, object_no as object_key, count(*) as n from a where project_key <> '' group by 1, 2) x full join (select project_key, object_no as object_key, count(*) as n from m group by 1, 2) y on x.project_key = y.project_key and x.object_key = y.object_key
  left join (select project_key, object_key, string_agg(difference, ', ' order by difference) as differences from (select distinct project_key, object_key, difference from diffs) q group by 1, 2) w on w.project_key = coalesce(x.project_key, y.project_key) and w.object_key = coalesce(x.object_key, y.object_key)""", DIFFS))
 def project_objects(spark, d):
-    a, m = asset(spark, d), maint(spark, d)
+    a, m = reconcile.stored_sides(asset(spark, d), maint(spark, d))
     return reconcile.project_objects(a, m, reconcile.object_differences(a, m))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import names, text
+from roadloom.functions.shared import materialize
 from roadloom.operators import changes, graph, intervals, linear, quality, reconcile, segment
 from roadloom.plans.fixtures import fixture, oracle
 
@@ -49,8 +50,8 @@ MP = """mp as (select project_key, count(*) as maint_rows, count(distinct object
  sum(cast(replace(amount, ',', '.') as double)) as amount, sum(cast(price as double)) as price from m group by 1)"""
 DC = """dc as (select project_key, count(*) filter (where difference = 'only_in_asset') as only_in_asset, count(*) filter (where difference = 'only_in_maintenance') as only_in_maintenance,
  count(*) filter (where difference = 'suspicious_road') as suspicious_road, count(*) filter (where difference = 'invalid_chainage') as invalid_chainage from diffs group by 1)"""
-CMP = DIFFS + ", " + AP + ", " + MP + ", " + DC + """, j0 as (select coalesce(ap.project_key, mp.project_key) as project_key, ap.asset_rows, mp.maint_rows from ap full join mp on ap.project_key = mp.project_key),
-cmp as (select j0.project_key, regexp_extract(j0.project_key, '\\b(N\\d{3,4})\\b', 1) as road, asset_rows, maint_rows, coalesce(only_in_asset, 0) as only_in_asset, coalesce(only_in_maintenance, 0) as only_in_maintenance,
+CMP = DIFFS + ", " + AP + ", " + MP + ", " + DC + """, j0 as (select coalesce(ap.project_key, mp.project_key) as project_key, ap.asset_rows, mp.maint_rows, ap.asset_objects, mp.maint_objects, ap.asset_primary from ap full join mp on ap.project_key = mp.project_key),
+cmp as (select j0.project_key, regexp_extract(j0.project_key, '\\b(N\\d{3,4})\\b', 1) as road, asset_rows, maint_rows, asset_objects, maint_objects, asset_primary, coalesce(only_in_asset, 0) as only_in_asset, coalesce(only_in_maintenance, 0) as only_in_maintenance,
  coalesce(suspicious_road, 0) as suspicious_road, coalesce(invalid_chainage, 0) as invalid_chainage,
  case when asset_rows > 0 and maint_rows > 0 then case when coalesce(suspicious_road, 0) > 0 then 'OBJECT_ROAD_SUSPICIOUS' when coalesce(only_in_asset, 0) + coalesce(only_in_maintenance, 0) > 0 then 'OBJECT_DIFFERENCE'
    when coalesce(invalid_chainage, 0) > 0 then 'CHAINAGE_SUSPICIOUS' else 'OK_COMPLETE' end when maint_rows is null then 'MISSING_IN_MAINTENANCE' else 'NO_ASSET_OBJECTS' end as status
@@ -82,9 +83,9 @@ def parse_project_names(spark, d):
 
 
 @query(oracle("""select distinct project, road, case when regexp_extract(project, '^(N\\d+)', 1) <> 'N350' or not regexp_matches(project, '^N\\d{3,4}-[A-Z0-9]+-\\d{2,3}\\.\\d-\\d{2,3}\\.\\d$') then 'check' else 'ok' end as status,
- case when regexp_extract(project, '^(N\\d+)', 1) <> 'N350' then 'road in name (' || regexp_extract(project, '^(N\\d+)', 1) || ') differs from (N350)' else '' end as message from fx_asset where project <> '' and road in ('N350', 'N351')"""))
+ case when regexp_extract(project, '^(N\\d+)', 1) <> 'N350' then 'road in name (' || regexp_extract(project, '^(N\\d+)', 1) || ') differs from (N350)' else '' end as message from fx_asset where project <> ''"""))
 def validate_project_names(spark, d):
-    p = asset(spark, d).where("project <> '' and road in ('N350', 'N351')").select("project", "road").distinct()
+    p = asset(spark, d).where("project <> ''").select("project", "road").distinct()
     v = names.validate_name("project", F.lit("N350"))
     return p.select("project", "road", v["status"].alias("status"), v["message"].alias("message"))
 
@@ -133,12 +134,14 @@ def moved_objects(spark, d):
 
 @query()
 def replacement_candidates(spark, d):
-    a, m = asset(spark, d), maint(spark, d)
+    a, m = reconcile.stored_sides(asset(spark, d), maint(spark, d))
     return reconcile.replacement_candidates(reconcile.compare_projects(a, m), reconcile.object_differences(a, m))
 
 
-ACTIONS = CMP + """, act as (select road, project_key, status, least(100, case status when 'OBJECT_ROAD_SUSPICIOUS' then 80 when 'MISSING_IN_MAINTENANCE' then 70 when 'NO_ASSET_OBJECTS' then 60 when 'OBJECT_DIFFERENCE' then 50 else 30 end
- + least(25, only_in_asset + only_in_maintenance) + least(10, invalid_chainage)) as score, only_in_asset + only_in_maintenance as objects from cmp where status <> 'OK_COMPLETE')"""
+ACTIONS = CMP + """, act0 as (select *, case status when 'OBJECT_ROAD_SUSPICIOUS' then suspicious_road when 'OBJECT_DIFFERENCE' then only_in_asset + only_in_maintenance when 'CHAINAGE_SUSPICIOUS' then invalid_chainage when 'MISSING_IN_MAINTENANCE' then only_in_asset else only_in_maintenance end as objects from cmp where status <> 'OK_COMPLETE'),
+act as (select road, project_key, status, objects, least(100, case status when 'CHAINAGE_SUSPICIOUS' then 25 else 45 end + case status when 'NO_ASSET_OBJECTS' then 15 when 'CHAINAGE_SUSPICIOUS' then 10 else 20 end + case when asset_primary > 0 then 20 else 0 end
+ + case when greatest(objects, coalesce(asset_objects, 0), coalesce(maint_objects, 0)) >= 25 then 20 when greatest(objects, coalesce(asset_objects, 0), coalesce(maint_objects, 0)) >= 8 then 12 when greatest(objects, coalesce(asset_objects, 0), coalesce(maint_objects, 0)) >= 1 then 5 else 0 end
+ + case status when 'CHAINAGE_SUSPICIOUS' then 15 when 'OBJECT_DIFFERENCE' then 10 else 0 end) as score from act0)"""
 
 
 @query(oracle("select road, project_key, status, cast(score as int) as score, case when score >= 85 then 'high' when score >= 55 then 'middle' else 'low' end as priority, objects from act", ACTIONS))
@@ -146,9 +149,14 @@ def action_list(spark, d):
     return reconcile.action_list(reconcile.compare_projects(asset(spark, d), maint(spark, d))).select("road", "project_key", "status", "score", "priority", "objects")
 
 
-def _previous(spark, d):
-    """An action list of an older, smaller export with follow-up entries."""
-    old = reconcile.action_list(reconcile.compare_projects(asset(spark, d), maint(spark, d).where("pk % 7 > 1")))
+def _lists(spark, d):
+    """(action list of today, one of an older, smaller export with follow-up entries); the asset side is read once."""
+    a = materialize(reconcile.keyed_assets(asset(spark, d)), "keyed-assets")
+    return reconcile.action_list(reconcile.compare_projects(a, maint(spark, d))), _previous(spark, d, a)
+
+
+def _previous(spark, d, a=None):
+    old = reconcile.action_list(reconcile.compare_projects(a if a is not None else asset(spark, d), maint(spark, d).where("pk % 7 > 1")))
     return old.select("project_key", "status", F.concat(F.lit("s"), F.length("project_key") % 4).alias("state"), F.concat(F.lit("o"), F.length("status") % 3).alias("owner"), F.lit(None).cast("string").alias("remark"), F.col("project_key").alias("row_no"))
 
 
@@ -158,8 +166,8 @@ OLD = ACTIONS.replace("from fx_maintenance)", "from fx_maintenance where pk % 7
 @query(oracle("select n.project_key, n.status, coalesce(p.state, q.state) as state, coalesce(p.owner, q.owner) as owner from now_ n left join old_ p on n.project_key = p.project_key and n.status = p.status left join old_ q on n.project_key = q.project_key",
        "now_ as (with " + ACTIONS + " select project_key, status from act), old_ as (with " + OLD + " select project_key, status, 's' || (length(project_key) % 4) as state, 'o' || (length(status) % 3) as owner from act)"))
 def carried_follow_up(spark, d):
-    now = reconcile.action_list(reconcile.compare_projects(asset(spark, d), maint(spark, d))).select("project_key", "status")
-    return reconcile.carry_over(now, _previous(spark, d)).select("project_key", "status", "state", "owner")
+    now, before = _lists(spark, d)
+    return reconcile.carry_over(now.select("project_key", "status"), before).select("project_key", "status", "state", "owner")
 
 
 PROG = "now_ as (with " + ACTIONS + " select project_key, status from act), old_ as (with " + OLD + " select project_key, status from act), prog as (select coalesce(n.project_key, o.project_key) as project_key, coalesce(n.status, o.status) as status, case when o.status is null then 'new' when n.status is null then 'resolved' else 'existing' end as progress from now_ n full join old_ o on n.project_key = o.project_key and n.status = o.status)"
@@ -167,14 +175,12 @@ PROG = "now_ as (with " + ACTIONS + " select project_key, status from act), old_
 
 @query(oracle("select * from prog", PROG))
 def action_progress(spark, d):
-    now = reconcile.action_list(reconcile.compare_projects(asset(spark, d), maint(spark, d)))
-    return reconcile.track_progress(now, _previous(spark, d))
+    return reconcile.track_progress(*_lists(spark, d))
 
 
 @query(oracle("select road, project_key, n as new, x as existing, r as resolved, lvl as level, case when n > 0 and r = 0 then 'worse' when n = 0 and r > 0 then 'better' when n = 0 and x = 0 then 'done' else 'mixed' end as conclusion from (select regexp_extract(project_key, '\\b(N\\d{3,4})\\b', 1) as road, project_key, count(*) filter (where progress='new') as n, count(*) filter (where progress='existing') as x, count(*) filter (where progress='resolved') as r, 'project' as lvl from prog group by all union all select regexp_extract(project_key, '\\b(N\\d{3,4})\\b', 1), null, count(*) filter (where progress='new'), count(*) filter (where progress='existing'), count(*) filter (where progress='resolved'), 'road' from prog group by 1) t", PROG))
 def progress_report(spark, d):
-    now = reconcile.action_list(reconcile.compare_projects(asset(spark, d), maint(spark, d)))
-    return reconcile.progress_report(reconcile.track_progress(now, _previous(spark, d)))
+    return reconcile.progress_report(reconcile.track_progress(*_lists(spark, d)))
 
 
 VIOL = A + """, viol as (select 'MISSING_PROJECT' as rule_code, 'error' as severity, 'project missing' as category, object_id from a where not exempt and project = ''
@@ -208,9 +214,9 @@ def merged_intervals(spark, d):
 
 
 @query(oracle("""select road, track, cast(round(sum(l) * 1000) as bigint) as length_m, count(*) as segments from (select road, track, s, max(p) - min(p) as l, count(*) as n from (select *, sum(c) over (partition by road, track order by p) as s from
- (select *, case when p - lag(p) over (partition by road, track order by p) <= 0.25 then 0 else 1 end as c from (select distinct road, track, km as p from a where km is not null and pk % 4 = 0) q) r) t group by 1, 2, 3) u where n > 1 group by 1, 2""", A))
+ (select *, case when p - lag(p) over (partition by road, track order by p) <= 0.25 then 0 else 1 end as c from (select distinct road, track, km as p from a where km is not null) q) r) t group by 1, 2, 3) u where n > 1 group by 1, 2""", A))
 def point_lengths(spark, d):
-    a = asset(spark, d).where("pk % 4 = 0").withColumn("km", text.chainage_km("chainage_text"))
+    a = asset(spark, d).withColumn("km", text.chainage_km("chainage_text"))
     return intervals.point_length(a, TRACK, "km").select(*TRACK, F.round(F.col("length") * 1000).cast("bigint").alias("length_m"), "segments")
 
 
@@ -221,10 +227,10 @@ def gaps_and_overlaps(spark, d):
     return intervals.hard_gaps(asset(spark, d).where("track <> ''"), TRACK, "object_id", "start_m", "end_m", 30.0)
 
 
-@query(oracle("select x.road, x.track, x.object_id, count(*) as objects, sum(least(x.end_m, y.end_m) - greatest(x.start_m, y.start_m)) as overlap from fx_asset x join fx_asset y on x.road = y.road and x.track = y.track and y.start_m < x.end_m and y.end_m > x.start_m where x.pk % 6 = 0 and y.pk % 6 > 0 and x.track <> '' group by 1, 2, 3"))
+@query(oracle("select x.road, x.track, x.object_id, count(*) as objects, sum(least(x.end_m, y.end_m) - greatest(x.start_m, y.start_m)) as overlap from fx_asset x join fx_asset y on x.road = y.road and x.track = y.track and y.start_m < x.end_m and y.end_m > x.start_m where x.track <> '' group by 1, 2, 3"))
 def overlap_sums(spark, d):
     a = asset(spark, d).where("track <> ''").withColumnsRenamed({"start_m": "start", "end_m": "end"})
-    return intervals.overlap_sum(a.where("pk % 6 = 0"), a.where("pk % 6 > 0"), TRACK, "object_id")
+    return intervals.overlap_sum(a, a, TRACK, "object_id")
 
 
 RUNS = """runs0 as (select *, max(end_m) over (partition by road, track order by start_m, end_m, object_id rows between unbounded preceding and 1 preceding) as reach, lag(layer || '|' || year_layer) over (partition by road, track order by start_m, end_m, object_id) as before from fx_asset where track <> ''),
@@ -241,7 +247,14 @@ def technical_runs(spark, d):
     return segment.summarise_runs(_runs(spark, d), TRACK, PROFILE)
 
 
-@query()
+ABSORB = RUNS + """, ab as (with recursive s0 as (select road, track, run, {'run': run, 's': start_m, 'e': end_m, 'n': objects, 'gap': gap_before, 'p': layer || '|' || year_layer, 'members': [run]} as r from runs2),
+ w as (select road, track, run, [r] as st from s0 where run = 1 union all select road, track, run, case when len(st) >= 2 and st[-1].n <= 2 and st[-1].e - st[-1].s < 100 and not st[-1].gap and not r.gap and st[-2].p = r.p
+   then list_append(st[1:len(st) - 2], {'run': st[-2].run, 's': least(st[-2].s, st[-1].s, r.s), 'e': greatest(st[-2].e, st[-1].e, r.e), 'n': st[-2].n + st[-1].n + r.n, 'gap': st[-2].gap, 'p': st[-2].p, 'members': list_concat(list_concat(st[-2].members, st[-1].members), r.members)}) else list_append(st, r) end
+  from (select y.road, y.track, y.run, w.st, y.r from w join s0 y on y.road = w.road and y.track = w.track and y.run = w.run + 1) q)
+ select road, track, unnest(st) as x from (select * from w qualify row_number() over (partition by road, track order by run desc) = 1) l)"""
+
+
+@query(oracle("select road, track, x.run as part_of, unnest(x.members) as run from ab", ABSORB))
 def absorbed_runs(spark, d):
     return segment.absorb_deviations(segment.summarise_runs(_runs(spark, d), TRACK, PROFILE), TRACK, PROFILE)
 
@@ -272,7 +285,7 @@ def axis_segments(spark, d):
 
 
 @query(oracle("""select p.axis_id, cast(p.n as bigint) as n, cast(round((s.x1 + (p.pos - s.from_m) / s.length * (s.x2 - s.x1)) * 100) as bigint) as x_cm, cast(round((s.y1 + (p.pos - s.from_m) / s.length * (s.y2 - s.y1)) * 100) as bigint) as y_cm
- from (select axis_id, n, n * 100.0 as pos from (select axis_id, max(from_m + length) as len from seg group by 1) q, range(0, 1000) t(n) where n * 100 <= len - 1) p join seg s on s.axis_id = p.axis_id and p.pos >= s.from_m and p.pos < s.from_m + s.length""", SEG))
+ from (select axis_id, n, n * 100.0 as pos from (select axis_id, unnest(range(0, cast(floor((len - 1) / 100) as bigint) + 1)) as n from (select axis_id, max(from_m + length) as len from seg group by 1) q where len >= 1) r) p join seg s on s.axis_id = p.axis_id and p.pos >= s.from_m and p.pos < s.from_m + s.length""", SEG))
 def axis_points(spark, d):
     s = _segments(spark, d)
     pos = linear.axis_lengths(s).where("length_m >= 1").select("axis_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("length_m") - 1) / 100).cast("int"))).alias("n")).withColumn("position_m", F.col("n") * 100.0)
@@ -287,9 +300,9 @@ def axis_samples(spark, d):
 
 @query(oracle("""select object_id as point_id, axis_id, cast(round(route * 10) as bigint) as route_dm, cast(round(off * 100) as bigint) as offset_cm from (select object_id, axis_id, off, route, row_number() over (partition by object_id order by off, axis_id, route) as k from
  (select object_id, axis_id, sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) as off, from_m + t * length as route from (select l.object_id, s.*, l.x1 as px, l.y1 as py, greatest(0, least(1, ((l.x1 - s.x1) * (s.x2 - s.x1) + (l.y1 - s.y1) * (s.y2 - s.y1)) / (s.length * s.length))) as t
-  from fx_line l join seg s on l.x1 between s.x1 - 60 and s.x2 + 60 and abs(l.y1 - s.y1) < 100 where l.object_id % 10 = 1) q) r where off <= 30) z where k = 1""", SEG))
+  from fx_line l join seg s on l.x1 between s.x1 - 60 and s.x2 + 60 and abs(l.y1 - s.y1) < 100) q) r where off <= 30) z where k = 1""", SEG))
 def projected_objects(spark, d):
-    pts = fixture(spark, d, "select object_id as point_id, x1 as x, y1 as y from fx_line where object_id % 10 = 1")
+    pts = fixture(spark, d, "select object_id as point_id, x1 as x, y1 as y from fx_line")
     p = linear.project_points(pts, _segments(spark, d), 30.0)
     return p.select("point_id", "axis_id", F.round(F.col("route_m") * 10).cast("bigint").alias("route_dm"), F.round(F.col("offset_m") * 100).cast("bigint").alias("offset_cm"))
 
@@ -314,19 +327,19 @@ def hectometre_intervals(spark, d):
 
 
 @query(oracle("""select p.object_id, cast(round(1e4 * case when p.route_m <= e.lo then e.lok when p.route_m >= e.hi then e.hik else i.k1 + (p.route_m - i.r1) / (i.r2 - i.r1) * (i.k2 - i.k1) end) as bigint) as km_dm, p.route_m between e.lo and e.hi as in_range
- from (select object_id, road as axis_id, start_m + 7 as route_m from fx_asset where ln = 2) p join (select axis_id, min(route_m) as lo, max(route_m) as hi, arg_min(hm_km, route_m) as lok, arg_max(hm_km, route_m) as hik from anch group by 1) e on e.axis_id = p.axis_id
+ from (select object_id, road as axis_id, start_m + 7 as route_m from fx_asset) p join (select axis_id, min(route_m) as lo, max(route_m) as hi, arg_min(hm_km, route_m) as lok, arg_max(hm_km, route_m) as hik from anch group by 1) e on e.axis_id = p.axis_id
  left join (select axis_id, route_m as r1, hm_km as k1, lead(route_m) over w as r2, lead(hm_km) over w as k2 from anch window w as (partition by axis_id order by route_m, hm_km)) i on i.axis_id = p.axis_id and p.route_m >= i.r1 and p.route_m < i.r2""", ANCH))
 def route_to_chainage(spark, d):
-    p = fixture(spark, d, "select object_id, road as axis_id, start_m + 7 as route_m from fx_asset where ln = 2")
+    p = fixture(spark, d, "select object_id, road as axis_id, start_m + 7 as route_m from fx_asset")
     k = linear.interpolate(p, _anchors(spark, d).select("axis_id", "route_m", "hm_km"), "axis_id", "route_m", "hm_km")
     return k.select("object_id", F.round(F.col("hm_km") * 1e4).cast("bigint").alias("km_dm"), "in_range")
 
 
 @query(oracle("""select axis_id, zone, min(position_m) as from_m, max(position_m) as to_m, max(distance_m) as max_m, count(*) as samples, case when max(distance_m) > 25 then 'red' else 'orange' end as color from (select *, cast(sum(c) over (partition by axis_id order by position_m) as bigint) as zone from
  (select s.axis_id, position_m, distance_m, case when position_m - lag(position_m) over (partition by s.axis_id order by position_m) <= greatest(1.5 * t.m, 10) then 0 else 1 end as c from smp s join (select axis_id, median(st) as m from (select axis_id, position_m - lag(position_m) over (partition by axis_id order by position_m) as st from smp) q group by 1) t on s.axis_id = t.axis_id where distance_m > 10) r) u group by 1, 2""",
-       "smp as (select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset where ln = 1 group by 1, 2)"))
+       "smp as (select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset group by 1, 2)"))
 def deviation_zones(spark, d):
-    s = fixture(spark, d, "select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset where ln = 1 group by road, start_m")
+    s = fixture(spark, d, "select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset group by road, start_m")
     return linear.deviation_zones(s).drop("mean_m")
 
 
@@ -419,9 +432,9 @@ def year_preview(spark, d):
     return y.groupBy("road").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("road", text.preview(F.col("vs")).alias("years"))
 
 
-@query(oracle("select object_id, field, value from (unpivot (select object_id, road, subtheme, side, layer from fx_asset where object_id % 100 = 9) on road, subtheme, side, layer into name field value value) q"))
+@query(oracle("select object_id, field, value from (unpivot (select object_id, road, subtheme, side, layer from fx_asset) on road, subtheme, side, layer into name field value value) q"))
 def object_preview(spark, d):
-    a = asset(spark, d).where("object_id % 100 = 9")
+    a = asset(spark, d)
     return a.unpivot(["object_id"], ["road", "subtheme", "side", "layer"], "field", "value")
 
 

@@ -11,4 +11,12 @@ def test_moved_objects_lead_to_other_families_and_ranges(spark):
     got = reconcile.replacement_candidates(compared, spark.createDataFrame(diffs, "project_key string, object_key string, difference string"), most=9).collect()
     found = {r["candidate"]: r["score"] for r in got}
     assert set(found) == {"N350-FPR-01.0-02.0", "N350-HRB-08.0-09.0", "N350-HRB-02.0-03.0", "N350-FPR-07.0-08.0"}
-    assert found["N350-FPR-01.0-02.0"] == 100 and 100 >= found["N350-HRB-08.0-09.0"] > found["N350-HRB-02.0-03.0"]
+    # Road 35, category 25, range 30 or 18, one object 45, name 4.
+    assert found["N350-FPR-01.0-02.0"] == 35 + 30 + 45 + 4 and found["N350-HRB-08.0-09.0"] == 35 + 25 + 45 + 4 and found["N350-HRB-02.0-03.0"] in (35 + 25 + 18 + 4, 35 + 25 + 18 + 8)
+
+
+def test_chainages_of_objects_count_as_a_range(spark):
+    rows = [("N350-HRB-01.0-02.0", GONE, 8.2, 8.9), ("N350-HRB-08.0-09.0", HERE, None, None), ("N350-HRB-09.5-09.9", HERE, None, None), ("N350-HRB-12.0-13.0", HERE, None, None)]
+    compared = spark.createDataFrame(rows, "project_key string, status string, hm_min double, hm_max double")
+    got = reconcile.replacement_candidates(compared, spark.createDataFrame([], "project_key string, object_key string, difference string")).collect()
+    assert [(r["candidate"], r["evidence"], r["place"]) for r in sorted(got, key=lambda r: r["place"])] == [("N350-HRB-08.0-09.0", "overlapping range", 1), ("N350-HRB-09.5-09.9", "range nearby", 2)]
