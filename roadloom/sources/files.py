@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.functions.text import clean_text
+from roadloom.functions.text import chainage_km, clean_text, date_year_month, normal_text, project_key
 
 
 def column_key(name: str) -> str:
@@ -51,49 +52,108 @@ def missing_columns(df: DataFrame, names: list[str], source: str) -> DataFrame:
     return spark.createDataFrame([(source, "MISSING_COLUMN", n) for n in names if n not in df.columns], "source string, code string, column string")
 
 
-def read_assets(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], expected: list[str], sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """Union of CSV exports, all cells text, with source_file; columns differ per file, so each is mapped on its own header."""
+def source_warnings(df: DataFrame, expected: list[str], source: str = "source_file") -> DataFrame:
+    """(source, code, column, rows): per source file, its rows in which an expected column is empty; columns that the table lacks are
+    empty in all rows."""
+    cells = with_columns_present(df, expected).select(F.col(source).alias("source"), *[clean_text(c).isNull().cast("int").alias(c) for c in expected])
+    n = cells.groupBy("source").agg(*[F.sum(c).alias(c) for c in expected], F.count("*").alias("_n"))
+    long = n.unpivot(["source", "_n"], expected, "column", "rows").where("rows > 0")
+    return long.select("source", F.when(F.col("rows") == F.col("_n"), "EMPTY_COLUMN").otherwise("EMPTY_CELLS").alias("code"), "column", "rows")
+
+
+def read_assets(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], expected: list[str], sep: str = ";", encoding: str = "UTF-8", ids: tuple[str, ...] = ("object_id", "source_id")) -> DataFrame:
+    """Union of CSV exports, all cells text, with source_file and row_key; columns differ per file, so each is mapped on its own header.
+
+    row_key is the file's name and the first non-empty id of the row, or a hash of its cells where it has none.
+    """
     def one(p):
         raw = spark.read.option("sep", sep).option("header", True).option("encoding", encoding).csv(p)
         named = raw.toDF(*unique_names(raw.columns))
-        return canonical_columns(named, aliases).withColumn("source_file", F.lit(p.rsplit("/", 1)[-1]))
+        return drop_empty_rows(canonical_columns(named, aliases)).withColumn("source_file", F.lit(p.rsplit("/", 1)[-1]))
+
+    rows = with_columns_present(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths]), expected)
+    own = [clean_text(c) for c in ids if c in rows.columns]
+    return rows.withColumn("row_key", F.concat_ws(":", "source_file", F.coalesce(*own, F.xxhash64(*sorted(rows.columns)).cast("string"))))
+
+
+#: Rank of the backbone subthemes; any other has rank 4.
+RANK = {"rijstrook": 1, "parallelweg": 2, "landbouwpad": 2, "busbaan": 2, "fietspad": 3}
+
 
-    return with_columns_present(drop_empty_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths])), expected)
+def domain_columns(df: DataFrame) -> DataFrame:
+    """df + side in title case (`Unknown` where empty), subtheme_clean, rank, chainage_km, registered_year and registered_month; columns
+    that are missing count as empty."""
+    d = with_columns_present(df, ["side", "subtheme", "chainage_text", "registered"])
+    rank = reduce(lambda w, kv: w.when(normal_text("subtheme") == kv[0], kv[1]), RANK.items(), F.when(F.lit(False), 0)).otherwise(4)
+    ym = date_year_month("registered")
+    return d.withColumns({
+        "side": F.coalesce(F.initcap(clean_text("side")), F.lit("Unknown")), "subtheme_clean": normal_text("subtheme"), "rank": rank, "chainage_km": chainage_km("chainage_text"), "registered_year": ym["year"], "registered_month": ym["month"],
+    })
 
 
 def read_table_below_titles(spark: SparkSession, path: str, aliases: dict[str, list[str]], sep: str = ";", head_lines: int = 25) -> DataFrame:
-    """Table of one file whose header stands somewhere in the first lines: the line with most known headers. Only those first
-    lines reach the driver."""
-    lines = spark.read.text(path)
+    """Table of one file whose header stands somewhere in the first lines: the line with most known headers, the first of equals.
+
+    Only those first lines reach the driver. Lines are known by their place in the file's first block, so a later line that
+    equals a title stays. Cells may be quoted.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"), at.alias("_i"))
     known = {column_key(a): c for c, names in aliases.items() for a in [c, *names]}
-    head = [r["value"] for r in lines.limit(head_lines).collect()]
+    head = [(r["_i"], r["value"]) for r in lines.where("_b = 0").orderBy("_i").limit(head_lines).collect()]
     if not head:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in aliases))
-    hits = [sum(column_key(x) in known for x in h.split(sep)) for h in head]
-    at = max(range(len(head)), key=lambda i: (hits[i], -i))
-    names = unique_names(head[at].split(sep))
-    skip = [h for h in head[: at + 1]]
-    cells = F.split("value", re.escape(sep), -1)
-    body = lines.where(~F.col("value").isin(skip)).select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    split = lambda x: next(csv.reader([x], delimiter=sep), [])
+    hits = [sum(column_key(x) in known for x in split(v)) for _, v in head]
+    best = max(range(len(head)), key=lambda i: (hits[i], -i))
+    names = unique_names(split(head[best][1]))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"sep": sep, "mode": "PERMISSIVE"})
+    body = lines.where((F.col("_b") > 0) | (F.col("_i") > head[best][0])).select(cells.alias("c")).select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)])
     return drop_empty_rows(canonical_columns(body, aliases))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: properties (map) and parts (array of lines of (x, y)) of points and lines, also Multi*."""
-    doc = spark.read.option("multiLine", True).schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>").json(path)
-    f = doc.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
-    pts = F.from_json("c", "array<double>")
-    line = F.from_json("c", "array<array<double>>")
-    multi = F.from_json("c", "array<array<array<double>>>")
-    parts = F.when(F.col("kind") == "Point", F.array(F.array(pts))).when(F.col("kind").isin("LineString", "MultiPoint"), F.array(line)).otherwise(multi)
+def read_actions(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], sep: str = ";") -> DataFrame:
+    """A previous action list: rows with a project or a status, under canonical names, numbered within their files (row_no)."""
+    rows = read_assets(spark, paths, aliases, ["project", "status", "state", "owner", "remark"], sep, ids=())
+    kept = rows.where(clean_text("project").isNotNull() | clean_text("status").isNotNull())
+    return kept.withColumn("project_key", project_key("project")).withColumn("row_no", F.monotonically_increasing_id()).drop("row_key")
+
+
+def read_features(spark: SparkSession, paths: list[str], id_field: str, label_field: str, lines: bool = False) -> DataFrame:
+    """Features of landed files, one per id; those without an id are one per label (such as a post's hectometre), or all kept if
+    they have neither."""
+    f = read_geojson(spark, paths, lines).withColumn("_id", clean_text(F.col("properties")[id_field])).withColumn("_label", clean_text(F.col("properties")[label_field]))
+    named = f.where("_id is not null").dropDuplicates(["_id"])
+    labelled = f.where("_id is null and _label is not null").dropDuplicates(["_label"])
+    return named.unionByName(labelled).unionByName(f.where("_id is null and _label is null")).drop("_id", "_label")
+
+
+def read_geojson(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per feature: properties (map) and parts (array of lines or rings of (x, y)) of points, lines and areas, also Multi*.
+
+    A feature collection is one JSON document, which one task reads whole; for large inputs land one feature a line (lines=True),
+    which splits like any text.
+    """
+    one = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    if lines:
+        f = spark.read.schema(one).json(path).where("geometry is not null")
+    else:
+        doc = spark.read.option("multiLine", True).schema(f"features array<struct<{one.replace('properties ', 'properties:').replace('geometry ', 'geometry:')}>>").json(path)
+        f = doc.select(F.explode("features").alias("f")).select("f.*")
+    f = f.select("properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("c"))
+    deep = lambda depth: F.from_json("c", "array<" * depth + "double" + ">" * depth)
+    parts = (
+        F.when(F.col("kind") == "Point", F.array(F.array(deep(1)))).when(F.col("kind").isin("LineString", "MultiPoint"), F.array(deep(2)))
+        .when(F.col("kind") == "MultiPolygon", F.flatten(deep(4))).otherwise(deep(3))
+    )
     xy = F.transform(parts, lambda p: F.transform(p, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
     return f.select("properties", "kind", xy.alias("parts"))
 
 
 def wkt_parts(c: str) -> Column:
-    """parts of a WKT or EWKT point or line, also Multi*; null if the text is neither."""
-    t = F.upper(F.regexp_replace(F.trim(F.col(c)), r"^(?i)SRID=\d+;", ""))
-    body = F.regexp_extract(t, r"^(?:MULTI)?(?:POINT|LINESTRING)\s*Z?\s*\((.*)\)$", 1)
+    """parts (lines, or rings of areas) of a WKT or EWKT point, line or area, also Multi*; null if the text is none of them."""
+    t = F.upper(F.regexp_replace(F.trim(F.col(c), F.lit(" \"'")), r"^(?i)SRID=\d+;\s*", ""))
+    body = F.regexp_extract(t, r"^(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*Z?\s*\((.*)\)$", 1)
     rings = F.filter(F.split(body, r"\)\s*,\s*\("), lambda x: x != "")
     vertex = lambda v: F.struct(F.split(F.trim(v), r"\s+")[0].try_cast("double").alias("x"), F.get(F.split(F.trim(v), r"\s+"), F.lit(1)).try_cast("double").alias("y"))
     parts = F.transform(rings, lambda r: F.transform(F.split(F.regexp_replace(r, "[()]", ""), ","), vertex))
@@ -101,6 +161,25 @@ def wkt_parts(c: str) -> Column:
     return F.when((body != "") & ok, parts)
 
 
+def _within(parts: Column, x: float, y: float) -> Column:
+    return F.forall(parts, lambda p: F.forall(p, lambda v: (F.abs(v["x"]) <= x) & (F.abs(v["y"]) <= y)))
+
+
+def locate(df: DataFrame, gps: str, rd: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with parts in EPSG:28992 and the column they came from, quarantined rows with a reason per geometry column).
+
+    The GPS cell counts if it can be read and lies within the degrees of a globe; otherwise the RD cell does, if it is finite.
+    """
+    d = with_columns_present(df, [gps, rd]).withColumn("_g", wkt_parts(gps)).withColumn("_r", wkt_parts(rd))
+    good_g, good_r = F.coalesce(_within(F.col("_g"), 180.0, 90.0), F.lit(False)), F.coalesce(_within(F.col("_r"), 1.7e308, 1.7e308), F.lit(False))
+    fault = lambda c, p, far: F.concat(F.lit(f"{c}: "), F.when(clean_text(c).isNull(), "empty").when(F.col(p).isNull(), "unreadable").otherwise(far))
+    moved = F.transform("_g", lambda p: F.transform(p, lambda v: to_rd(v["x"], v["y"])))
+    d = d.withColumn("_ok_g", good_g).withColumn("_ok_r", good_r)
+    valid = d.where("_ok_g or _ok_r").withColumn("parts", F.when(F.col("_ok_g"), moved).otherwise(F.col("_r"))).withColumn("geometry_column", F.when(F.col("_ok_g"), gps).otherwise(rd))
+    lost = d.where("not _ok_g and not _ok_r").withColumn("reason", F.concat_ws("; ", fault(gps, "_g", "outside the globe"), fault(rd, "_r", "not finite")))
+    return valid.drop("_g", "_r", "_ok_g", "_ok_r"), lost.drop("_g", "_r", "_ok_g", "_ok_r")
+
+
 def split_valid(df: DataFrame, wkt: str) -> tuple[DataFrame, DataFrame]:
     """(valid rows with parts, quarantined rows with a reason)."""
     d = df.withColumn("parts", wkt_parts(wkt))
