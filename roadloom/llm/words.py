@@ -60,3 +60,29 @@ def bound_batches(spark, batch_bytes: int = 4 << 20) -> None:
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(name, str(batch_bytes))
+
+
+def give_back() -> None:
+    """Hand memory that this worker process holds for nothing back to the system; what is in use stays.
+
+    Spark keeps workers for later tasks, several per core at times, and each would otherwise stay as large as its largest task.
+    """
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def lean(run):
+    """run(batches), a function for mapInArrow or mapInPandas, giving memory back when its task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
