@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.text import crc_mod
+from roadloom.llm.words import bound_batches, lean
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -21,28 +22,38 @@ def letters_only(text: str | None) -> str:
     return " ".join("".join(c if c.isalpha() or not c.isnumeric() else " " for c in out).split())
 
 
-def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 600, dict_bytes: int = 32 << 10) -> dict[str, bytes]:
-    """Raw-content dictionary per language from a bounded sample: about `sample_docs` documents a language (all, if it
-    has fewer), drawn by a hash of the key, of which each gives at most 1/16 of `dict_bytes`. Rows with null text or
-    language are not learned from. The driver holds sample_docs * dict_bytes / 16 bytes a language at most."""
-    t = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in t.groupBy(lang).count().collect()}
+def fit_dictionaries(
+    train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_pieces: int = 600, dict_bytes: int = 32 << 10, piece_chars: int = 512, max_languages: int = 1000
+) -> dict[str, bytes]:
+    """Raw-content dictionary per language from a bounded sample of pieces of whole texts.
+
+    Every text is cut into pieces of piece_chars; of a language's pieces about sample_pieces (all, if it has fewer) are
+    drawn by a hash of key and place, so any part of any training text may be drawn. They fill the dictionary in hash order
+    up to dict_bytes. Null texts and languages are not learned from, nor texts without a letter; a language with few
+    letters gets a short dictionary. The max_languages languages with most rows are learned (ties: the first names). The
+    driver holds sample_pieces * piece_chars characters a language at most. Repeated rows are drawn or left alike.
+    """
+    t = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.octet_length(text)).alias("h"))
+    n = F.ceil(F.greatest(F.length("t"), F.lit(1)) / piece_chars)
+    sizes = t.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(n).alias("pieces")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
-    u = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    each = dict_bytes // 16
-    rows = t.where(u < share[F.col(lang)]).select(lang, F.substring(text, 1, each).alias("t"), F.xxhash64(key).alias("h")).collect()
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_pieces / r["pieces"])))])
+    drawn = F.expr("filter(transform(sequence(0, n - 1), i -> named_struct('i', i, 'h', xxhash64('piece', h, i))), x -> pmod(x.h, 1073741824L) / 1073741824D < share)")
+    few = t.withColumn("n", n.cast("int")).withColumn("share", share[F.col("lang")]).where("share is not null").select("lang", "t", F.explode(drawn).alias("x"))
+    rows = few.select("lang", F.expr(f"substring(t, x.i * {piece_chars} + 1, {piece_chars})").alias("t"), "x.h").collect()
+    by: dict[str, list] = {r["lang"]: [] for r in sizes}
+    for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
+        by[r["lang"]].append(letters_only(r["t"]))
     out = {}
-    for k in sizes:
-        got = list(dict.fromkeys(letters_only(r["t"]) for r in sorted((r for r in rows if r[lang] == k), key=lambda r: (r["h"], r["t"]))))
+    for k, pieces in by.items():
         body = b""
-        for x in got:
-            body = x.encode()[:each] + b" " + body
+        for x in dict.fromkeys(p for p in pieces if p):
+            body = x.encode() + b" " + body
             if len(body) >= dict_bytes:
                 break
-        if len(body.strip()) >= 16:
-            out[k] = body[-dict_bytes:]
+        if body:
+            out[k] = body[-dict_bytes:].rjust(16)  # zstandard takes no dictionary below eight bytes
     return out
 
 
@@ -76,15 +87,20 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
 
     The whole text is compressed in 2 KiB blocks with each language's dictionary; the smallest total wins, ties go to the
     first name. score is (second - best) / second. Rejected are margins below min_margin and texts that are null or have
-    no letter, which get `und` and score 0. Without dictionaries every text is `und`. A row is judged on its own.
+    no letter, which get `und` and score 0. Without dictionaries every text is `und`; with one, its margin is a half. A row
+    is judged on its own: repeated rows get equal results, and an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "lang_rejected")
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classify = make_classifier(dictionaries, level)
-        for b in batches:
-            yield pd.DataFrame([classify(x) for x in b], columns=["lang_pred", "score"])
+        def judged(texts):
+            classify = make_classifier(dictionaries, level)
+            for b in texts:
+                yield pd.DataFrame([classify(x) for x in b], columns=["lang_pred", "score"])
+
+        yield from lean(judged)(batches)
 
     out = docs.withColumn("_l", run(F.col(text)))
     out = out.withColumn("lang_pred", F.col("_l.lang_pred")).withColumn("score", F.col("_l.score")).drop("_l")
