@@ -64,18 +64,37 @@ def confirm_sql(kind: str, m: str) -> str:
 SPAN = "struct<start:int,ord:int,end:int,kind:string,score:double>"
 
 
+#: Length of the stretches in which running values are folded; any length gives the same values.
+STRETCH = 256
+
+
+def running(items: str, start: str, kind: str, step: str, keep: str) -> str:
+    """SQL for the array of `keep` at each element x of items, while s runs on by `step` from `start` (of SQL type kind).
+
+    A fold that appends copies its array at each step. Elements are therefore folded in stretches of STRETCH, whose arrays
+    are then joined: n elements cost about n * STRETCH / 2 + (n / STRETCH)^2 / 2 copies.
+    """
+    inner = (
+        f"aggregate(slice(v, c * {STRETCH} + 1, {STRETCH}), named_struct('s', a.s, 'o', cast(array() as array<{kind}>)), "
+        f"(b, x) -> named_struct('s', transform(array(b.s), s -> {step})[0], 'o', array_append(b.o, transform(array(b.s), s -> {keep})[0])))"
+    )
+    return (
+        f"transform(array({items}), v -> aggregate(sequence(0, cast(ceil(size(v) / {STRETCH}) as int)), named_struct('s', cast({start} as {kind}), 'o', cast(array() as array<array<{kind}>>)), "
+        f"(a, c) -> transform(array({inner}), i -> named_struct('s', i.s, 'o', array_append(a.o, i.o)))[0], a -> flatten(a.o)))[0]"
+    )
+
+
 def spans_sql(kind: str, text: str) -> str:
     """SQL for the confirmed spans of one kind in a non-null text."""
     pattern = {**BASE, **ADDED}[kind]
     gate = GATE[kind].format(t=text)
     score = f"{PRIOR[kind]}D + case when lower(right(x.p, 40)) rlike '{CONTEXT[kind]}' then 0.3D else 0D end"
-    item = f"named_struct('start', s.pos + length(x.p), 'ord', {KINDS.index(kind)}, 'end', s.pos + length(x.p) + length(x.m), 'kind', '{kind}', 'score', least(1D, {score}))"
-    return f"""case when {gate} then aggregate(
-        zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)),
-        (s, x) -> named_struct('pos', s.pos + length(x.p) + coalesce(length(x.m), 0),
-            'out', case when x.m is not null and {confirm_sql(kind, 'x.m')} then array_append(s.out, {item}) else s.out end),
-        s -> s.out) else cast(array() as array<{SPAN}>) end"""
+    item = f"named_struct('start', x.a, 'ord', {KINDS.index(kind)}, 'end', x.a + length(x.m), 'kind', '{kind}', 'score', least(1D, {score}))"
+    ends = running("m", "0", "int", "s + length(x.p) + length(x.m)", "s + length(x.p)")
+    # The last part of the text has no match behind it.
+    pairs = f"transform(array(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (p, m) -> named_struct('p', p, 'm', m))), w -> filter(w, x -> x.m is not null))[0]"
+    placed = f"transform(array({pairs}), m -> zip_with(m, {ends}, (x, a) -> named_struct('p', x.p, 'm', x.m, 'a', a)))[0]"
+    return f"""case when {gate} then transform(filter({placed}, x -> {confirm_sql(kind, 'x.m')}), x -> {item}) else cast(array() as array<{SPAN}>) end"""
 
 
 def find_pii(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
@@ -98,17 +117,24 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", pii: str = "pii") -> DataFrame:
-    """Replace the spans in text by <kind>; overlapping spans become one, named after the first. length, where docs has
-    it, becomes the new number of characters of the changed texts. Null texts stay null."""
-    t = F.col(text)
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+PIECE = 4096
 
-    def step(s, x):
-        fresh = F.when(x["start"] >= s["pos"], F.concat(s["out"], F.array(F.substring(t, s["pos"] + 1, x["start"] - s["pos"]), F.concat(F.lit("<"), x["kind"], F.lit(">"))))).otherwise(s["out"])
-        return F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), fresh.alias("out"))
 
-    new = F.aggregate(F.col(pii), init, step, lambda s: F.concat(F.array_join(s["out"], ""), F.expr(f"substring(`{text}`, 1)").substr(s["pos"] + 1, F.length(t))))
+def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", pii: str = "pii") -> DataFrame:
+    """Replace the spans in text by <kind>; overlapping spans become one, named after the first. length, where docs has
+    it, becomes the new number of characters of the changed texts. Null texts stay null, repeated rows stay repeated, an
+    empty table stays empty, other columns are kept."""
+    t, q = F.col(text), "`" + text.replace("`", "``") + "`"
+    spans = f"`{pii}`"
+    # A span is fresh if it starts where all spans before it have ended; the others belong to the one before.
+    before = running(spans, "0", "int", "greatest(s, x.end)", "s")
+    fresh = f"filter(zip_with({spans}, {before}, (x, e) -> named_struct('a', x.start, 'e', e, 'kind', x.kind)), x -> x.a >= x.e)"
+    # Text between spans is cut out of pieces, so that a cut costs its own length, not that of the text before it.
+    pieces = f"regexp_extract_all({q}, '(?s).{{1,{PIECE}}}', 0)"
+    cut = f"substring(array_join(slice(ps, x.e div {PIECE} + 1, x.a div {PIECE} - x.e div {PIECE} + 1), ''), x.e % {PIECE} + 1, x.a - x.e)"
+    last = f"aggregate({spans}, 0, (a, x) -> greatest(a, x.end))"
+    tail = f"transform(array({last}), e -> substring(array_join(slice(ps, cast(e div {PIECE} + 1 as int), size(ps) + 1), ''), cast(e % {PIECE} + 1 as int)))[0]"
+    new = F.expr(f"transform(array({pieces}), ps -> concat(array_join(transform({fresh}, x -> concat({cut}, '<', x.kind, '>')), ''), {tail}))[0]")
     out = docs.withColumn("_new", F.when(t.isNull() | (F.size(pii) == 0), t).otherwise(new))
     if length and length in docs.columns:
         out = out.withColumn(length, F.when(F.size(pii) > 0, F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
