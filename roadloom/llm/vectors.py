@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.shared import materialize
+from roadloom.llm.words import lean
 from roadloom.operators.components import connected_components
 
 WIDTH = 2.0
@@ -44,6 +45,12 @@ def bucket_keys(x: np.ndarray, k: int, tables: int, seed: int = 11, width: float
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, scaled by their largest component first: squares of huge or tiny numbers would not fit a double."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows with equal keys, across batches; only the run in hand is kept."""
     held = []
@@ -77,7 +84,7 @@ def compare_blocks(threshold: float, dtype: str):
                 continue
             t = int(g["table"].iloc[0])
             x = np.stack([np.frombuffer(v, dtype) for v in g["vec"]]).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = unit(x)
             side = g["side"].to_numpy()
             node, weight = g["node"].to_numpy(), g["weight"].to_numpy()
             if g["lo"].iloc[0] == g["hi"].iloc[0]:
@@ -109,11 +116,11 @@ def compare_blocks(threshold: float, dtype: str):
                 if i != j:
                     root[max(i, j)] = min(i, j)
             for i in np.flatnonzero(links):
-                out.append((int(node[i]), int(links[i]), int(node[find(int(i))])))
+                out.append((node[i], int(links[i]), node[find(int(i))]))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["node", "links", "root"])
                 out = []
-        yield pd.DataFrame(out, columns=["node", "links", "root"]).astype("int64")
+        yield pd.DataFrame(out, columns=["node", "links", "root"])
 
     return run
 
@@ -125,7 +132,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding"
     `block`; block pairs are compared in separate tasks. Every pair that shares a bucket is compared in double precision.
     Null and zero vectors, vectors with null or non-finite components and rows with a null key link with nothing (a null
     key's component is null, and it is kept). Vectors of different lengths don't link. Rows with one key and different
-    vectors share their links. An empty table gives an empty result; other columns are dropped.
+    vectors share their links. Keys are of any type that has an order. Repeated rows link with each other as copies do. An
+    empty table gives an empty result; other columns are dropped.
     """
     item = vectors.schema[vec].dataType.elementType.simpleString()
     wide = item != "float"
@@ -133,7 +141,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding"
     big = float(np.finfo(np.float64).max)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= big))
     v = v.withColumn("v", F.when(F.col(key).isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.col("v")))
-    v = v.withColumn("h", F.xxhash64("v"))
+    # Classes are equal vectors; two hashes of 64 bits name them in the join back, so that hot copies shuffle no vectors.
+    v = v.withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit("second"), "v").alias("b")))
+    kind = vectors.schema[key].dataType.simpleString()
     classes = materialize(v.where("v is not null").groupBy("h", "v").agg(F.min(key).alias("node"), F.count("*").alias("weight")), "vec-classes")
     n = classes.count()
     k, tables = plan_tables(n, threshold, recall)
@@ -144,12 +154,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding"
             lens = b["v"].map(len).to_numpy()
             for size in np.unique(lens):
                 part = b[lens == size]
-                x = np.stack(part["v"].to_list()).astype(np.float64)
-                x /= np.sqrt(((x / np.abs(x).max(1)[:, None]) ** 2).sum(1))[:, None] * np.abs(x).max(1)[:, None]
-                keys = bucket_keys(x, k, tables)
+                keys = bucket_keys(unit(np.stack(part["v"].to_list()).astype(np.float64)), k, tables)
                 yield pd.DataFrame({"node": part["node"], "weight": part["weight"], "size": size, "vec": [np.asarray(r, dtype).tobytes() for r in part["v"]], "keys": list(keys), "packed": [r.tobytes() for r in keys]})
 
-    indexed = materialize(classes.select("node", "weight", "v").mapInPandas(index, "node long, weight long, size int, vec binary, keys array<int>, packed binary"), "vec-index")
+    indexed = materialize(classes.select("node", "weight", "v").mapInPandas(lean(index), f"node {kind}, weight long, size int, vec binary, keys array<int>, packed binary"), "vec-index")
     slots = indexed.select("node", "size", F.posexplode("keys").alias("table", "key"))
     live = slots.groupBy("table", "key", "size").agg(F.count("*").alias("m")).where("m > 1")
     member = slots.join(live, ["table", "key", "size"]).withColumn("b", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
@@ -158,7 +166,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding"
     full = member.join(indexed.select("node", "weight", "vec", F.col("packed").alias("keys")), "node")
     full = full.withColumn("key", F.xxhash64("key", "size"))
     dealt = full.repartition("table", "key", "lo", "hi").sortWithinPartitions("table", "key", "lo", "hi")
-    found = materialize(dealt.select("table", "key", "lo", "hi", "side", "node", "weight", "vec", "keys").mapInPandas(compare_blocks(threshold, dtype), "node long, links long, root long"), "vec-links")
+    found = materialize(dealt.select("table", "key", "lo", "hi", "side", "node", "weight", "vec", "keys").mapInPandas(lean(compare_blocks(threshold, dtype)), f"node {kind}, links long, root {kind}"), "vec-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = connected_components(found, "node", "root")
     by_class = classes.select("h", "node", "weight").join(links, "node", "left").join(comp, "node", "left").select("h", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
