@@ -12,18 +12,19 @@ import hashlib
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.functions.shared import scratch_path
+from roadloom.llm.words import lean
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 RECORD = T.StructType([
     T.StructField("target_uri", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()),
     T.StructField("refers_to", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()),
-    T.StructField("payload", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()),
+    T.StructField("payload", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("intact", T.BooleanType()),
 ])
 
 
@@ -48,11 +49,24 @@ def record_bytes(uri, record_id, record_type, payload: bytes, digest: str, refer
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+def record_id(key: str | None, digest: str) -> str:
+    """Of the key; rows that share a key share the id, and their payload digests tell them apart. A null key's is of the payload."""
+    from urllib.parse import quote
+
+    return f"urn:nokey:{digest}" if key is None else f"urn:page:{quote(key, safe='')}"
+
+
+def record_key(record_id: Column) -> Column:
+    """The key in a record id as text; null if it has none."""
+    return F.url_decode(F.regexp_extract(F.when(F.startswith(record_id, F.lit("urn:page:")), record_id), "^urn:page:(.*)$", 1))
+
+
 def plan_revisits(records: DataFrame, key: str, payload: str, min_bytes: int = 0, salts: int = 16) -> DataFrame:
     """records plus payload_digest (base32 SHA-1 of the UTF-8 payload; null: empty) and response_key.
 
     Of equal payloads of at least min_bytes the largest key is the response and response_key names it in every row;
-    smaller payloads and rows with null keys stand alone (response_key is their own key). The group's key is joined
+    smaller payloads and rows with null keys stand alone (response_key is their own key). Rows that repeat the response's
+    key and payload are responses too. An empty table gives an empty one; other columns stay. The group's key is joined
     back on a salted digest, so copies of one payload are spread over `salts` tasks.
     """
     r = records.withColumn("_sha1", F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")))
@@ -89,7 +103,7 @@ def write_warc(planned: DataFrame, path: str, key: str = "page_id", uri: str = "
                 body = (p or "").encode()
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
                 first = t == k
-                rec = record_bytes(u, f"urn:page:{k}", "response" if first else "revisit", body, digest, None if first else f"urn:page:{t}")
+                rec = record_bytes(u, record_id(k, digest), "response" if first else "revisit", body, digest, None if first else record_id(t, digest))
                 out.write(rec)
                 n, size = n + 1, size + len(rec)
         if out is not None:
@@ -99,11 +113,14 @@ def write_warc(planned: DataFrame, path: str, key: str = "page_id", uri: str = "
 
     fs, root = _fs(path)
     fs.create_dir(root, recursive=True)
-    return planned.select(*cols).mapInArrow(write, "file string, records long, bytes long")
+    return planned.select(*cols).mapInArrow(lean(write), "file string, records long, bytes long")
 
 
 def parse_record(raw: bytes, file: str, offset: int):
-    """A record's fields, or None if raw doesn't hold one whole WARC record."""
+    """A record's fields (see RECORD), or None if raw doesn't hold one whole WARC record.
+
+    A response's digest and length are those of the payload read; intact tells whether the headers say the same. A revisit
+    has no payload: they are its headers', and intact is null."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
     if not sep or not head.startswith(b"WARC/"):
         return None
@@ -112,8 +129,11 @@ def parse_record(raw: bytes, file: str, offset: int):
     http, sep, body = block.partition(b"\r\n\r\n")
     length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), len(body))
     strip = lambda x: x.strip("<>") if x is not None else None
-    return (h.get("warc-target-uri"), h.get("warc-type"), strip(h.get("warc-record-id")), strip(h.get("warc-refers-to")),
-            (h.get("warc-payload-digest") or "").rpartition(":")[2], length, body, file, offset)
+    digest, intact = (h.get("warc-payload-digest") or "").rpartition(":")[2], None
+    if h.get("warc-type") != "revisit":
+        read = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        intact, digest, length = (read, len(body)) == (digest, length), read, len(body)
+    return (h.get("warc-target-uri"), h.get("warc-type"), strip(h.get("warc-record-id")), strip(h.get("warc-refers-to")), digest, length, body, file, offset, intact)
 
 
 class _Window:
@@ -186,7 +206,7 @@ def read_warc(files: DataFrame, path: str, split_bytes: int = 32 << 20) -> DataF
         import pyarrow as pa
 
         fs, _ = _fs(path)
-        schema = pa.schema([("target_uri", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
+        schema = pa.schema([("target_uri", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64()), ("intact", pa.bool_())])
         for b in batches:
             for file, size, start in zip(*(c.to_pylist() for c in b.columns)):
                 with fs.open_input_file(file) as f:
@@ -200,7 +220,7 @@ def read_warc(files: DataFrame, path: str, split_bytes: int = 32 << 20) -> DataF
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
-    return ranges.repartition(parts * 2, "file", "start").mapInArrow(scan, RECORD)
+    return ranges.repartition(parts * 2, "file", "start").mapInArrow(lean(scan), RECORD)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
@@ -211,7 +231,6 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     listing = scratch_path(spark, "warc-files")
     files.write.parquet(listing)
     back = read_warc(spark.read.parquet(listing), path)
-    return back.select(
-        F.regexp_extract("record_id", "([^:]*)$", 1).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.regexp_extract("refers_to", "([^:]*)$", 1).cast("long").alias("refers_to"),
-    )
+    kind = pages.schema["page_id"].dataType
+    key = lambda c: record_key(F.col(c)).cast(kind).alias("page_id" if c == "record_id" else c)
+    return back.select(key("record_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to"))
