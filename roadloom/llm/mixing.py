@@ -103,16 +103,18 @@ def mix_sources(
     share = totals.withColumn("_budget", F.lit(whole / z["z"]) * F.pow(F.col("total"), F.lit(t)))
     # Passes of a source: bounded by the repetition limit, or by the budget that the caller sets.
     passes = share.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_budget") / F.col("total") - 1e-9) - 1, F.lit(0)).cast("int"))))
+    # Tokens are whole numbers, so half a token is no document; the first pass is whole unless the caller sets a budget.
+    inside = lambda c: (F.col(c) < F.col("_budget") - 0.5) | (F.lit(budget is None) & (F.col("pass") == 0))
     order = W.partitionBy("_src", "pass").orderBy("_bh", "block").rowsBetween(W.unboundedPreceding, -1)
     started = (
         per_block.join(passes, "_src").withColumn("_bh", F.xxhash64(F.lit(seed), "pass", "block"))
         .withColumn("_b0", F.coalesce(F.sum("_bt").over(order), F.lit(0.0)) + F.col("pass") * F.col("total"))
-        .where(F.col("_b0") < F.col("_budget") * (1 - 1e-12)).select("_src", "block", "pass", "_b0", "_budget")
+        .where(inside("_b0")).select("_src", "block", "pass", "_b0", "_budget")
     )
     # Blocks are hash buckets of documents, so a join on (source, block) is even; every pass repeats the block's rows.
     x = d.join(started, ["_src", "block"]).withColumn("_dh", F.xxhash64(F.lit(seed), "pass", key))
     inner = W.partitionBy("_src", "block", "pass").orderBy("_dh", key).rowsBetween(W.unboundedPreceding, -1)
-    x = x.withColumn("_at", F.coalesce(F.sum("_tok").over(inner), F.lit(0.0)) + F.col("_b0")).where(F.col("_at") < F.col("_budget") * (1 - 1e-12))
+    x = x.withColumn("_at", F.coalesce(F.sum("_tok").over(inner), F.lit(0.0)) + F.col("_b0")).where(inside("_at"))
     return x.withColumn("mix_position", F.col("_at") / F.col("_budget")).select(*cols, "pass", "block", "mix_position")
 
 
