@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.functions.shared import materialize
-from roadloom.llm.words import bound_batches, gather_runs, split_texts, text_blocks
+from roadloom.llm.words import bound_batches, gather_runs, lean, split_texts, text_blocks
 
 CAPACITY = 4096
 END_ID = 1
@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, file: str, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays(out, names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(encode, f"`{key}` {kind}, {PIECES}")
+    return docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(lean(encode), f"`{key}` {kind}, {PIECES}")
 
 
 @dataclass

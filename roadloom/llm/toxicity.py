@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.text import crc_mod
+from roadloom.llm.words import bound_batches, lean
 
 TERM = re.compile(r"[^\W\d_]+")
 BITS = 22
@@ -149,14 +150,18 @@ def score_toxicity(docs: DataFrame, model: FM, text: str = "text") -> DataFrame:
 
     Null and empty texts have no terms and get the bias alone. Every row is scored on its own; only the text counts.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("toxicity", "toxic_pred")
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        h, at = Hasher(), {int(t): i for i, t in enumerate(model.terms)}
-        for texts in batches:
-            rows = [np.sort(np.fromiter((at[x] for x in h(t) if x in at), np.int64)) for t in texts]
-            yield pd.Series(model.score_rows(rows))
+        def scored(parts):
+            h, at = Hasher(), {int(t): i for i, t in enumerate(model.terms)}
+            for texts in parts:
+                rows = [np.sort(np.fromiter((at[x] for x in h(t) if x in at), np.int64)) for t in texts]
+                yield pd.Series(model.score_rows(rows))
+
+        yield from lean(scored)(batches)
 
     return docs.withColumn("toxicity", run(F.col(text))).withColumn("toxic_pred", (F.col("toxicity") >= 0.5).cast("int"))
 
