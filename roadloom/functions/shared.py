@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of this session's own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of this session if
+    driver and executors are one process (tests), else a folder in the warehouse, which a cluster shares too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_roadloom_scratch", None)
     if not base:
-        base = getattr(spark, "_roadloom_scratch", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark._roadloom_scratch = base
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_scratch-{uuid.uuid4().hex}"
+        spark._roadloom_scratch = base
     return base.rstrip("/")
 
 
@@ -24,13 +24,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it back. See clear_scratch."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables by application.
+_written: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this application has stored, and say how many. Call it when results have been written:
+    DataFrames that still read such a table, results of operators among them, can't be used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_scratch(spark, path)
+    return len(paths)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one scratch table that no live DataFrame reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -113,3 +113,20 @@ def deviation_zones(samples: DataFrame, axis: str = "axis_id", attention_m: floa
     z = far.withColumn("_c", cut).withColumn("zone", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
     out = z.groupBy(axis, "zone").agg(F.min("position_m").alias("from_m"), F.max("position_m").alias("to_m"), F.max("distance_m").alias("max_m"), F.avg("distance_m").alias("mean_m"), F.count("*").alias("samples"))
     return out.withColumn("color", F.when(F.col("max_m") > check_m, "red").otherwise("orange"))
+
+
+def zone_types(zones: DataFrame, axes: DataFrame, samples: DataFrame, axis: str = "axis_id") -> DataFrame:
+    """zones (of deviation_zones) + (type, advice): where on its axis (axes: length_m) a zone lies and what that may mean.
+
+    The ends of an axis are its first and last 2 %, 150 m at least; a zone is long from 300 m and three median steps of the samples on.
+    """
+    w = W.partitionBy(axis).orderBy("position_m")
+    step = F.col("position_m") - F.lag("position_m").over(w)
+    typical = samples.withColumn("_s", step).where("_s > 0").groupBy(axis).agg(F.median("_s").alias("_step"))
+    z = zones.join(axes.select(axis, F.col("length_m").alias("_len")), axis, "left").join(typical, axis, "left")
+    edge = F.greatest(F.lit(150.0), F.col("_len") * 0.02)
+    begin, end = F.col("from_m") <= edge, F.col("_len") - F.col("to_m") <= edge
+    long = F.col("to_m") - F.col("from_m") >= F.greatest(F.lit(300.0), 3 * F.greatest("_step", F.lit(1.0)))
+    z = z.withColumn("type", F.when(begin & end, "begin and end").when(begin, "begin").when(end, "end").when(long, "long").otherwise("local"))
+    advice = F.when(F.col("type").isin("begin", "end", "begin and end"), "check where the axis begins and ends").when(F.col("type") == "long", "check that both follow one road").when(F.col("color") == "red", "look at the place before a boundary is set there").otherwise("look at the place")
+    return z.withColumn("advice", advice).drop("_len", "_step")

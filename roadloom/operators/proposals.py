@@ -57,15 +57,30 @@ def cut_reasons(transitions: DataFrame, keys: list[str], kind: str = "track") ->
     return f.groupBy("field", kind).agg(F.count("*").alias("proposals")).withColumn("share_pct", F.round(F.col("proposals") * 100 / whole, 1))
 
 
-def visible_complexes(proposals: DataFrame, short_m: float = 100.0) -> DataFrame:
-    """One row per proposed name (proposals without a name stay alone): extent, parts, and a class from a ladder: duplicate
-    name, micro, short, regular. complex_no counts within a road by start, end and name."""
+def visible_complexes(proposals: DataFrame, short_m: float = 100.0, flags: DataFrame | None = None) -> DataFrame:
+    """One row per proposed name (proposals without a name stay alone): extent, parts, a class, and whether it is listed.
+
+    Class, the first that holds: micro (all parts are), duplicate name, micro (a part is), short, outside (a part's category), family
+    mismatch, name difference, regular. Micro and short ones aren't listed. flags: (proposal_id, mismatch, differs), as of
+    family_mismatches and compare_proposals. complex_no counts within a road by start, end and name.
+    """
     name = F.when(F.coalesce(F.trim("proposed"), F.lit("")) != "", F.trim("proposed")).otherwise(F.col("proposal_id"))
-    g = proposals.withColumn("complex", name).groupBy("road", "complex").agg(
-        F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"), F.count("*").alias("parts"), F.sum("objects").alias("objects"), F.bool_and(F.col("category") == "micro").alias("_micro"))
-    kind = F.when(F.col("parts") > 1, "duplicate name").when(F.col("_micro"), "micro").when(F.col("end_m") - F.col("start_m") < short_m, "short").otherwise("regular")
+    p = proposals.withColumn("complex", name)
+    if flags is not None:
+        p = p.join(flags.select("proposal_id", "mismatch", "differs"), "proposal_id", "left")
+    else:
+        p = p.withColumn("mismatch", F.lit(False)).withColumn("differs", F.lit(False))
+    some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    g = p.groupBy("road", "complex").agg(
+        F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"), F.count("*").alias("parts"), F.sum("objects").alias("objects"), F.bool_and(F.col("category") == "micro").alias("_all"), some(F.col("category") == "micro").alias("_some"),
+        some(F.col("category") == "outside").alias("_out"), some(F.col("mismatch")).alias("_mismatch"), some(F.col("differs")).alias("_differs"),
+    )
+    kind = (
+        F.when(F.col("_all"), "micro").when(F.col("parts") > 1, "duplicate name").when(F.col("_some"), "micro").when(F.col("end_m") - F.col("start_m") < short_m, "short")
+        .when(F.col("_out"), "outside").when(F.col("_mismatch"), "family mismatch").when(F.col("_differs"), "name difference").otherwise("regular")
+    )
     w = W.partitionBy("road").orderBy("start_m", "end_m", "complex")
-    return g.withColumn("kind", kind).withColumn("complex_no", F.row_number().over(w)).drop("_micro")
+    return g.withColumn("kind", kind).withColumn("listed", ~F.col("kind").isin("micro", "short")).withColumn("complex_no", F.row_number().over(w)).drop("_all", "_some", "_out", "_mismatch", "_differs")
 
 
 def terminal_attention(proposals: DataFrame, attention: str, end_km: str = "end_km", road: str = "road") -> DataFrame:

@@ -314,3 +314,21 @@ def project_objects(asset: DataFrame, maint: DataFrame, diffs: DataFrame) -> Dat
     j = one(keyed_assets(asset), 1, 0).union(one(keyed_maintenance(maint), 0, 1)).groupBy("project_key", "object_key").agg(F.sum("x").alias("asset_rows"), F.sum("y").alias("maint_rows"))
     d = diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences"))
     return j.join(d, ["project_key", "object_key"], "left").select("project_key", "object_key", "asset_rows", "maint_rows", F.coalesce("differences", F.lit("")).alias("differences"))
+
+
+def control_point_details(asset: DataFrame, maint: DataFrame, diffs: DataFrame) -> DataFrame:
+    """The records behind the differences: per (project_key, object_key) of a differing project the object's asset and
+    maintenance rows side by side, with its kinds of difference.
+
+    Several rows of one object on both sides are numbered and paired by number, so that rows aren't multiplied.
+    """
+    def side(df, cols, name):
+        w = W.partitionBy("project_key", "object_key")
+        d = df.where("project_key <> ''").select("project_key", "object_key", *[F.col(c).alias(f"{name}_{c}") for c in cols])
+        return d.withColumn("row_no", F.row_number().over(w.orderBy(*[f"{name}_{c}" for c in cols])))
+
+    open_ = materialize(diffs.select("project_key").distinct(), "detail-projects")
+    kinds = diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences"))
+    a = side(keyed_assets(asset), ["object_no", "chainage"], "asset").join(open_, "project_key", "left_semi")
+    m = side(keyed_maintenance(maint), ["object_no", "measure", "amount", "price"], "maint").join(open_, "project_key", "left_semi")
+    return a.join(m, ["project_key", "object_key", "row_no"], "full_outer").join(kinds, ["project_key", "object_key"], "left").withColumn("differences", F.coalesce("differences", F.lit("")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadloom.functions.text import profile_value
+
 
 def technical_runs(objects: DataFrame, keys: list[str], profile: list[str], gap_m: float = 5.0, order: str = "object_id") -> DataFrame:
     """objects + run (from 1 within keys) and gap_before: a run ends at a gap beyond the furthest end so far, or where the
@@ -73,13 +75,40 @@ def contract_signals(objects: DataFrame, keys: list[str], contract: str = "contr
     return g.select(*keys, F.explode(signals).alias("signal"))
 
 
-def transitions(runs: DataFrame, keys: list[str], profile: list[str]) -> DataFrame:
-    """runs + (changed, reason): why each run ends."""
+def changed_fields(before: str, after: str, fields: list[str]) -> Column:
+    """Names of the fields in which two structs differ, in the given order; empty equals null."""
+    v = lambda s, f: F.coalesce(profile_value(F.col(f"{s}.{f}")), F.lit(""))
+    return F.filter(F.array(*[F.when(v(before, f) != v(after, f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+
+
+def local_deviations(runs: DataFrame, absorbed: DataFrame, keys: list[str], profile: list[str]) -> DataFrame:
+    """keys + (run, part_of, kind, fields): absorbed runs that differ from the run that took them in.
+
+    kind is `missing values` if all fields that differ are empty in the absorbed run, which is a matter of data quality, else
+    `technical deviation`, which is worth a look but cuts nothing.
+    """
+    p = runs.select(*keys, "run", F.struct(*profile).alias("_p"))
+    j = absorbed.where("run <> part_of").join(p, [*keys, "run"]).join(p.withColumnsRenamed({"run": "part_of", "_p": "_a"}), [*keys, "part_of"])
+    j = j.withColumn("fields", changed_fields("_a", "_p", profile)).where(F.size("fields") > 0)
+    filled = [F.when(F.array_contains("fields", f), F.coalesce(profile_value(F.col(f"_p.{f}")), F.lit("")) != "").otherwise(False) for f in profile]
+    some = filled[0]
+    for f in filled[1:]:
+        some = some | f
+    return j.select(*keys, "run", "part_of", F.when(some, "technical deviation").otherwise("missing values").alias("kind"), "fields")
+
+
+def transitions(runs: DataFrame, keys: list[str], profile: list[str], contracts: DataFrame | None = None) -> DataFrame:
+    """runs + (changed, reason): why each run ends. contracts: (keys, run, contracts), a run's contract numbers as a sorted array; where
+    two neighbours have some and none in common, a cut says that the contract changes too."""
     w = W.partitionBy(*keys).orderBy("run")
     nxt = lambda c: F.lead(c).over(w)
     changed = F.filter(F.array(*[F.when(F.col(c) != F.col(f"_n_{c}"), F.lit(c)) for c in profile]), lambda x: x.isNotNull())
     d = runs.withColumns({f"_n_{c}": nxt(c) for c in profile} | {"_g": nxt("gap_before")}).withColumn("changed", F.when(F.col("_g").isNull(), F.array().cast("array<string>")).otherwise(changed))
     blank = F.exists(F.array(*[F.when((F.col(c) != F.col(f"_n_{c}")) & ((F.col(c) == "") | (F.col(f"_n_{c}") == "")), True).otherwise(False) for c in profile]), lambda x: x)
     text = F.array_join("changed", ", ")
-    reason = F.when(F.col("_g").isNull(), "end of track").when(F.col("_g"), "gap").when(F.size("changed") == 0, "no technical cut").when(blank, F.concat(F.lit("check structural cut: "), text)).otherwise(F.concat(F.lit("hard technical cut: "), text))
-    return d.withColumn("reason", reason).drop("_g", *[f"_n_{c}" for c in profile])
+    too = F.lit("")
+    if contracts is not None:
+        d = d.join(contracts.select(*keys, "run", F.col("contracts").alias("_c")), [*keys, "run"], "left").withColumn("_nc", F.lead("_c").over(w))
+        too = F.when((F.size("_c") > 0) & (F.size("_nc") > 0) & ~F.arrays_overlap("_c", "_nc"), "; contract changes too").otherwise("")
+    reason = F.when(F.col("_g").isNull(), "end of track").when(F.col("_g"), "gap").when(F.size("changed") == 0, "no technical cut").when(blank, F.concat(F.lit("check structural cut: "), text, too)).otherwise(F.concat(F.lit("hard technical cut: "), text, too))
+    return d.withColumn("reason", reason).drop("_g", "_c", "_nc", *[f"_n_{c}" for c in profile])

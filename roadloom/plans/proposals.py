@@ -49,8 +49,8 @@ def cut_reasons(spark, d):
     return proposals.cut_reasons(segment.transitions(segment.summarise_runs(_runs(spark, d), TRACK, PROFILE), TRACK, PROFILE), TRACK)
 
 
-@query(oracle("""select *, row_number() over (partition by road order by start_m, end_m, complex) as complex_no from (select road, proposed as complex, min(start_m) as start_m, max(end_m) as end_m, count(*) as parts, cast(sum(objects) as bigint) as objects,
- case when count(*) > 1 then 'duplicate name' when bool_and(category = 'micro') then 'micro' when max(end_m) - min(start_m) < 100 then 'short' else 'regular' end as kind from prop group by 1, 2) q""", PROP))
+@query(oracle("""select *, kind not in ('micro', 'short') as listed, row_number() over (partition by road order by start_m, end_m, complex) as complex_no from (select road, proposed as complex, min(start_m) as start_m, max(end_m) as end_m, count(*) as parts, cast(sum(objects) as bigint) as objects,
+ case when bool_and(category = 'micro') then 'micro' when count(*) > 1 then 'duplicate name' when max(end_m) - min(start_m) < 100 then 'short' else 'regular' end as kind from prop group by 1, 2) q""", PROP))
 def visible_complexes(spark, d):
     return proposals.visible_complexes(_proposals(spark, d))
 

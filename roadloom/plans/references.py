@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import changes, linear, reconcile, references
+from roadloom.operators import changes, linear, proposals, reconcile, references, segment
 from roadloom.plans.cyclepaths import BENT, ORACLE_SQL, QUERIES, TURNED, _bent
 from roadloom.plans.fixtures import fixture, oracle
 from roadloom.plans.proposals import PROP, _assigned, _proposals
-from roadloom.plans.queries import A, SEG, asset, query, _segments
+from roadloom.plans.queries import A, ABSORB, DIFFS, PROFILE, RUNS, SEG, TRACK, asset, maint, query, _runs, _segments
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -142,3 +142,49 @@ def changed_object_search(spark, d):
 def common_values(spark, d):
     a = reconcile.project_key("project")
     return references.most_common(asset(spark, d).withColumn("project_key", a).where("project_key <> ''"), "project_key", ["road", "layer"])
+
+
+@query(oracle("""select road, track, run, part_of, case when (layer <> al and layer <> '') or (year_layer <> ay and year_layer <> '') then 'technical deviation' else 'missing values' end as kind, concat_ws(', ', case when layer <> al then 'layer' end, case when year_layer <> ay then 'year_layer' end) as fields from
+ (select m.road, m.track, m.run, m.part_of, r.layer, r.year_layer, a.layer as al, a.year_layer as ay from (select road, track, x.run as part_of, unnest(x.members) as run from ab) m join runs2 r on r.road = m.road and r.track = m.track and r.run = m.run join runs2 a on a.road = m.road and a.track = m.track and a.run = m.part_of where m.run <> m.part_of) q
+ where layer <> al or year_layer <> ay""", ABSORB))
+def local_deviations(spark, d):
+    runs = segment.summarise_runs(_runs(spark, d), TRACK, PROFILE)
+    out = segment.local_deviations(runs, segment.absorb_deviations(runs, TRACK, PROFILE), TRACK, PROFILE)
+    return out.withColumn("fields", F.array_join("fields", ", "))
+
+
+@query(oracle("""select road, track, run, case when g is null then 'end of track' when g then 'gap' when layer = nl and year_layer = ny then 'no technical cut' else (case when layer <> nl and (layer = '' or nl = '') then 'check structural cut: ' else 'hard technical cut: ' end) || concat_ws(', ', case when layer <> nl then 'layer' end, case when year_layer <> ny then 'year_layer' end)
+ || case when len(c) > 0 and len(nc) > 0 and not list_has_any(c, nc) then '; contract changes too' else '' end end as reason from (select *, lead(gap_before) over w as g, lead(layer) over w as nl, lead(year_layer) over w as ny, lead(c) over w as nc
+ from (select r.*, coalesce(k.c, []) as c from runs2 r left join (select road, track, run, list(distinct contract) filter (contract <> '') as c from runs1 group by 1, 2, 3) k on k.road = r.road and k.track = r.track and k.run = r.run) x window w as (partition by road, track order by run)) q""", RUNS))
+def contract_transitions(spark, d):
+    objects = _runs(spark, d)
+    contracts = objects.groupBy(*TRACK, "run").agg(F.array_sort(F.collect_set(F.nullif("contract", F.lit("")))).alias("contracts"))
+    return segment.transitions(segment.summarise_runs(objects, TRACK, PROFILE), TRACK, PROFILE, contracts).select(*TRACK, "run", "reason")
+
+
+ZONED = "smp as (select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset group by 1, 2)"
+
+
+@query(oracle("""select axis_id, zone, case when from_m <= edge and len - to_m <= edge then 'begin and end' when from_m <= edge then 'begin' when len - to_m <= edge then 'end' when to_m - from_m >= greatest(300, 3 * greatest(step, 1)) then 'long' else 'local' end as type
+ from (select z.*, l.len, greatest(150, l.len * 0.02) as edge, s.step from (select axis_id, zone, min(position_m) as from_m, max(position_m) as to_m from (select *, cast(sum(c) over (partition by axis_id order by position_m) as bigint) as zone from
+ (select s.axis_id, position_m, distance_m, case when position_m - lag(position_m) over (partition by s.axis_id order by position_m) <= greatest(1.5 * t.m, 10) then 0 else 1 end as c from smp s join (select axis_id, median(st) as m from (select axis_id, position_m - lag(position_m) over (partition by axis_id order by position_m) as st from smp) q group by 1) t on s.axis_id = t.axis_id where distance_m > 10) r) u group by 1, 2) z
+ join (select axis_id, sum(length) as len from seg group by 1) l on l.axis_id = z.axis_id join (select axis_id, median(st) as step from (select axis_id, position_m - lag(position_m) over (partition by axis_id order by position_m) as st from smp) q where st > 0 group by 1) s on s.axis_id = z.axis_id) y""", SEG + ", " + ZONED))
+def zone_types(spark, d):
+    s = fixture(spark, d, "select road as axis_id, start_m as position_m, cast(max(blk * 7 % 31) as double) as distance_m from fx_asset group by road, start_m")
+    return linear.zone_types(linear.deviation_zones(s), linear.axis_lengths(_segments(spark, d)), s).select("axis_id", "zone", "type")
+
+
+@query(oracle("""select road, complex, parts, case when am then 'micro' when parts > 1 then 'duplicate name' when sm then 'micro' when len < 100 then 'short' when mm then 'family mismatch' when df then 'name difference' else 'regular' end as kind from (select p.road, p.proposed as complex, count(*) as parts, bool_and(category = 'micro') as am, bool_or(category = 'micro') as sm,
+ max(end_m) - min(start_m) as len, bool_or(coalesce(f.mm, false)) as mm, bool_or(coalesce(f.df, false)) as df from prop p left join (select road || '-' || track || '-' || run as proposal_id, bool_or(contract = 'B-7') as mm, bool_or(project <> '' and project not like '%00.0%') as df from runs1 group by 1) f on f.proposal_id = p.proposal_id group by 1, 2) q""", PROP))
+def flagged_complexes(spark, d):
+    flags = _assigned(spark, d).groupBy("proposal_id").agg(F.bool_or(F.col("contract") == "B-7").alias("mismatch"), F.bool_or((F.col("project") != "") & ~F.col("project").like("%00.0%")).alias("differs"))
+    return proposals.visible_complexes(_proposals(spark, d), flags=flags).select("road", "complex", "parts", "kind")
+
+
+@query(oracle("""select coalesce(x.project_key, y.project_key) as project_key, coalesce(x.object_key, y.object_key) as object_key, coalesce(x.k, y.k) as row_no, x.project_key is not null as in_asset, y.measure, coalesce(w.differences, '') as differences
+ from (select *, object_no as object_key, row_number() over (partition by project_key, object_no) as k from a where project_key in (select project_key from diffs)) x
+ full join (select *, object_no as object_key, row_number() over (partition by project_key, object_no order by measure) as k from m where project_key in (select project_key from diffs)) y on x.project_key = y.project_key and x.object_key = y.object_key and x.k = y.k
+ left join (select project_key, object_key, string_agg(difference, ', ' order by difference) as differences from (select distinct project_key, object_key, difference from diffs) q group by 1, 2) w on w.project_key = coalesce(x.project_key, y.project_key) and w.object_key = coalesce(x.object_key, y.object_key)""", DIFFS))
+def control_point_details(spark, d):
+    a, m = reconcile.stored_sides(asset(spark, d), maint(spark, d))
+    return reconcile.control_point_details(a, m, reconcile.object_differences(a, m)).select("project_key", "object_key", "row_no", F.col("asset_object_no").isNotNull().alias("in_asset"), F.col("maint_measure").alias("measure"), "differences")
