@@ -16,11 +16,6 @@ from roadloom.functions.shared import materialize
 from roadloom.llm.text import words
 
 
-def source_totals(docs: DataFrame, source: str = "source", tokens: str = "tokens") -> DataFrame:
-    """(source, total): tokens per source, every document counting one at least; null is a source of its own."""
-    return docs.groupBy(source).agg(F.sum(F.greatest(tokens, F.lit(1))).cast("double").alias("total"))
-
-
 def _facts(totals: DataFrame, exps: list[float], entropy: bool) -> list[float]:
     """For each exponent, in one job: the mix's entropy over ln(number of sources), or the most passes of any source when
     the least repeated one gets one pass. Only sums leave the executors, however many sources there are."""
@@ -119,6 +114,7 @@ def mix_sources(
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus tokens, the number of words of the whole text (null: 0); a column of that name is replaced."""
     return docs.withColumn("tokens", F.size(words(F.col(text))).cast("long"))
 
 

@@ -127,8 +127,9 @@ def fit_fm(rows: list, labels: np.ndarray, factors: int = 8, epochs: int = 30, l
 def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000):
     """(rows of hashed terms, labels) of at most about max_rows labelled documents, drawn by a hash of the key.
 
-    Null labels, keys and texts are not learned from; a key labelled twice counts as its larger label. The labels' sample
-    is bounded by max_rows and broadcast, so texts are not shuffled.
+    Null labels, keys and texts are not learned from; a key labelled twice counts as its larger label; rows that share a key are
+    all learned from. The labels' sample is bounded by max_rows and broadcast, so texts are not shuffled. The driver gets
+    the distinct terms of the sampled texts, four bytes each. Without labelled rows the result is empty, and so is the model.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     n = lab.count()
@@ -148,7 +149,9 @@ def collect_training(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 def score_toxicity(docs: DataFrame, model: FM, text: str = "text") -> DataFrame:
     """docs plus toxicity (0 to 1) and toxic_pred (1 from 0.5 on), from the whole text; same-named columns are replaced.
 
-    Null and empty texts have no terms and get the bias alone. Every row is scored on its own; only the text counts.
+    Null and empty texts have no terms and get the bias alone. Every row is scored on its own; only the text counts, so
+    repeated rows and rows without a key are scored like any other. Whole texts are read, in batches of bounded size; an empty
+    table stays empty.
     """
     bound_batches(docs.sparkSession)
     docs = docs.drop("toxicity", "toxic_pred")
@@ -167,6 +170,7 @@ def score_toxicity(docs: DataFrame, model: FM, text: str = "text") -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A null doc_id is in no fold: held_out is null, and the row isn't learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     learn = crc_mod(F.col("doc_id"), 5) != 0
