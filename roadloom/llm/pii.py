@@ -20,17 +20,21 @@ BASE = {
 ADDED = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # What stands behind a name such as token and = or :, and keys that are known by how they begin.
+    "secret": r"(?<=(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\x22\x27]?\x20{0,3}[:=]\x20{0,3}[\x22\x27]?)[A-Za-z0-9_/+=.-]{16,512}+"
+    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,250}+)(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 #: A cheap test that any text with a match passes; others skip the pattern.
 GATE = {
     "email": "contains({t}, '@')", "ip": r"{t} rlike r'[0-9]\.[0-9]+\.[0-9]'", "card": r"{t} rlike r'[0-9](?:[\x20-]?[0-9]){{11}}'", "phone": "contains({t}, '+')",
     "iban": r"{t} rlike r'[A-Z]{{2}}[0-9]{{2}}'", "ssn": r"{t} rlike r'[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'",
+    "secret": r"{t} rlike r'(?i:token|secret|passw|key)[^A-Za-z0-9]{{1,9}}[A-Za-z0-9_/+=.-]{{16}}|AKIA|gh[pousr]_|xox[abprs]-|PRIVATE KEY'",
 }
 #: Prior score of a confirmed match, and words before it (within 40 characters) that raise it by 0.3.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.6, "iban": 0.7, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.6, "iban": 0.7, "ssn": 0.4, "secret": 0.7}
 CONTEXT = {
     "email": "mail|contact|write|reply", "ip": "ip|host|server|address|from", "card": "card|visa|credit|pay|karte|carte|tarjeta", "phone": "phone|call|tel|mobile|fax",
-    "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social security",
+    "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social security", "secret": "secret|token|key|auth|password",
 }
 KINDS = [*BASE, *ADDED]
 
@@ -56,6 +60,8 @@ def confirm_sql(kind: str, m: str) -> str:
         return f"length({d}) between 9 and 15"
     if kind == "iban":
         return f"exists(array(replace({m}, ' ', '')), c -> length(c) between 15 and 34 and {MOD97.format(c='c')})"
+    if kind == "secret":
+        return f"({m} like '-----BEGIN%' or ({m} rlike '[0-9]' and {m} rlike '[A-Za-z]' and size(array_distinct(split({m}, ''))) >= 8))"
     if kind == "ssn":
         return f"not ({m} rlike '^(000|666|9)|-00-|-0000$')"
     return "true"
@@ -101,7 +107,7 @@ def find_pii(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> Dat
     """docs plus pii, an array of (start, ord, end, kind, score) over the whole text in order of start, then kind.
 
     The four base kinds (email, ip, card, phone) are leftmost non-overlapping matches per kind whose checks pass; they
-    stay whatever their score. Of the added kinds (iban with mod-97, ssn) those of min_score or more stay. Positions
+    stay whatever their score. Of the added kinds (iban with mod-97, ssn, secret) those of min_score or more stay. Positions
     count code points, ends are exclusive; spans of different kinds may overlap. Null and empty texts have an empty
     array. A column named pii is replaced; all others, and repeated rows, are kept.
     """
@@ -146,4 +152,4 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(docs).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["ord"] < len(BASE))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
