@@ -8,6 +8,7 @@ Tokenising, cutting, ranking and placing run on Spark. The plan itself needs onl
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,44 +136,64 @@ class Plan:
         return sum(m for _, m in self.patterns)
 
 
+class SumIndex:
+    """Which available lengths add up to a sum: one, pairs (a, b) and triples (a, b, c), by the sum.
+
+    An entry lists the largest members, rising, of those available when its sum is first asked for. Counts only fall, and the
+    largest lengths run out first: members that have run out are dropped from the end, others passed over. There are at most
+    `capacity` sums of each kind, and capacity members a sum.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left, self.entries = counts, ({}, {})
+
+    def _members(self, kind: int, total: int, parts: int) -> Iterator[int]:
+        entry = self.entries[kind].get(total)
+        if entry is None:
+            have = self.left[1:total] > 0
+            some = np.flatnonzero(have & have[::-1] if parts == 2 else have[: total - 2]) + 1
+            entry = self.entries[kind][total] = some[some * parts >= total].tolist()
+        while entry and not self.left[entry[-1]]:
+            entry.pop()
+        return reversed(entry)
+
+    def pairs(self, total: int) -> Iterator[int]:
+        """The larger ones of pairs with this sum, falling."""
+        return (a for a in self._members(0, total, 2) if self.left[a] and self.left[total - a]) if total > 1 else iter(())
+
+    def triples(self, total: int) -> Iterator[int]:
+        """The largest ones of triples that may have this sum, falling; the rest is a pair."""
+        return (a for a in self._members(1, total, 3) if self.left[a]) if total > 2 else iter(())
+
+
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Patterns for counts[length] pieces of each length.
 
     The longest length left is served first. Its gap is filled exactly by one available length, else by a pair, else by a
-    triple, looked up as complements in the array of available lengths (that array is the index of single sums; sliced
-    against its own reverse it is the index of pair sums, and shifted by each third length that of triple sums). The
-    pattern repeats as often as the counts allow. Where no exact complement exists the largest length that fits goes in,
-    and the rest of the gap is treated alike. Every pattern uses up a length, so there are at most about `capacity` of them.
+    triple, looked up by their sums (SumIndex). The pattern repeats as often as the counts allow. Where no exact complement
+    exists the largest length that fits goes in, and the rest of the gap is treated alike. Every pattern uses up a length, so
+    there are at most about `capacity` of them.
     """
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] += c
     out: list[tuple[tuple[int, ...], int]] = []
+    index = SumIndex(left)
 
     def times(items):
         return min(int(left[x]) // items.count(x) for x in set(items))
 
     def pair(gap, used):
-        """The pair (a, b), a >= b, with a + b = gap and the largest a."""
-        if gap < 2:
-            return None
-        have = left[1:gap] > 0
-        both = np.flatnonzero(have & have[::-1]) + 1
-        for a in both[both * 2 >= gap][::-1]:
-            if times([*used, int(a), int(gap - a)]) > 0:
-                return [int(a), int(gap - a)]
-        return None
+        return next(([a, gap - a] for a in index.pairs(gap) if times([*used, a, gap - a]) > 0), None)
 
     def exact(gap, used):
         if left[gap] > 0 and times([*used, gap]) > 0:
             return [gap]
         if found := pair(gap, used):
             return found
-        for a in np.flatnonzero(left[1 : gap - 1] > 0)[::-1] + 1:
-            if int(a) * 3 < gap:
-                break
-            if times([*used, int(a)]) > 0 and (found := pair(gap - int(a), [*used, int(a)])):
-                return [int(a), *found]
+        for a in index.triples(gap):
+            if times([*used, a]) > 0 and (found := pair(gap - a, [*used, a])):
+                return [a, *found]
         return None
 
     top = capacity
