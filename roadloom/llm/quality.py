@@ -75,44 +75,60 @@ def binomial_tail(k: str, n: str, alpha: float) -> Column:
 
 
 def prove_rules(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", label: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(stratum, rules, passed, n, rejected, p, one cutoff per measure): how far each stratum's joint rules were proven safe.
+    """(stratum, pooled, rules, passed, n, rejected, p, one cutoff per measure): how far each stratum's joint rules were proven safe.
 
     Documents are split by a hash of the key. One half proposes rules, nested from loose to strict: cutoffs between the largest
     value of all documents and of good ones (label 1), then quantiles of the good ones; values above are rejected. The good
     ones of the other half test them in this order, each at delta over the number of strata, and the first failure ends it,
     so with probability 1 - delta no stratum's rule rejects more than alpha of its good documents. n, rejected and p are of
-    the strictest rule passed, or of the first one where none passes; cutoffs are null there. Keys labelled twice count
-    once, by their smaller label; null labels, keys and strata don't count.
+    the strictest rule passed, or of the first one where none passes; cutoffs are null there.
+
+    A stratum with fewer good test documents than ln(delta / strata) / ln(1 - alpha) can't prove any rule alone. Such strata are
+    pooled and tested as one: the bound then holds for the pool, not for each of its strata. Strata without any good test document get no rule.
+    Keys labelled twice count once, by their smaller label; null labels, keys and strata don't count.
     """
     names = list(MEASURES)
     half = F.crc32(F.concat_ws("/", F.lit("half"), F.col(key).cast("string")).cast("binary")) % 2
     lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_y")).where("_y = 1").select(key)
     known = measured.where(F.col(stratum).isNotNull()).select(key, stratum, *names, half.alias("half"))
     good = materialize(known.join(lab, key, "left_semi"), "quality-good")
-    widest = known.where("half = 0").groupBy(stratum).agg(*[F.max(m).alias(f"top_{m}") for m in names])
-    own = good.where("half = 0").groupBy(stratum).agg(*[F.percentile_approx(m, [1.0, *QUANTILES], 10000).alias(f"own_{m}") for m in names])
+    sizes = good.where("half = 1").groupBy(stratum).agg(F.count("*").alias("_n"))
+    need = math.log(delta / max(sizes.count(), 1)) / math.log(1 - alpha)
+    # Groups are strata by themselves, or the pool: (its flag, the stratum or null).
+    alone = F.col("_n") >= math.ceil(need)
+    groups = materialize(sizes.select(stratum, (~alone).alias("pooled"), F.when(alone, F.col(stratum)).alias("member")), "quality-groups")
+    by = ["pooled", "member"]
+    known, good = known.join(groups, stratum), materialize(good.join(groups, stratum), "quality-grouped")
+    widest = known.where("half = 0").groupBy(*by).agg(*[F.max(m).alias(f"top_{m}") for m in names])
+    own = good.where("half = 0").groupBy(*by).agg(*[F.percentile_approx(m, [1.0, *QUANTILES], 10000).alias(f"own_{m}") for m in names])
+    same = lambda x, y: x["pooled"].eqNullSafe(y["pooled"]) & x["member"].eqNullSafe(y["member"])
     cut = lambda m: F.concat(*[F.array(F.col(f"own_{m}")[0] + f * (F.col(f"top_{m}") - F.col(f"own_{m}")[0])) for f in LOOSE], F.col(f"own_{m}"))
-    grid = materialize(own.join(widest, stratum).select(stratum, *[cut(m).alias(f"c_{m}") for m in names]), "quality-grid")
-    strata = grid.count()
+    grid = own.join(widest, same(own, widest)).select(own["pooled"], own["member"], *[cut(m).alias(f"c_{m}") for m in names])
+    grid = materialize(grid, "quality-grid")
+    tested = grid.count()
     rules = len(LOOSE) + 1 + len(QUANTILES)
     # Rules are nested, so the first one that rejects a document tells all that do.
     first = F.array_min(F.array(*[F.coalesce(F.array_min(F.expr(f"transform(c_{m}, (c, i) -> if({m} > c, i, null))")), F.lit(rules)) for m in names]))
-    seen = good.where("half = 1").join(grid, stratum).groupBy(stratum, first.alias("first")).agg(F.count("*").alias("m"))
-    seen = seen.groupBy(stratum).agg(F.sum("m").alias("n"), F.collect_list(F.struct("first", "m")).alias("firsts"))
-    each = seen.select(stratum, "n", F.explode(F.expr(f"transform(sequence(0, {rules - 1}), r -> struct(r as rule, aggregate(firsts, 0L, (a, x) -> a + if(x.first <= r, x.m, 0L)) as k))")).alias("t")).select(stratum, "n", "t.rule", F.col("t.k").alias("k"))
+    probe = good.where("half = 1").select("pooled", "member", *names)
+    seen = probe.join(grid, same(probe, grid)).groupBy(grid["pooled"], grid["member"], first.alias("first")).agg(F.count("*").alias("m"))
+    seen = seen.groupBy(*by).agg(F.sum("m").alias("n"), F.collect_list(F.struct("first", "m")).alias("firsts"))
+    each = seen.select(*by, "n", F.explode(F.expr(f"transform(sequence(0, {rules - 1}), r -> struct(r as rule, aggregate(firsts, 0L, (a, x) -> a + if(x.first <= r, x.m, 0L)) as k))")).alias("t")).select(*by, "n", "t.rule", F.col("t.k").alias("k"))
     each = each.withColumn("p", binomial_tail("k", "n", alpha))
     # The count rejected grows with the rule, and p with it: those that pass come before the first failure.
-    ok = F.col("p") <= delta / max(strata, 1)
-    got = each.groupBy(stratum).agg(F.first("n").alias("n"), F.count_if(ok).alias("passed"), F.array_sort(F.collect_list(F.struct("rule", "k", "p"))).alias("ts"))
+    ok = F.col("p") <= delta / max(tested, 1)
+    got = each.groupBy(*by).agg(F.first("n").alias("n"), F.count_if(ok).alias("passed"), F.array_sort(F.collect_list(F.struct("rule", "k", "p"))).alias("ts"))
     at = F.get("ts", F.greatest(F.col("passed") - 1, F.lit(0)).cast("int"))
-    out = grid.join(got, stratum, "left").withColumns({"passed": F.coalesce("passed", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
-    return out.select(stratum, F.lit(rules).alias("rules"), "passed", "n", at["k"].alias("rejected"), at["p"].alias("p"), *[F.when(F.col("passed") > 0, F.get(f"c_{m}", (F.col("passed") - 1).cast("int"))).alias(f"cut_{m}") for m in names])
+    got = got.select(F.col("pooled").alias("_p"), F.col("member").alias("_m"), "n", "passed", "ts")
+    full = grid.join(got, grid["pooled"].eqNullSafe(got["_p"]) & grid["member"].eqNullSafe(got["_m"]), "left").withColumns({"passed": F.coalesce("passed", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    full = full.select(F.col("pooled").alias("_p"), F.col("member").alias("_m"), "passed", "n", at["k"].alias("rejected"), at["p"].alias("p"), *[F.when(F.col("passed") > 0, F.get(f"c_{m}", (F.col("passed") - 1).cast("int"))).alias(f"cut_{m}") for m in names])
+    out = groups.join(full, groups["pooled"].eqNullSafe(full["_p"]) & groups["member"].eqNullSafe(full["_m"]), "left")
+    return out.select(stratum, "pooled", F.lit(rules).alias("rules"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("n", F.lit(0)).alias("n"), "rejected", "p", *[f"cut_{m}" for m in names])
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", label: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """(stratum, one cutoff per measure) of the strictest joint rule proven safe; strata without one are left out.
 
-    A stratum needs ln(delta / strata) / ln(1 - alpha) good test documents at least, those of the test half; see prove_rules."""
+    Strata with few labels share the rule of their pool; see prove_rules."""
     return prove_rules(measured, labels, key, stratum, label, alpha, delta).where("passed > 0").select(stratum, *[f"cut_{m}" for m in MEASURES])
 
 
