@@ -56,6 +56,15 @@ def overlap_sum(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     return j.groupBy(*keys, left_id).agg(F.count("*").alias("objects"), F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("overlap"))
 
 
+def occupied_gaps(gaps: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
+    """gaps (of hard_gaps) + (objects, covered): overlaps, and those gaps that objects (keys, start, end) of the same keys lie in. A
+    gap without any object is the end of what is there, not a hole in the projects."""
+    g = gaps.select(*keys, F.struct("previous", "name", "from").alias("_id"), F.col("from").alias("start"), F.col("to").alias("end")).where("end > start")
+    n = overlap_sum(g, objects, keys, "_id").where("overlap > 0")
+    j = gaps.withColumn("_id", F.struct("previous", "name", "from")).join(n, [*keys, "_id"], "left").drop("_id")
+    return j.where("kind <> 'gap' or objects is not null").withColumnRenamed("overlap", "covered")
+
+
 def last_before(probe: DataFrame, known: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """As-of join without a range join: probe rows take values of the last known row with known.at <= probe.at.
 

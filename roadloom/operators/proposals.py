@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.functions.names import hm_label, tenth_up
+from roadloom.functions.names import hm_label, snap_label, tenth_up
 
 _NONE = "array<string>"
 
 
-def proposal_table(runs: DataFrame, micro_m: float = 25.0) -> DataFrame:
+def proposal_table(runs: DataFrame, micro_m: float = 25.0, snap_m: float | None = None) -> DataFrame:
     """runs (road, track, run, start_m, end_m, …) + (proposal_id, proposed, length_m, category): the name is made of both
-    boundaries rounded up to tenths of a kilometre; category is micro up to micro_m, else regular."""
-    label = lambda m: hm_label(tenth_up(F.col(m) / 1000))
+    boundaries rounded up to tenths of a kilometre, those within snap_m of a 100 m post taking that post; category is micro up
+    to micro_m, else regular."""
+    label = lambda m: hm_label(tenth_up(F.col(m) / 1000)) if snap_m is None else snap_label(F.col(m) / 1000, snap_m)["label"]
     length = F.col("end_m") - F.col("start_m")
     return runs.withColumns({
         "proposal_id": F.concat_ws("-", "road", "track", F.col("run").cast("string")),
