@@ -59,8 +59,9 @@ def keyed_maintenance(maint: DataFrame) -> DataFrame:
 
 
 def stored_sides(asset: DataFrame, maint: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables keyed and stored, for several operators: the wide exports are read once."""
-    return materialize(keyed_assets(asset), "keyed-assets"), materialize(keyed_maintenance(maint), "keyed-maintenance")
+    """Both tables keyed and stored, for several operators: the wide exports are read once. A table that has been keyed stays as it is."""
+    a, m = keyed_assets(asset), keyed_maintenance(maint)
+    return a if a is asset else materialize(a, "keyed-assets"), m if m is maint else materialize(m, "keyed-maintenance")
 
 
 def asset_projects(asset: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -98,7 +99,7 @@ BAD_CHAINAGE = "project_key <> '' and km is null"
 
 def object_differences(asset: DataFrame, maint: DataFrame) -> DataFrame:
     """(project_key, object_key, difference, chainage): objects on one side only, objects of another road, bad chainages."""
-    a, m = keyed_assets(asset), keyed_maintenance(maint)
+    a, m = stored_sides(asset, maint)
     kinds = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in _side_kinds().items()]), lambda x: x.isNotNull())
     sides = _both_sides(a, m).select("project_key", "object_key", F.explode(kinds).alias("difference"), F.lit("").alias("chainage"))
     bad = a.where(BAD_CHAINAGE).select("project_key", "object_key", F.lit("invalid_chainage").alias("difference"), "chainage")
