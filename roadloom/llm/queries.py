@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from roadloom.llm import langid, mixing, packing, pii, quality, shingle_join, toxicity, url_filter, vectors, warc
+from roadloom.llm import langid, merkle, mixing, packing, pii, quality, shingle_join, toxicity, url_filter, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
+    "op11_merkle": merkle.op11_merkle,
 }
 
-ORACLE_SQL = {"op7_url_filter": url_filter.ORACLE_OP7}
+ORACLE_SQL = {"op7_url_filter": url_filter.ORACLE_OP7, "op11_merkle": merkle.ORACLE_OP11}
