@@ -8,12 +8,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadloom.functions.shared import materialize
-from roadloom.llm.text import words
+from roadloom.llm.packing import RunEncoder, encode_texts, tokenizer_file
+from roadloom.llm.words import bound_batches, lean, text_blocks
+
+#: Rows of the whole table that there is a block for, and blocks at least.
+BLOCK_ROWS, LEAST_BLOCKS = 8192, 4096
 
 
 def _facts(totals: DataFrame, exps: list[float], entropy: bool) -> list[float]:
@@ -71,7 +78,7 @@ def find_exponent(totals: DataFrame, target_entropy: float | None = None, max_pa
 
 def mix_sources(
     docs: DataFrame, source: str = "source", tokens: str = "tokens", key: str = "doc_id", target_entropy: float | None = 0.9, max_passes: float | None = 2.0,
-    budget: float | None = None, seed: int = 7, blocks: int = 4096,
+    budget: float | None = None, seed: int = 7, blocks: int | None = None,
 ) -> DataFrame:
     """One row per exposure of a document: its columns plus pass (from 0), block and mix_position (0 to 1).
 
@@ -79,15 +86,18 @@ def mix_sources(
     so nothing is lost and the repetition limit bounds the result. A source's budget is filled by whole passes; the last
     one takes blocks in their permuted order, then documents in theirs, while they start inside the budget. Each pass
     permutes blocks and the documents in them anew. Ordering by mix_position gives the mixed stream: every prefix holds
-    the sources near their weights. Blocks are hash buckets, so a hot source is spread over `blocks` windows; window
-    state is one block, and one row per block for the blocks' own order. Documents without tokens count one token. Null
+    the sources near their weights. Blocks are hash buckets, 4096 or, beyond that, one for each 8192 rows of the table, so a hot
+    source is spread over them all; window state is one block, and one row per block for the blocks' own order. Rows without a key are
+    spread by their tokens. Documents without tokens count one token. Null
     sources form a group; repeated rows are documents of their own; an empty table gives an empty result. Columns of docs
-    named pass, block or mix_position are replaced.
+    named pass, block or mix_position are replaced. With both targets the repetition limit may leave the entropy short of its target;
+    mix_weights tells what is reached.
     """
     docs = docs.drop("pass", "block", "mix_position")
     cols = docs.columns
+    blocks = blocks or max(LEAST_BLOCKS, -(-docs.count() // BLOCK_ROWS))
     d = docs.withColumn("_src", F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))).withColumn("_tok", F.greatest(F.coalesce(F.col(tokens), F.lit(1)), F.lit(1)).cast("double"))
-    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks)).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), key, F.when(F.col(key).isNull(), F.col("_tok"))), F.lit(blocks)).cast("int"))
     per_block = materialize(d.groupBy("_src", "block").agg(F.sum("_tok").alias("_bt")), "mix-blocks")
     totals = per_block.groupBy("_src").agg(F.sum("_bt").alias("total"))
     t = find_exponent(totals, target_entropy, max_passes)
@@ -113,12 +123,37 @@ def mix_sources(
     return x.withColumn("mix_position", F.col("_at") / F.col("_budget")).select(*cols, "pass", "block", "mix_position")
 
 
-def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus tokens, the number of words of the whole text (null: 0); a column of that name is replaced."""
-    return docs.withColumn("tokens", F.size(words(F.col(text))).cast("long"))
+def mix_weights(docs: DataFrame, source: str = "source", tokens: str = "tokens", target_entropy: float | None = 0.9, max_passes: float | None = 2.0) -> DataFrame:
+    """(source, total, weight, passes, exponent, entropy): the mix that mix_sources makes without a budget of the caller's. passes is
+    how often a source is shown, entropy that of the weights over the greatest possible; null sources are `\u0000`."""
+    tok = F.greatest(F.coalesce(F.col(tokens), F.lit(1)), F.lit(1)).cast("double")
+    totals = materialize(docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("source")).agg(F.sum(tok).alias("total")), "mix-totals")
+    t = find_exponent(totals, target_entropy, max_passes)
+    reached = _facts(totals, [t], True)[0] if not totals.isEmpty() else None
+    power = F.pow("total", F.lit(t))
+    z = totals.agg(F.sum(power).alias("z"), F.max(F.pow("total", F.lit(1 - t))).alias("least")).first()
+    weight, passes = power / F.lit(z["z"]), power * F.lit(z["least"]) / F.col("total")
+    return totals.select("source", "total", weight.alias("weight"), passes.alias("passes"), F.lit(t).alias("exponent"), F.lit(reached).alias("entropy"))
+
+
+def count_tokens(docs: DataFrame, text: str = "text", file: str | None = None) -> DataFrame:
+    """docs plus tokens: those of the whole text by the tokenizer and one for its end, as packing counts them (null: the end
+    alone). A column of that name is replaced."""
+    bound_batches(docs.sparkSession)
+    file, docs = file or tokenizer_file(), docs.drop("tokens").withColumn(text, F.col(text).cast("string"))
+
+    def count(batches):
+        enc = RunEncoder(file)
+        for batch in batches:
+            n = [np.diff(encode_texts(part.column(text), enc)[0]) for _, part in text_blocks(batch, text)]
+            yield batch.append_column("tokens", pa.array(np.concatenate([np.zeros(0, np.int64), *n]) + 1, pa.int64()))
+
+    return docs.mapInArrow(lean(count), T.StructType([*docs.schema.fields, T.StructField("tokens", T.LongType())]))
 
 
 def op5_temperature_mixing(spark, sf_dir: str) -> DataFrame:
+    """The flattest mix of the sources of documents in which none is shown more than twice as often as the least repeated one. A null
+    doc_id is a document like others, a null source a source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     slim = materialize(count_tokens(docs).select("doc_id", "source", "tokens"), "mix-docs")
-    return mix_sources(slim).select("doc_id", "source", "tokens", "pass", "mix_position")
+    return mix_sources(slim, target_entropy=None).select("doc_id", "source", "tokens", "pass", "mix_position")

@@ -224,6 +224,39 @@ def test_mixing_cases(spark):
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((a, b) for a, b, _ in rows) and {r["pass"] for r in got} == {0}
 
 
+def test_query_mixes_by_its_exponent(spark):
+    """op5 on the given documents: the exponent is bisected, passes follow it, and every source fills its budget."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs_ = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tok = Tokenizer.from_file(packing.tokenizer_file())
+    size = {i: len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for i, r in docs_.items()}
+    total = Counter()
+    for i, r in docs_.items():
+        total[r["source"]] += size[i]
+    most = max(total.values()) / min(total.values())
+    t = max(0.0, 1 - math.log(2) / math.log(most))
+    got = mixing.op5_temperature_mixing(spark, sf).collect()
+    assert all(r["tokens"] == size[r["doc_id"]] for r in got) and {r["doc_id"] for r in got} == set(docs_)
+    assert {r["pass"] for r in got} == {0, 1} and max(Counter(r["doc_id"] for r in got).values()) == 2
+    seen = Counter()
+    for r in got:
+        seen[r["source"]] += r["tokens"]
+    # The source that is shown least has one pass; a budget is passed by less than one document.
+    scale = max(v ** (1 - t) for v in total.values())
+    longest = {s: max(size[i] for i, r in docs_.items() if r["source"] == s) for s in total}
+    assert all(-1 - 1e-3 * v <= seen[s] - scale * v**t <= longest[s] + 1e-3 * v for s, v in total.items())
+    w = mixing.mix_weights(spark.createDataFrame([(i, docs_[i]["source"], n) for i, n in size.items()], "doc_id long, source string, tokens long"), target_entropy=None).collect()
+    assert all(abs(r["exponent"] - t) < 1e-4 and abs(r["passes"] - scale * r["total"] ** (t - 1)) < 1e-3 for r in w) and abs(sum(r["weight"] for r in w) - 1) < 1e-9
+
+
+def test_rows_without_ids_are_spread(spark):
+    d = spark.createDataFrame([(None, "hot", i % 500) for i in range(2000)], "doc_id long, source string, tokens long")
+    got = mixing.mix_sources(d, target_entropy=None).groupBy("block").count().collect()
+    assert len(got) > 300 and sum(r["count"] for r in got) == 2000
+
+
 # --- op6
 
 
@@ -446,9 +479,33 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in out:
         places[r["sequence_id"]].append((r["offset"], r["length"]))
     assert all([o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] for v in places.values())
+    mixed = [r["doc_id"] for r in after[3].collect()]
+    assert sum(a > b for a, b in zip(mixed, mixed[1:])) > len(mixed) / 4  # in the mix's order, not by id
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, path).collect()) == Counter({(i, c): n for (i, _, c), n in want.items()})
 
 
+def test_near_duplicate_stage_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, c), (6, c + " more"), (-7, b), (None, c), (None, "alone here with some words"), (8, near), (9, ""), (9, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, d, "").collect()
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    # Of {1 a, 5 a, 8 near} the first stays, of {5 b, -7 b} -7; of 6's two near texts one; rows without id or words stay.
+    assert left[1, a] == left[-7, b] == left[None, "alone here with some words"] == left[9, ""] == left[9, None] == left[None, c] == 1
+    assert left[6, c] + left[6, c + " more"] == 1 and sum(left.values()) == 7
+
+
+def test_near_duplicate_stage_keeps_the_only_row_of_a_text(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, a), (5, a), (5, b)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, d, "").collect()} == {(1, a), (5, b)}
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stages_with_odd_rows(spark, stage):
     import corpus_pipeline
