@@ -1,17 +1,18 @@
 """Collocations: phrases that occur more often than their parts make likely, counted exactly with HAT-tries inside tasks.
 
-Phrases are counted length by length; one of k words can be frequent only if both its parts of k - 1 words are, so each length is a
-pass over the texts that counts what the last one left open. A task counts in a trie over word ids with hash containers at its leaves
-(Askitis and Sinha, 2007), which burst into a deeper node when they grow; when the trie is full its largest subtrees leave as sorted
-runs. Runs are merged by Spark, partitioned by what phrases begin with.
+First phrases are screened length by length: a phrase can be frequent only if its parts are, so each length counts hashes of what the
+last one left open, and those that reach the threshold go into a filter. Then one pass counts the phrases that pass the filters,
+exactly: a task counts in tries over word ids with hash containers at their leaves (Askitis and Sinha, 2007), which burst into a
+deeper node when they grow; when they are full their largest subtrees leave as sorted runs. Runs are merged by Spark, partitioned by
+what phrases begin with.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +25,12 @@ from roadloom.llm.words import bound_batches, lean
 
 #: Bytes of text that are split into words at once.
 WINDOW = 4 << 20
-#: Entries at which a container bursts, at which a trie spills, and words that a task knows by number before it starts anew.
+#: Entries at which a container bursts, at which tries spill or hashes are handed on, and words that a task knows by number before it starts anew.
 BURST, FULL, WORDS = 4096, 1_000_000, 1_000_000
 #: Bits of a filter of frequent phrases: sixteen a phrase, but at most 2 ** 27 (16 MB). A fuller filter lets more phrases be counted; results stay.
 MIN_BITS, MAX_BITS = 16, 27
+#: Phrase hashes have 52 bits; a filter is asked at their lower bits and at those from this one on.
+SECOND = 25
 RUN_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 #: Fixed by the definition of pieces and words: piece ends, then spaces.
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -40,8 +43,8 @@ _LOWER[65:91] += 32
 class HatTrie:
     """Counts of rows of k word ids. A node is a dict: of containers by the next id (an int), or, at a leaf, of counts by the bytes of the ids left."""
 
-    def __init__(self, k: int, burst: int = BURST, full: int = FULL):
-        self.k, self.burst, self.full, self.entries = k, burst, full, 0
+    def __init__(self, k: int, burst: int = BURST):
+        self.k, self.burst, self.entries = k, burst, 0
         self.root: dict = {}
         self.deep: dict[int, dict] = {}  # nodes that have burst, by identity
         self.depth = min(k - 1, 2)
@@ -124,10 +127,24 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.append(first, len(s)))
 
 
-def split_words(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[pa.DictionaryArray, np.ndarray, np.ndarray]]:
-    """(words, pieces, rows) of stretches of texts, one after the other: distinct words coded, and of each word the number of its piece
-    (equal within a piece only) and of its text. Null texts have no words. A piece is in one stretch; stretches hold about
-    window bytes, more where a single piece does."""
+@dataclass
+class Words:
+    """Words of a stretch of texts: letters and offsets of the lower-cased words, a hash of each, and of each the number of its piece (equal
+    within a piece only) and of its text."""
+
+    letters: np.ndarray
+    offsets: np.ndarray
+    hashes: np.ndarray
+    piece: np.ndarray
+    row: np.ndarray
+
+    def array(self) -> pa.StringArray:
+        return pa.StringArray.from_buffers(len(self.piece), pa.py_buffer(self.offsets.tobytes()), pa.py_buffer(self.letters.tobytes()))
+
+
+def split_words(texts: pa.Array, window: int = WINDOW) -> Iterator[Words]:
+    """Words of texts, stretch by stretch. Null texts have none. A piece is in one stretch; stretches hold about window bytes, more where a
+    single piece does."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -150,25 +167,35 @@ def split_words(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[pa.Dict
         at = stop
 
 
-def _words_of(raw: np.ndarray, starts: np.ndarray, first_row: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+def _words_of(raw: np.ndarray, starts: np.ndarray, first_row: int) -> Words:
     kind = _KIND[raw]
-    mark = np.zeros(len(raw), np.int8)
-    mark[starts] = 1
+    mark = np.zeros(len(raw), np.bool_)
+    mark[starts] = True
     inside = kind == 0
     begin = inside.copy()
-    begin[1:] &= ~inside[:-1] | (mark[1:] == 1)
+    begin[1:] &= ~inside[:-1] | mark[1:]
     where = np.flatnonzero(begin)
-    piece = np.cumsum((kind == 2) | (mark == 1), dtype=np.int32)[where]
+    piece = np.cumsum((kind == 2) | mark, dtype=np.int32)[where]
     held = np.cumsum(inside, dtype=np.int32)
-    cut = np.append(held[where] - 1, held[-1] if len(held) else 0).astype(np.int32)
+    offsets = np.append(held[where] - 1, held[-1] if len(held) else 0).astype(np.int32)
     letters = _LOWER[raw[inside]]
-    words = pa.StringArray.from_buffers(len(where), pa.py_buffer(cut.tobytes()), pa.py_buffer(letters.tobytes())).dictionary_encode()
     # The text that holds a word is the last that begins at or before it; of texts that begin together all but the last are empty.
-    return words, piece, np.searchsorted(starts, where, "right") - 1 + first_row
+    return Words(letters, offsets, hash_words(letters, offsets), piece, np.searchsorted(starts, where, "right") - 1 + first_row)
+
+
+def hash_words(letters: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of each word: a polynomial of its bytes, mixed."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(offsets)
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(offsets[:-1], sizes)
+    powers = np.full(int(sizes.max()), _STEP, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    return _mix(np.add.reduceat(powers[place] * (letters.astype(np.uint64) + np.uint64(1)), offsets[:-1]), sizes.astype(np.uint64))
 
 
-def _hash(values: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.array(values.to_pylist(), object), categorize=False) if len(values) else np.zeros(0, np.uint64)
+_STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,110 +203,201 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """64 bits of a phrase from the hashes of its language and of its words."""
-    h = lang
-    for w in words:
-        h = _mix(h, w)
-    return h
-
-
-def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     mask = np.uint64(len(bits) * 8 - 1)
-    a, b = h & mask, h >> np.uint64(32) & mask
     hit = lambda x: bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1
-    return (hit(a) & hit(b)).astype(bool)
+    return (hit(key & mask) & hit(key >> np.uint64(SECOND) & mask)).astype(bool)
+
+
+class Stretch:
+    """Phrases of one stretch of words: hashes by length, and where those begin that may be frequent."""
+
+    def __init__(self, words: Words, lang: np.ndarray, filters: dict[int, np.ndarray]):
+        self.words, self.filters, self.n = words, filters, len(words.piece)
+        self.hashes = {0: lang}
+        self.passed: dict[int, np.ndarray] = {}
+
+    def key(self, k: int) -> np.ndarray:
+        """52-bit hash of the k words from each place on."""
+        if k not in self.hashes:
+            self.key(k - 1)
+            n = max(self.n - k + 1, 0)
+            self.hashes[k] = _mix(self.hashes[k - 1][:n], self.words.hashes[k - 1 : k - 1 + n])
+        return self.hashes[k] >> np.uint64(12)
+
+    def whole(self, k: int) -> np.ndarray:
+        """Whether the k words from each place on are in one piece."""
+        n = max(self.n - k + 1, 0)
+        return self.words.piece[:n] == self.words.piece[k - 1 : k - 1 + n]
+
+    def frequent(self, k: int) -> np.ndarray:
+        """Whether the k words from each place on are one piece's and pass the filter of their length."""
+        if k not in self.passed:
+            ok = self.whole(k)
+            at = np.flatnonzero(ok)
+            ok[at] = _in_filter(self.filters[k], self.key(k)[at])
+            self.passed[k] = ok
+        return self.passed[k]
+
+    def open(self, k: int) -> np.ndarray:
+        """Places where a phrase of k words begins whose parts, of the greatest length below k that has a filter, pass it."""
+        m = max((j for j in self.filters if j < k), default=0)
+        ok = self.whole(k)
+        for j in range(k - m + 1 if m else 0):
+            ok = ok & self.frequent(m)[j : j + len(ok)]
+        return np.flatnonzero(ok)
+
+
+def _stretches(batch: pa.RecordBatch, filters: dict[int, np.ndarray], window: int) -> Iterator[tuple[Stretch, np.ndarray, list[str]]]:
+    """(stretch, language number of each word, names of the languages)"""
+    langs = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
+    of, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
+    own = [np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8) for x in names]
+    # A letter before each name, so that the empty one has bytes too.
+    letters = np.concatenate([np.zeros(0, np.uint8), *[np.append(np.uint8(1), x) for x in own]])
+    hashes = hash_words(letters, np.cumsum([0, *[len(x) + 1 for x in own]]).astype(np.int32))
+    for words in split_words(batch.column("text"), window):
+        if len(words.piece):
+            lang = of[words.row]
+            yield Stretch(words, hashes[lang], filters), lang, names
+
+
+def screen(texts: DataFrame, lengths: list[int], filters: dict[int, np.ndarray], min_count: int, full: int = FULL, window: int = WINDOW) -> dict[int, np.ndarray]:
+    """Filters of the phrases of `lengths` words of texts (lang, text) that may occur min_count times: those whose parts pass the filters
+    given and whose hash does occur so often. Tasks add hashes up before they hand them on; only bits reach the driver."""
+    held = texts.sparkSession.sparkContext.broadcast(filters)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(counts[order], first)
+
+    def count(batches):
+        open_: dict[int, list] = {k: [] for k in lengths}
+        sizes = dict.fromkeys(lengths, 0)
+
+        def hand_on(k):
+            if open_[k]:
+                keys, counts = summed(open_[k])
+                open_[k], sizes[k] = [], 0
+                for i in range(0, len(keys), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), k, np.int32)), pa.array(keys[part].astype(np.int64)), pa.array(counts[part])], names=["k", "key", "n"])
+
+        for b in batches:
+            for s, _, _ in _stretches(b, held.value, window):
+                for k in lengths:
+                    at = s.open(k)
+                    if len(at):
+                        open_[k].append(np.unique(s.key(k)[at], return_counts=True))
+                        sizes[k] += len(open_[k][-1][0])
+                        if sizes[k] > 2 * full:
+                            open_[k] = [summed(open_[k])]
+                            sizes[k] = len(open_[k][0][0])
+                            if sizes[k] > full:
+                                yield from hand_on(k)
+        for k in lengths:
+            yield from hand_on(k)
+
+    found = texts.mapInArrow(lean(count), "k int, key long, n long").repartition("k", "key").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    found = materialize(found.where(F.col("n") >= min_count).select("k", "key"), "phrase-hashes")
+    sizes = {r["k"]: r["n"] for r in found.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    bits = {k: 1 << min(MAX_BITS, max(MIN_BITS, (16 * sizes.get(k, 0) - 1).bit_length() if k in sizes else 0)) for k in lengths}
+    mask = F.create_map(*[x for k, n in bits.items() for x in (F.lit(k), F.lit(n - 1).cast("long"))])[F.col("k")]
+    places = found.select("k", F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", SECOND).bitwiseAND(mask))).alias("at"))
+    words = places.groupBy("k", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = {}
+    got = words.toPandas()
+    for k, n in bits.items():
+        mine = got[got["k"] == k]
+        held_bits = np.zeros(n // 64, np.uint64)
+        held_bits[mine["word"].to_numpy(np.int64)] = mine["bits"].to_numpy(np.int64).view(np.uint64)
+        out[k] = held_bits.view(np.uint8)
+    return out
 
 
 class PhraseCounter:
-    """Counts phrases of k words of a task's texts whose two parts of k - 1 words pass the filter; for k = 1 all words, and all
-    words of a language together under the empty phrase."""
+    """Exact counts of a task's phrases that pass the filter of their length, and all words of a language together under the empty phrase."""
 
-    def __init__(self, k: int, bits: np.ndarray | None, burst: int = BURST, full: int = FULL, words: int = WORDS, window: int = WINDOW):
-        self.k, self.bits, self.words, self.window = k, bits, words, window
-        self.trie, self.known, self.total = HatTrie(k, burst, full), {}, {}
+    def __init__(self, filters: dict[int, np.ndarray], burst: int = BURST, full: int = FULL, words: int = WORDS, window: int = WINDOW):
+        self.filters, self.full, self.words, self.window = filters, full, words, window
+        self.tries = {k: HatTrie(k, burst) for k in filters}
+        self.known: dict[tuple[int, str], int] = {}
         self.langs: dict[str, int] = {}
-
-    def add(self, langs: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        langs = pc.fill_null(langs, "und").dictionary_encode()
-        lang_of, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
-        lang_hash = _hash(langs.dictionary)
-        number = np.array([self.langs.setdefault(x, len(self.langs)) for x in names], np.int64)
-        for words, piece, rows in split_words(texts, self.window):
-            if not len(words):
-                continue
-            code, lang = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), lang_of[rows]
-            k, n = self.k, len(code)
-            if k == 1:
-                for i, c in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
-                    self.total[names[i]] = self.total.get(names[i], 0) + c
-                at = np.arange(n)
-            elif n < k:
-                continue
-            else:
-                h = _hash(words.dictionary)[code]
-                part = phrase_hash(lang_hash[lang[: n - k + 2]], [h[j : n - k + 2 + j] for j in range(k - 1)])
-                inside = piece[: n - k + 2] == piece[k - 2 :]
-                ok = np.zeros(len(part), bool)
-                ok[inside] = _in_filter(self.bits, part[inside])
-                at = np.flatnonzero(ok[:-1] & ok[1:] & (piece[: n - k + 1] == piece[k - 1 :]))
-            if not len(at):
+        self.total: dict[str, int] = {}
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for s, lang, names in _stretches(batch, self.filters, self.window):
+            for i, c in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
+                self.total[names[i]] = self.total.get(names[i], 0) + c
+            at = {k: np.flatnonzero(s.frequent(k)) for k in self.filters}
+            used = np.zeros(s.n, bool)
+            for k, places in at.items():
+                for j in range(k):
+                    used[places + j] = True
+            where = np.flatnonzero(used)
+            if not len(where):
                 continue
             # Numbers of this task for the (language, word) pairs that are in phrases.
-            pair = np.stack([code[at + j] for j in range(k)], 1) * len(names) + lang[at][:, None]
+            coded = s.words.array().take(pa.array(where)).dictionary_encode()
+            pair = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + lang[where]
             u, inverse = np.unique(pair, return_inverse=True)
-            texts_of = words.dictionary.take(pa.array(u // len(names))).to_pylist()
-            keys = list(zip(number[u % len(names)].tolist(), texts_of))
+            number = np.array([self.langs.setdefault(x, len(self.langs)) for x in names], np.int64)
+            keys = zip(number[u % len(names)].tolist(), coded.dictionary.take(pa.array(u // len(names))).to_pylist())
             known = self.known
-            ids = np.fromiter((known.setdefault(x, len(known)) for x in keys), np.int32, len(keys))
-            self.trie.add(*_distinct(ids[inverse.reshape(pair.shape)]))
+            ids = np.fromiter((known.setdefault(x, len(known)) for x in keys), np.int32, len(u))
+            of = np.zeros(s.n, np.int32)
+            of[where] = ids[inverse]
+            for k, places in at.items():
+                if len(places):
+                    self.tries[k].add(*_distinct(np.stack([of[places + j] for j in range(k)], 1)))
+            entries = sum(t.entries for t in self.tries.values())
             if len(known) > self.words:
-                yield from self.spill(0)
-            elif self.trie.entries > self.trie.full:
-                yield from self.spill(self.trie.full // 2)
-
-    def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of what leaves the trie."""
-        if not self.trie.entries:
-            return
-        lang_names, known = list(self.langs), list(self.known)
-        langs, words = pa.array([lang_names[i] for i, _ in known]), pa.array([w for _, w in known])
-        held, count = [], 0
-        for rows, counts in self.trie.runs(keep):
-            held.append((rows, counts))
-            count += len(rows)
-            if count >= 100_000:
-                yield self._run(held, langs, words)
-                held, count = [], 0
-        if held:
-            yield self._run(held, langs, words)
-        if not keep:
-            self.known.clear()
-
-    def _run(self, held: list, langs: pa.Array, words: pa.Array) -> pa.RecordBatch:
+                yield from self.spill(0.0)
+                known.clear()
+            elif entries > self.full:
+                yield from self.spill(0.5)
+
+    def spill(self, keep: float) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of what leaves the tries until a share of their entries is left."""
+        names = list(self.langs)
+        langs, words = pa.array([names[i] for i, _ in self.known], pa.string()), pa.array([w for _, w in self.known], pa.string())
+        for k, trie in self.tries.items():
+            held, count = [], 0
+            for run in trie.runs(int(trie.entries * keep)):
+                held.append(run)
+                count += len(run[0])
+                if count >= 100_000:
+                    yield self._run(k, held, langs, words)
+                    held, count = [], 0
+            if held:
+                yield self._run(k, held, langs, words)
+
+    def _run(self, k: int, held: list, langs: pa.Array, words: pa.Array) -> pa.RecordBatch:
         rows, counts = np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held])
-        cols = [words.take(pa.array(np.ascontiguousarray(rows[:, j]))) for j in range(self.k)]
-        phrase = pc.binary_join_element_wise(*cols, " ") if self.k > 1 else cols[0]
+        cols = [words.take(pa.array(np.ascontiguousarray(rows[:, j]))) for j in range(k)]
+        phrase = pc.binary_join_element_wise(*cols, " ") if k > 1 else cols[0]
         run = pa.RecordBatch.from_arrays([langs.take(pa.array(np.ascontiguousarray(rows[:, 0]))), phrase, pa.array(counts)], schema=RUN_SCHEMA)
         return run.take(pc.sort_indices(run, [("lang", "ascending"), ("phrase", "ascending")]))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        yield from self.spill(0)
+        yield from self.spill(0.0)
         if self.total:
             names = list(self.total)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([""] * len(names)), pa.array([self.total[x] for x in names], pa.int64())], schema=RUN_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names)), pa.array([self.total[x] for x in names], pa.int64())], schema=RUN_SCHEMA)
 
 
-def count_phrases(texts: DataFrame, k: int, bits: np.ndarray | None, min_count: int, **sizes) -> DataFrame:
-    """Stored (lang, phrase, n) of phrases of k words of texts (lang, text) with n >= min_count, and for k = 1 each language's words in
-    all, as the empty phrase."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(bits)
+def count_phrases(texts: DataFrame, filters: dict[int, np.ndarray], min_count: int, **sizes) -> DataFrame:
+    """Stored (lang, phrase, n) of the phrases of texts (lang, text) that pass the filter of their length and occur min_count times, and
+    each language's words in all, as the empty phrase."""
+    held = texts.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches):
-        counter = PhraseCounter(k, held.value, **sizes)
+        counter = PhraseCounter(held.value, **sizes)
         for b in batches:
-            yield from counter.add(b.column("lang"), b.column("text"))
+            yield from counter.add(b)
         yield from counter.finish()
 
     runs = texts.mapInArrow(lean(count), "lang string, phrase string, n long")
@@ -289,30 +407,6 @@ def count_phrases(texts: DataFrame, k: int, bits: np.ndarray | None, min_count:
     return materialize(merged.where((F.col("n") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "n"), "phrases")
 
 
-def phrase_filter(phrases: DataFrame, k: int) -> np.ndarray:
-    """Bits of the phrases' hashes, of bounded size: Spark joins the bits of each 64-bit word, the driver gets the words."""
-    n = phrases.count()
-    size = 1 << min(MAX_BITS, max(MIN_BITS, int(16 * n - 1).bit_length() if n else 0))
-
-    def places(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            parts = pc.split_pattern(b.column("phrase"), " ")
-            words = parts.flatten().dictionary_encode()
-            h = _hash(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)].reshape(-1, k)
-            langs = b.column("lang").dictionary_encode()
-            p = phrase_hash(_hash(langs.dictionary)[langs.indices.to_numpy(zero_copy_only=False)], [h[:, j] for j in range(k)])
-            at = np.concatenate([p & np.uint64(size - 1), p >> np.uint64(32) & np.uint64(size - 1)]).astype(np.int64)
-            bit = (np.uint64(1) << (at & 63).astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(bit)], names=["at", "bit"])
-
-    got = phrases.mapInArrow(places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(size // 64, np.uint64)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return out.view(np.uint8)
-
-
 def _words(phrase: Column, first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, n), " ")
 
@@ -329,14 +423,12 @@ def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang", m
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counts, bits = [], None
-    for k in range(1, max_words + 1):
-        counts.append(count_phrases(texts, k, bits, min_count, **sizes))
-        if k < max_words:
-            bits = phrase_filter(counts[-1].where("phrase <> ''"), k)
-    every = counts[0]
-    for c in counts[1:]:
-        every = every.unionByName(c)
+    filters: dict[int, np.ndarray] = {}
+    few = {k: v for k, v in sizes.items() if k in ("full", "window")}
+    # Phrases beyond three words are few, so that all their lengths are screened in one pass.
+    for lengths in [[k] for k in range(1, min(max_words, 3) + 1)] + ([list(range(4, max_words + 1))] if max_words > 3 else []):
+        filters |= screen(texts, lengths, filters, min_count, **few)
+    every = count_phrases(texts, filters, min_count, **sizes)
     parts = every.where("phrase <> ''")
     total = every.where("phrase = ''").select("lang", F.col("n").alias("n"))
     found = every.where("instr(phrase, ' ') > 0").select("lang", "phrase", F.col("n").alias("a"), F.size(F.split("phrase", " ")).alias("m"))

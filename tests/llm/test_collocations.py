@@ -87,7 +87,7 @@ def test_scores_beyond_64_bits(spark):
 @pytest.mark.parametrize("k", [1, 2, 4, 5])
 def test_trie_counts_rows(k):
     rng = np.random.default_rng(k)
-    trie, want = co.HatTrie(k, burst=5, full=10), Counter()
+    trie, want = co.HatTrie(k, burst=5), Counter()
     got = Counter()
 
     def take(keep):
@@ -117,8 +117,9 @@ def test_words_of_windows():
     want = [(i, w) for i, t in enumerate(texts) for p in pieces(t) for w in p]
     for window in (1, 7, 30, 10_000):
         got, cuts = [], []
-        for words, piece, rows in co.split_words(pa.array(texts), window):
-            got += list(zip(rows.tolist(), words.to_pylist()))
-            cuts.append(len(set(zip(rows.tolist(), piece.tolist()))))
+        for w in co.split_words(pa.array(texts), window):
+            got += list(zip(w.row.tolist(), w.array().to_pylist()))
+            cuts.append(len(set(zip(w.row.tolist(), w.piece.tolist()))))
+            assert len({*zip(w.array().to_pylist(), w.hashes.tolist())}) == len(set(w.array().to_pylist())) == len(set(w.hashes.tolist()))
         assert got == want and sum(cuts) == sum(len(pieces(t)) for t in texts)
-    assert [w.to_pylist() for w, _, _ in co.split_words(pa.array(texts).slice(3, 2), 1000)] == [["x" * 200, "a", "b", "c", "d"]]
+    assert [w.array().to_pylist() for w in co.split_words(pa.array(texts).slice(3, 2), 1000)] == [["x" * 200, "a", "b", "c", "d"]]
