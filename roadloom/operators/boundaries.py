@@ -13,31 +13,19 @@ from pyspark.sql import functions as F
 from roadloom.functions.names import name_range, name_zone, snap_label, validate_name, worst_status
 from roadloom.functions.shared import materialize
 from roadloom.operators.diagnostics import boundary_zones, choose_axis
-from roadloom.operators.linear import hectometre_intervals, interpolate, project_points
-
-
-def route_on_axis(points: DataFrame, segments: DataFrame, reach_m: float, point: str = "point_id", axis: str = "axis_id") -> DataFrame:
-    """(point, axis, route_m, offset_m) of points (point, axis, x, y) on the axis that they name, within reach_m of it."""
-    cell = max(4 * reach_m, 50.0)
-    lo = lambda a, b: F.floor((F.least(a, b) - reach_m) / cell)
-    hi = lambda a, b: F.floor((F.greatest(a, b) + reach_m) / cell)
-    s = segments.withColumn("cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn("cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-    p = points.select(point, axis, "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (F.col("length") * F.col("length"))))
-    near = p.join(s, [axis, "cx", "cy"]).withColumn("t", t).withColumn("d", F.hypot(F.col("x") - F.col("x1") - F.col("t") * dx, F.col("y") - F.col("y1") - F.col("t") * dy))
-    g = near.where(F.col("d") <= reach_m).groupBy(point, axis).agg(F.min(F.struct("d", (F.col("from_m") + F.col("t") * F.col("length")).alias("r"))).alias("m"))
-    return g.select(point, axis, F.col("m.r").alias("route_m"), F.col("m.d").alias("offset_m"))
-
-
-def geometry_ranges(vertices: DataFrame, middles: DataFrame, segments: DataFrame, reach_m: float = 250.0, key: str = "object_id", axis: str = "axis_id") -> DataFrame:
-    """(key, axis, route_from, route_mid, route_to, offset_m): the axis nearest to an object's middle (key, x, y), and least, median
-    and greatest route of its vertices (key, x, y) on that axis. Nothing beyond reach_m of an axis is looked at."""
-    mid = project_points(middles.withColumnRenamed(key, "point_id"), segments, reach_m, axis=axis).select(F.col("point_id").alias(key), axis, F.col("offset_m"))
+from roadloom.operators.linear import hectometre_intervals, interpolate
+from roadloom.operators.nearest import nearest_segment
+
+
+def geometry_ranges(vertices: DataFrame, middles: DataFrame, segments: DataFrame, reach_m: float = 50.0, key: str = "object_id", axis: str = "axis_id") -> DataFrame:
+    """(key, axis, route_from, route_mid, route_to, offset_m): the axis nearest to an object's middle (key, x, y), however far, and least,
+    median and greatest route of its vertices (key, x, y) on that axis; ties go to the first axis, then the least route. Objects
+    without coordinates are left out. reach_m is what a first look covers."""
+    mid = nearest_segment(middles, segments, [axis, "route_m"], key, reach_m=reach_m).select(key, axis, F.col("distance_m").alias("offset_m"))
     mid = materialize(mid, "object-axes")
     v = vertices.join(mid.select(key, axis), key).withColumn("point_id", F.monotonically_increasing_id())
     v = materialize(v.select("point_id", key, axis, "x", "y"), "object-vertices")  # stored, so that the row numbers stay
-    r = route_on_axis(v, segments, 2 * reach_m, axis=axis).join(v.select("point_id", key), "point_id")
+    r = nearest_segment(v, segments, ["route_m"], "point_id", [axis], reach_m).join(v.select("point_id", key), "point_id")
     g = r.groupBy(key).agg(F.min("route_m").alias("route_from"), F.median("route_m").alias("route_mid"), F.max("route_m").alias("route_to"))
     return mid.join(g, key).select(key, axis, "route_from", "route_mid", "route_to", "offset_m")
 

@@ -1,4 +1,4 @@
-"""Interval algebra as gaps and islands. Every window is keyed by the caller's group columns."""
+"""Interval algebra as gaps and islands. Windows are keyed by the caller's group columns; islands of a hot key are found in blocks."""
 
 from __future__ import annotations
 
@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadloom.operators.scans import along, deal
+
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: float = 0.025) -> DataFrame:
     """keys + (island, start, end): intervals of a key merged where the gap is at most max_gap. Bounds may be swapped; empty
     and null intervals are dropped."""
     iv = df.select(*keys, F.least(start, end).alias("start"), F.greatest(start, end).alias("end")).where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col("end") > F.col("start")))
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = iv.withColumn("cut", F.when(reach.isNull() | (F.col("start") - reach > max_gap), 1).otherwise(0))
-    return cut.withColumn("island", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    d, hot = deal(iv, keys, ["start", "end"], "interval-blocks")
+    d = along(d, hot, keys, ["start", "end"], maxes={"reach": F.col("end")})
+    cut = d.withColumn("cut", F.when(F.col("reach").isNull() | (F.col("start") - F.col("reach") > max_gap), 1).otherwise(0))
+    return along(cut, hot, keys, ["start", "end"], sums={"island": F.col("cut")}).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def interval_length(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", max_gap: float = 0.025) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.names import hm_label, interval_status
+from roadloom.operators.nearest import nearest_segment
 
 
 def axis_segments(vertices: DataFrame, axis: str = "axis_id", seq: str = "seq") -> DataFrame:
@@ -42,23 +43,10 @@ def points_at(positions: DataFrame, segments: DataFrame, axis: str = "axis_id",
     return p.join(seg, [axis, "b"]).where(hit).select(*positions.columns, (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
-def project_points(points: DataFrame, segments: DataFrame, max_offset_m: float, point: str = "point_id", axis: str = "axis_id", prefix: str | None = None) -> DataFrame:
-    """(point, axis, route_m, offset_m): nearest axis position within max_offset_m; ties go to the first axis, then route.
-
-    Segments are entered in all grid cells they come near to, points look in their own cell, so a point meets only
-    segments nearby; cells are 4 offsets wide at least.
-    """
-    cell = max(4 * max_offset_m, 50.0)
-    lo = lambda a, b: F.floor((F.least(a, b) - max_offset_m) / cell)
-    hi = lambda a, b: F.floor((F.greatest(a, b) + max_offset_m) / cell)
-    seg = segments.withColumn("cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn("cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-    p = points.select(point, "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)))
-    d = F.hypot(F.col("x") - F.col("x1") - F.col("t") * dx, F.col("y") - F.col("y1") - F.col("t") * dy)
-    c = p.join(seg, ["cx", "cy"]).withColumn("t", t).withColumn("offset_m", d).where(F.col("offset_m") <= max_offset_m).withColumn("route_m", F.col("from_m") + F.col("t") * F.col("length"))
-    best = F.min(F.struct("offset_m", F.col(axis).alias("a"), "route_m")).alias("m")
-    return c.groupBy(point).agg(best).select(point, F.col("m.a").alias(axis), F.col("m.route_m").alias("route_m"), F.col("m.offset_m").alias("offset_m"))
+def project_points(points: DataFrame, segments: DataFrame, max_offset_m: float | None = None, point: str = "point_id", axis: str = "axis_id") -> DataFrame:
+    """(point, axis, route_m, offset_m): nearest axis position, however far or within max_offset_m; ties go to the first axis, then route."""
+    found = nearest_segment(points, segments, [axis, "route_m"], point, within_m=max_offset_m)
+    return found.select(point, axis, "route_m", F.col("distance_m").alias("offset_m"))
 
 
 def build_anchors(posts: DataFrame, axis: str = "axis_id") -> DataFrame:

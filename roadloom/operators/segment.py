@@ -7,17 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import profile_value
+from roadloom.operators.scans import BLOCK, along, deal
 
 
 def technical_runs(objects: DataFrame, keys: list[str], profile: list[str], gap_m: float = 5.0, order: str = "object_id") -> DataFrame:
     """objects + run (from 1 within keys) and gap_before: a run ends at a gap beyond the furthest end so far, or where the
     profile changes. Columns: start_m, end_m; objects are taken in order of (start_m, end_m, order)."""
-    w = W.partitionBy(*keys).orderBy("start_m", "end_m", order)
-    reach = F.max("end_m").over(w.rowsBetween(W.unboundedPreceding, -1))
+    by = ["start_m", "end_m", order]
     p = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in profile])
-    d = objects.withColumn("_p", p).withColumn("gap_before", F.coalesce(F.col("start_m") - reach > gap_m, F.lit(False)))
-    first = F.lag("_p").over(w).isNull() | F.col("gap_before") | (F.lag("_p").over(w) != F.col("_p"))
-    return d.withColumn("_cut", F.when(first, 1).otherwise(0)).withColumn("run", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_p", "_cut")
+    d, hot = deal(objects.withColumn("_p", p), keys, by, "run-blocks")
+    d = along(d, hot, keys, by, maxes={"_reach": F.col("end_m")}, lags={"_last": F.col("_p")})
+    d = d.withColumn("gap_before", F.coalesce(F.col("start_m") - F.col("_reach") > gap_m, F.lit(False)))
+    first = F.col("_last").isNull() | F.col("gap_before") | (F.col("_last") != F.col("_p"))
+    return along(d.withColumn("_cut", F.when(first, 1).otherwise(0)), hot, keys, by, sums={"run": F.col("_cut")}).drop("_p", "_cut", "_reach", "_last", BLOCK)
 
 
 def summarise_runs(runs: DataFrame, keys: list[str], profile: list[str]) -> DataFrame:
@@ -31,11 +33,11 @@ def cut_stretches(runs: DataFrame, keys: list[str], max_objects: int = 2, max_le
     """runs + stretch (from 1 within keys), cut at gaps and between two neighbours that are both too big to be absorbed.
 
     No deviation is absorbed across such a cut, as merged runs only grow."""
-    w = W.partitionBy(*keys).orderBy("run")
     big = (F.col("objects") > max_objects) | (F.col("end_m") - F.col("start_m") >= max_length_m)
-    d = runs.withColumn("_big", big)
-    cut = F.coalesce(F.col("gap_before") | (F.col("_big") & F.lag("_big").over(w)), F.lit(True))
-    return d.withColumn("_cut", cut.cast("int")).withColumn("stretch", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_big", "_cut")
+    d, hot = deal(runs.withColumn("_big", big), keys, ["run"], "stretch-blocks")
+    d = along(d, hot, keys, ["run"], lags={"_last": F.col("_big")})
+    cut = F.coalesce(F.col("gap_before") | (F.col("_big") & F.col("_last")), F.lit(True))
+    return along(d.withColumn("_cut", cut.cast("int")), hot, keys, ["run"], sums={"stretch": F.col("_cut")}).drop("_big", "_last", "_cut", BLOCK)
 
 
 def absorb_deviations(runs: DataFrame, keys: list[str], profile: list[str], max_objects: int = 2, max_length_m: float = 100.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roadloom.operators import changes, linear, proposals, reconcile, references, segment
 from roadloom.plans.cyclepaths import BENT, ORACLE_SQL, QUERIES, TURNED, _bent
 from roadloom.plans.fixtures import fixture, oracle
-from roadloom.plans.proposals import PROP, _assigned, _proposals
+from roadloom.plans.proposals import PROP, _assigned, _proposals, thinned
 from roadloom.plans.queries import A, ABSORB, DIFFS, PROFILE, RUNS, SEG, TRACK, asset, maint, query, _runs, _segments
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -46,7 +46,7 @@ REFS = "select road || '-' || cast(idx as varchar(19)) as segment_id, road, min(
 SAMPLES = "select road || ':' || cast(idx as varchar(19)) as point_id, road as axis_id, cast(idx * 25 as double) as x, cast(1000 * rd as double) as y from fx_asset where ln = 1 and idx % 4 = 0 group by road, rd, idx"
 _T = "greatest(0, least(1, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / greatest((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2, 1e-300)))"
 NEAREST = f"""rf as ({REFS}), sm as ({SAMPLES}), nq as (select point_id, axis_id, min(d) as d, arg_min(segment_id, {{'d': d, 's': segment_id}}) as segment_id from (select p.point_id, p.axis_id, s.segment_id, sqrt((p.x - s.x1 - {_T} * (s.x2 - s.x1)) ** 2 + (p.y - s.y1 - {_T} * (s.y2 - s.y1)) ** 2) as d
- from sm p join rf s on p.x between s.x1 - 3200 and s.x2 + 3200 and abs(p.y - s.y1) <= 3200) q where d <= 3200 group by 1, 2)"""
+ from sm p join rf s on true) q group by 1, 2)"""
 
 
 def _nearest(spark, d):
@@ -81,11 +81,13 @@ def reference_sources(spark, d):
     return references.reference_sources(refs, fixture(spark, d, POSTS))
 
 
-CENTRES = "select road, blk as section, cast(floor(idx / 4) as double) / 10 as km, (start_m + end_m) / 2 as x, cast(1000 * rd + ln as double) as y, end_m - start_m as weight from fx_asset where track <> ''"
+#: Every fifth bucket is followed by five more, 8 mm apart each.
+CENTRES = """select road, blk as section, cast(floor(idx / 4) as double) / 10 as km, (start_m + end_m) / 2 as x, cast(1000 * rd + ln as double) as y, end_m - start_m as weight from fx_asset where track <> ''
+ union all select road, blk, cast(floor(min(idx) / 4) as double) / 10 + k / 10000.0, sum((start_m + end_m) / 2 * (end_m - start_m)) / sum(end_m - start_m) + 0.008 * k, sum((1000 * rd + ln) * (end_m - start_m)) / sum(end_m - start_m), 1.0
+ from fx_asset join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) c on true where track <> '' and floor(idx / 4) % 5 = 0 group by road, blk, floor(idx / 4), k"""
 
 
-@query(oracle("""select road, seq, section, km, cast(round(sum(coalesce(d, 0)) over (partition by road order by seq) * 100) as bigint) as route_cm from (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as d from (select *, row_number() over (partition by road order by section, km, x) as seq from
- (select road, section, km, sum(x * weight) / sum(weight) as x, sum(y * weight) / sum(weight) as y from ce group by 1, 2, 3) b) c window w as (partition by road order by seq)) e""", f"ce as ({CENTRES})"))
+@query(thinned("select road, seq, section, km, cast(round(route * 100) as bigint) as route_cm from axes", f"select road, section, km, x, y, row_number() over (partition by road order by section, km, x) as i from (select road, section, round(km, 4) as km, sum(x * weight) / sum(weight) as x, sum(y * weight) / sum(weight) as y from ({CENTRES}) ce group by 1, 2, 3) b"))
 def local_axis(spark, d):
     return references.local_axis(fixture(spark, d, CENTRES)).select("road", "seq", "section", "km", F.round(F.col("route_m") * 100).cast("bigint").alias("route_cm"))
 
