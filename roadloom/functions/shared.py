@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +16,19 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_roadloom_scratch", None)
     if not base:
         alone = spark.sparkContext.master.split("[")[0] == "local"
-        base = "file://" + tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_scratch-{uuid.uuid4().hex}"
+        base = "file://" + tempfile.mkdtemp(prefix="spark-") if alone else _warehouse(spark) + f"/_scratch-{uuid.uuid4().hex}"
         spark._roadloom_scratch = base
     return base.rstrip("/")
 
 
+def _warehouse(spark: SparkSession) -> str:
+    """The warehouse's folder; an error where it is a path of each machine's own."""
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if path.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local path")
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/roadloom-{name}-{uuid.uuid4().hex}"
 
@@ -32,8 +42,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are stored inside this block are deleted at its end. What leaves the block must be stored after it, or not read them."""
+    written = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(written)
+    try:
+        yield
+    finally:
+        for path in [p for p in written if p not in before and p not in _kept]:
+            drop_scratch(spark, path)
+            written.remove(path)
+
+
+def keep_scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """As materialize, for what is to outlive a passing_scratch block around it."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _kept.add(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Scratch tables by application.
 _written: dict[str, list[str]] = {}
+_kept: set[str] = set()
 
 
 def clear_scratch(spark: SparkSession) -> int:

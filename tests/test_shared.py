@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from roadloom.functions import shared
 
 
@@ -5,3 +9,19 @@ def test_scratch_tables_can_be_cleared(spark):
     shared.clear_scratch(spark)
     d = shared.materialize(spark.range(5), "numbers")
     assert d.count() == 5 and shared.clear_scratch(spark) == 1 and shared.clear_scratch(spark) == 0
+
+
+def test_scratch_that_passes(spark):
+    df = spark.range(5)
+    outer = shared.materialize(df, "outer")
+    with shared.passing_scratch(spark):
+        inner = shared.materialize(df, "inner")
+        kept = shared.keep_scratch(spark, inner.where("id > 2"), "kept")
+        where = inner.inputFiles()[0]
+    assert outer.count() == 5 and kept.count() == 2
+    assert not os.path.exists(where.removeprefix("file://"))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        shared._warehouse(spark)
