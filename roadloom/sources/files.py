@@ -6,11 +6,15 @@ import csv
 import re
 import unicodedata
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadloom.functions.shared import materialize
 from roadloom.functions.text import chainage_km, clean_text, date_year_month, normal_text, project_key
+from roadloom.sources.features import feature_texts
 
 
 def column_key(name: str) -> str:
@@ -61,19 +65,57 @@ def source_warnings(df: DataFrame, expected: list[str], source: str = "source_fi
     return long.select("source", F.when(F.col("rows") == F.col("_n"), "EMPTY_COLUMN").otherwise("EMPTY_CELLS").alias("code"), "column", "rows")
 
 
-def read_assets(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], expected: list[str], sep: str = ";", encoding: str = "UTF-8", ids: tuple[str, ...] = ("object_id", "source_id")) -> DataFrame:
-    """Union of CSV exports, all cells text, with source_file and row_key; columns differ per file, so each is mapped on its own header.
+def numbered_lines(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
+    """Stored (path, line_no, value): the lines of all files in one scan, numbered from 1 in their file, blank ones left out.
 
-    row_key is the file's name and the first non-empty id of the row, or a hash of its cells where it has none.
+    A task numbers what it reads; what the blocks of a file hold, one row a block, is summed before each block.
     """
-    def one(p):
-        raw = spark.read.option("sep", sep).option("header", True).option("encoding", encoding).csv(p)
-        named = raw.toDF(*unique_names(raw.columns))
-        return drop_empty_rows(canonical_columns(named, aliases)).withColumn("source_file", F.lit(p.rsplit("/", 1)[-1]))
+    at = F.monotonically_increasing_id()
+    if encoding.upper().replace("-", "") == "UTF8":
+        raw = spark.read.text(paths)
+    else:  # the text reader knows UTF-8 alone; a separator that no export has leaves lines whole
+        raw = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(paths)
+    lines = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), at.alias("_i")).where("trim(value) <> ''")
+    lines = materialize(lines, "lines")
+    w = W.partitionBy("path").orderBy("_b")
+    blocks = lines.groupBy("path", "_b").agg(F.count("*").alias("_n"))
+    before = blocks.select("path", "_b", F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("path", "_b").orderBy("_i"))
+    return materialize(lines.withColumn("_k", place).join(before, ["path", "_b"]).select("path", (F.col("_before") + F.col("_k")).alias("line_no"), "value"), "numbered-lines")
 
-    rows = with_columns_present(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths]), expected)
-    own = [clean_text(c) for c in ids if c in rows.columns]
-    return rows.withColumn("row_key", F.concat_ws(":", "source_file", F.coalesce(*own, F.xxhash64(*sorted(rows.columns)).cast("string"))))
+
+def read_assets(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], expected: list[str], sep: str = ";", encoding: str = "UTF-8", ids: tuple[str, ...] = ("object_id", "source_id")) -> DataFrame:
+    """Union of CSV exports, all cells text, with source_file, line_no (from 1, the header's) and row_key.
+
+    All files are read in one scan, however many there are. Each file's first line is its header; the driver gets one line a
+    file, and from those which cells of a file go to which canonical column: of several aliases the first non-empty cell, in column
+    order. row_key is the file and the first non-empty id of the row, or the file and the row's line where it has none; source_file
+    is the file's name, or its path where two files share a name. Cells may be quoted, but not hold line breaks; rows without any
+    cell are left out, cells beyond the header as well.
+    """
+    lines = numbered_lines(spark, paths, encoding)
+    heads = {r["path"]: r["value"] for r in lines.where("line_no = 1").select("path", "value").collect()}
+    wanted = {column_key(a): c for c, names in aliases.items() for a in [c, *names]}
+    split = {h: unique_names(next(csv.reader([h], delimiter=sep), [])) for h in set(heads.values())}
+    columns = list(dict.fromkeys(wanted.get(column_key(n), n) for p in sorted(heads) for n in split[heads[p]]))
+    places = {h: [[i for i, n in enumerate(names) if wanted.get(column_key(n), n) == c] for c in columns] for h, names in split.items()}
+    most = max((len(x) for p in places.values() for x in p), default=0)
+    width = max(map(len, split.values()), default=0)
+    short = [p.rsplit("/", 1)[-1] for p in heads]
+    named = [(p, unquote(p.rsplit("/", 1)[-1]) if short.count(p.rsplit("/", 1)[-1]) == 1 else unquote(p), places[h]) for p, h in heads.items()]
+    of = spark.createDataFrame(named, "path string, source_file string, _places array<array<int>>")
+    if not columns:
+        return with_columns_present(of.select("source_file", F.lit(0).cast("long").alias("line_no"), F.lit("").alias("row_key")).where("false"), expected)
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))), {"sep": sep, "mode": "PERMISSIVE"})
+    rows = lines.where("line_no > 1").join(of, "path").withColumn("_c", cells).withColumn("_c", F.array(*[clean_text(F.col(f"_c.c{i}")) for i in range(width)]))
+    cell = lambda c, k: F.get("_c", F.get(F.get("_places", F.lit(c)), F.lit(k)))
+    rows = rows.select("source_file", "line_no", *[F.coalesce(*[cell(i, k) for k in range(most)]).alias(f"_v{i}") for i in range(len(columns))])
+    rows = rows.where(reduce(lambda a, b: a | b, [F.col(f"_v{i}").isNotNull() for i in range(len(columns))]))
+    out = rows.select(*[F.col(f"_v{i}").alias(c) for i, c in enumerate(columns)], "source_file", "line_no")
+    out = with_columns_present(out, expected)
+    own = [clean_text(c) for c in ids if c in out.columns]
+    line = F.concat(F.lit("line "), F.col("line_no").cast("string"))
+    return out.withColumn("row_key", F.concat_ws(":", "source_file", F.coalesce(*own, line)))
 
 
 #: Rank of the backbone subthemes; any other has rank 4.
@@ -113,10 +155,10 @@ def read_table_below_titles(spark: SparkSession, path: str, aliases: dict[str, l
 
 
 def read_actions(spark: SparkSession, paths: list[str], aliases: dict[str, list[str]], sep: str = ";") -> DataFrame:
-    """A previous action list: rows with a project or a status, under canonical names, numbered within their files (row_no)."""
+    """A previous action list: rows with a project or a status, under canonical names, numbered within their files (row_no, the header not counted)."""
     rows = read_assets(spark, paths, aliases, ["project", "status", "state", "owner", "remark"], sep, ids=())
     kept = rows.where(clean_text("project").isNotNull() | clean_text("status").isNotNull())
-    return kept.withColumn("project_key", project_key("project")).withColumn("row_no", F.monotonically_increasing_id()).drop("row_key")
+    return kept.withColumn("project_key", project_key("project")).withColumn("row_no", F.col("line_no") - 1).drop("row_key", "line_no")
 
 
 def read_features(spark: SparkSession, paths: list[str], id_field: str, label_field: str, lines: bool = False) -> DataFrame:
@@ -131,16 +173,14 @@ def read_features(spark: SparkSession, paths: list[str], id_field: str, label_fi
 def read_geojson(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """One row per feature: properties (map) and parts (array of lines or rings of (x, y)) of points, lines and areas, also Multi*.
 
-    A feature collection is one JSON document, which one task reads whole; for large inputs land one feature a line (lines=True),
-    which splits like any text.
+    A feature collection is read in byte ranges by many tasks (feature_texts); with lines=True the files have one feature a line.
     """
     one = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
     if lines:
-        f = spark.read.schema(one).json(path).where("geometry is not null")
+        f = spark.read.schema(one).json(path)
     else:
-        doc = spark.read.option("multiLine", True).schema(f"features array<struct<{one.replace('properties ', 'properties:').replace('geometry ', 'geometry:')}>>").json(path)
-        f = doc.select(F.explode("features").alias("f")).select("f.*")
-    f = f.select("properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("c"))
+        f = feature_texts(spark, [path] if isinstance(path, str) else path).select(F.from_json("value", one).alias("f")).select("f.*")
+    f = f.where("geometry is not null").select("properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("c"))
     deep = lambda depth: F.from_json("c", "array<" * depth + "double" + ">" * depth)
     parts = (
         F.when(F.col("kind") == "Point", F.array(F.array(deep(1)))).when(F.col("kind").isin("LineString", "MultiPoint"), F.array(deep(2)))
