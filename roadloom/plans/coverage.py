@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import coverage
+from roadloom.operators import coverage, merging
 from roadloom.plans.fixtures import fixture, oracle
-from roadloom.plans.queries import ANCH, query, _anchors
+from roadloom.plans.queries import ANCH, SEG, query, _anchors
 from roadloom.plans.sources import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -53,3 +53,15 @@ HOLES = "select road, track, start_m as {q}start{q}, end_m as {q}end{q} from fx_
 def uncovered_stretches(spark, d):
     u = coverage.subtract_intervals(fixture(spark, d, BASE.format(q="`")), fixture(spark, d, HOLES.format(q="`")), ["road", "track"], ["km"])
     return u.select("road", "track", "km", F.round(F.col("start") * 100).cast("bigint").alias("from_cm"), F.round(F.col("end") * 100).cast("bigint").alias("to_cm"))
+
+
+#: The axes in parts of seven segments, with shuffled numbers; every third part is turned.
+PARTS = """select axis_id, part, case when (part * 7 % 1000003) % 3 = 0 then -seq else seq end as seq, x, y from (
+ select axis_id, cast((floor(n / 7) * 7919 + 13) % 1000003 as bigint) as part, n as seq, x, y from (select *, row_number() over (partition by axis_id order by seq) - 1 as n from fx_vertex) a
+ union all select axis_id, cast((floor(n / 7 - 1) * 7919 + 13) % 1000003 as bigint), n, x, y from (select *, row_number() over (partition by axis_id order by seq) - 1 as n from fx_vertex) b where n % 7 = 0 and n > 0) p"""
+
+
+@query(oracle("select axis_id, row_number() over (partition by axis_id order by from_m) as seq, x1, y1, x2, y2, cast(round(length * 1000) as bigint) as length_mm, cast(round(from_m * 1000) as bigint) as from_mm from seg", SEG))
+def merged_axes(spark, d):
+    s = merging.merged_segments(fixture(spark, d, PARTS))
+    return s.select("axis_id", "seq", "x1", "y1", "x2", "y2", F.round(F.col("length") * 1000).cast("bigint").alias("length_mm"), F.round(F.col("from_m") * 1000).cast("bigint").alias("from_mm"))
