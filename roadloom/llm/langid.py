@@ -30,12 +30,14 @@ def fit_dictionaries(
     Every text is cut into pieces of piece_chars; of a language's pieces about sample_pieces (all, if it has fewer) are
     drawn by a hash of key and place, so any part of any training text may be drawn. They fill the dictionary in hash order
     up to dict_bytes. Null texts and languages are not learned from, nor texts without a letter; a language with few
-    letters gets a short dictionary. The max_languages languages with most rows are learned (ties: the first names). The
+    letters gets a short dictionary. More than max_languages languages are an error, none is left out in silence. The
     driver holds sample_pieces * piece_chars characters a language at most. Repeated rows are drawn or left alike.
     """
     t = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.octet_length(text)).alias("h"))
     n = F.ceil(F.greatest(F.length("t"), F.lit(1)) / piece_chars)
-    sizes = t.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(n).alias("pieces")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
+    sizes = t.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(n).alias("pieces")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: every text is compressed once for each, so name those that are meant or set max_languages")
     if not sizes:
         return {}
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_pieces / r["pieces"])))])
@@ -108,6 +110,8 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents. A null doc_id is in no fold: held_out is null, and the row isn't learned from; null, empty and letterless
+    texts are `und`, repeated rows alike; without documents there are no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = crc_mod(F.col("doc_id"), 3)
     dicts = fit_dictionaries(docs.where(fold != 1).select("doc_id", "text", "lang"))

@@ -543,3 +543,10 @@ def test_secrets_are_found(spark):
     assert found[0] == [("secret", 12, 52)] and found[1] == [("secret", 8, 48)] and found[4][0][0] == found[5][0][0] == "secret"
     assert all(not found[i] for i in (2, 3, 6, 7)) and [k for k, *_ in found[8]] == ["secret", "email"]
     assert pii.redact(pii.find_pii(docs(spark, [(0, texts[0])]))).first()["text"] == 'so token = "<secret>" it is'
+
+
+def test_too_many_languages_are_an_error(spark):
+    d = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    assert len(langid.fit_dictionaries(d, max_languages=6)) == 6
+    with pytest.raises(ValueError):
+        langid.fit_dictionaries(d, max_languages=5)
