@@ -550,3 +550,13 @@ def test_too_many_languages_are_an_error(spark):
     assert len(langid.fit_dictionaries(d, max_languages=6)) == 6
     with pytest.raises(ValueError):
         langid.fit_dictionaries(d, max_languages=5)
+
+
+def test_toxicity_figures_of_the_readme(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = toxicity.op1_toxicity(spark, sf).where("held_out").join(labels, "doc_id").join(langs, "doc_id")
+    hit, false = F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 0 and predicted = 1"))
+    rows = {r["lang"]: (r["hit"], r["all"], r["false"]) for r in got.groupBy("lang").agg(hit.alias("hit"), F.count_if(F.expr("toxic = 1")).alias("all"), false.alias("false")).collect()}
+    assert rows == {"en": (51, 58, 0), "fr": (16, 18, 0), "de": (9, 15, 0), "es": (5, 6, 0)}
