@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.functions.shared import materialize
-from roadloom.operators import advice, axis_advice as on_axis
-from roadloom.plans.boundaries import RANGES, _ranges
-from roadloom.plans.fixtures import oracle
+from roadloom.operators import advice, axis_advice as on_axis, boundaries
+from roadloom.plans.boundaries import BOUND, MIDDLES, OBJECTS, RANGES, REF, VERTICES, _ranges
+from roadloom.plans.fixtures import fixture, oracle
 from roadloom.plans.previews import ORACLE_SQL, QUERIES
-from roadloom.plans.queries import ABSORB, PROFILE, _anchors, asset, query
+from roadloom.plans.proposals import ZONES
+from roadloom.plans.queries import ABSORB, PROFILE, _anchors, _segments, asset, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -71,3 +72,18 @@ def merge_candidates(spark, d):
     m = on_axis.merge_candidates(_advice(spark, d), PROFILE)
     dm = lambda c, n: F.round(F.col(c) * 10).cast("bigint").alias(n)
     return m.select("axis_id", "track", F.col("chain").cast("bigint").alias("chain"), dm("start_m", "from_dm"), dm("end_m", "to_dm"), "parts", "proposals", "priority")
+
+
+_PRIMARY = "('rijstrook', 'parallelweg', 'landbouwpad', 'busbaan', 'fietspad')"
+DIAGNOSIS = BOUND + REF.removeprefix(RANGES).replace("object_id in (select object_id from fx_asset where lower(trim(subtheme)) = 'rijstrook')", f"object_id in (select object_id from fx_asset where lower(trim(subtheme)) in {_PRIMARY})")
+
+
+@query(oracle("""select bx.project, bx.axis_id, bx.status as boundary_status, bx.warning as boundary_warning, x.objects_on_axis, s.n as reference_objects, s.u as usable from bx join (select project, axis_id, count(*) as objects_on_axis from oranges where axis_id is not null group by 1, 2) x on x.project = bx.project and x.axis_id = bx.axis_id
+ left join (select project, count(*) as n, count(*) filter (usable) as u from ru group by 1) s on s.project = bx.project""", DIAGNOSIS))
+def axis_diagnosis(spark, d):
+    objects = fixture(spark, d, OBJECTS.replace('"primary"', "`primary`"))
+    axes = fixture(spark, d, "select distinct axis_id, axis_id as road from fx_vertex")
+    t = boundaries.axis_diagnosis(objects, fixture(spark, d, VERTICES), fixture(spark, d, MIDDLES), _segments(spark, d), _anchors(spark, d), axes, fixture(spark, d, ZONES))
+    b = t["boundaries"].select("project", "axis_id", "boundary_status", "boundary_warning")
+    s = t["summary"].select("project", F.col("objects").alias("reference_objects"), "usable")
+    return b.join(t["extents"].select("project", "axis_id", "objects_on_axis"), ["project", "axis_id"]).join(s, "project", "left")
