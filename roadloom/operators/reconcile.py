@@ -112,18 +112,39 @@ def difference_counts(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("project_key").agg(*[F.count_if(F.col("difference") == k).alias(k) for k in kinds])
 
 
+def _project_sums(a: DataFrame, m: DataFrame) -> DataFrame:
+    """One row per project of keyed assets and maintenance rows: the columns of asset_projects and maintenance_projects but measures (null
+    where a side has no rows), and the counts of _side_kinds. Rows of both sides are summed up per object once, in one shuffle; what
+    follows reads those sums."""
+    flag = lambda c: c.cast("long")
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    one = a.where("project_key <> ''").select("project_key", "object_key", "object_no", F.lit(1).cast("long").alias("a"), zero.alias("m"), flag(F.col("primary")).alias("p"), flag(F.col("exempt")).alias("x"), flag(F.col("km").isNull()).alias("bad"), F.col("km").alias("lo"), F.col("km").alias("hi"), none.alias("amount"), none.alias("price"))
+    two = m.where("project_key <> ''").select("project_key", "object_key", "object_no", zero.alias("a"), F.lit(1).cast("long").alias("m"), zero.alias("p"), zero.alias("x"), zero.alias("bad"), none.alias("lo"), none.alias("hi"), "amount", "price")
+    sums = [F.sum(c).alias(c) for c in ("a", "m", "p", "x", "bad")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("amount").alias("amount"), F.sum("price").alias("price")]
+    numbers = one.union(two).groupBy("project_key", "object_key", "object_no").agg(*sums)
+    named = lambda c: flag((F.col(c) > 0) & F.col("object_no").isNotNull())
+    objects = numbers.withColumns({"an": named("a"), "mn": named("m")}).groupBy("project_key", "object_key").agg(*sums, F.sum("an").alias("an"), F.sum("mn").alias("mn"))
+    sided = objects.withColumns({"in_asset": F.col("a") > 0, "in_maint": F.col("m") > 0})
+    kinds = [F.count_if((F.col("object_key") != "") & c).alias(kind) for kind, c in _side_kinds().items()]
+    p = sided.groupBy("project_key").agg(*sums, F.sum("an").alias("an"), F.sum("mn").alias("mn"), *kinds)
+    here = lambda side, c: F.when(F.col(side) > 0, c)
+    return p.select(
+        "project_key", here("a", F.col("a")).alias("asset_rows"), here("a", F.col("an")).alias("asset_objects"), here("a", F.col("p")).alias("asset_primary"), here("a", F.col("a") - F.col("p")).alias("asset_secondary"), here("a", F.col("x")).alias("asset_exempt"),
+        here("a", F.col("bad")).alias("bad_chainages"), F.col("lo").alias("hm_min"), F.col("hi").alias("hm_max"), here("m", F.col("m")).alias("maint_rows"), here("m", F.col("mn")).alias("maint_objects"), "amount", "price", *_side_kinds(),
+    )
+
+
 def compare_projects(asset: DataFrame, maint: DataFrame) -> DataFrame:
     """Full reconciliation: every project of either side with its status ladder and difference counts.
 
     The counts are those of difference_counts, taken from one row per object and from the projects' bad chainages.
     """
-    k, n = stored_sides(asset, maint)
-    a, m = asset_projects(k), maintenance_projects(n)
-    d = _both_sides(k, n).groupBy("project_key").agg(*[F.count_if(c).alias(kind) for kind, c in _side_kinds().items()])
-    j = a.join(m, "project_key", "full_outer").join(d, "project_key", "left").withColumn("invalid_chainage", F.col("bad_chainages"))
+    k, n = keyed_assets(asset), keyed_maintenance(maint)
+    measures = n.where("project_key <> '' and measure is not null").select("project_key", "measure").distinct().groupBy("project_key").agg(F.count("*").alias("measures"))
+    j = _project_sums(k, n).join(measures, "project_key", "left").withColumn("invalid_chainage", F.col("bad_chainages"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("only_in_asset", "only_in_maintenance", "suspicious_road", "invalid_chainage")}
     both = F.col("asset_rows").isNotNull() & F.col("maint_rows").isNotNull()
-    j = j.withColumns(zero)
+    j = j.withColumns(zero | {"measures": F.when(F.col("maint_rows").isNotNull(), F.coalesce("measures", F.lit(0)))})
     status = (
         F.when(both & (F.col("suspicious_road") > 0), "OBJECT_ROAD_SUSPICIOUS").when(both & (F.col("only_in_asset") + F.col("only_in_maintenance") > 0), "OBJECT_DIFFERENCE")
         .when(both & (F.col("invalid_chainage") > 0), "CHAINAGE_SUSPICIOUS").when(both, "OK_COMPLETE").when(F.col("maint_rows").isNull(), "MISSING_IN_MAINTENANCE").otherwise("NO_ASSET_OBJECTS")
