@@ -25,6 +25,6 @@ def differences(spark, tmp_path, name: str, select: str) -> list:
 TURNED = "select " + LINE.format(order="cast(i * 12 as bigint)", n="i", line="cast(l as int)") + " from range(3960, 4040) a(i), range(1, 4) b(l)"
 
 
-@pytest.mark.parametrize("name", ["parse_project_names", "validate_project_names"])
+@pytest.mark.parametrize("name", ["parse_project_names", "validate_project_names", "control_list"])
 def test_names_that_begin_behind_their_end(spark, tmp_path, name):
     assert differences(spark, tmp_path, name, TURNED) == []
