@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.names import hm_label, interval_status
 from roadloom.operators.nearest import nearest_segment
+from roadloom.operators.scans import metres, nanometres, straight
 
 
 def axis_segments(vertices: DataFrame, axis: str = "axis_id", seq: str = "seq") -> DataFrame:
-    """(axis, seq, x1, y1, x2, y2, length, from_m): one row per line segment with its cumulative start; zero segments dropped."""
+    """(axis, seq, x1, y1, x2, y2, length, from_m): one row per line segment with its cumulative start, summed in whole nanometres; zero
+    segments dropped."""
     w = W.partitionBy(axis).orderBy(seq)
     s = vertices.select(axis, seq, F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
-    s = s.withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("length > 0")
-    return s.withColumn("from_m", F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    s = s.withColumn("length", straight(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("length > 0")
+    return s.withColumn("from_m", F.coalesce(metres(F.sum(nanometres("length")).over(w.rowsBetween(W.unboundedPreceding, -1))), F.lit(0.0)))
 
 
 def axis_lengths(segments: DataFrame, axis: str = "axis_id") -> DataFrame:

@@ -106,3 +106,10 @@ def test_backtracking_of_one_key(spark, parts):
     order = sorted(rows, key=lambda x: (of[x[2]], x[5] is None, x[5] or 0, x[3], x[2]))
     count = {f: list(of.values()).count(f) for f in of.values()}
     assert got == {x[2]: (i, of[x[2]] if count[of[x[2]]] > 1 else None) for i, x in enumerate(order, 1)} and max(count.values()) > 2
+
+
+def test_routes_do_not_depend_on_the_order_of_their_sums(spark):
+    from roadloom.operators.linear import axis_segments
+
+    line = spark.createDataFrame([("a", 0, i, i / 10, 0.0) for i in range(60)], "axis_id string, part int, seq int, x double, y double")
+    assert {r["seq"]: r["from_m"] for r in axis_segments(line).collect()} == {i: i / 10 for i in range(59)}
