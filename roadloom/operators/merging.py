@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.shared import materialize
-from roadloom.operators.scans import BLOCK, along, deal
+from roadloom.operators.scans import BLOCK, along, deal, metres, nanometres, straight
 
 #: Rounds of pointer doubling: chains of up to 2 ** ROUNDS parts.
 ROUNDS = 40
@@ -70,12 +70,12 @@ def chain_parts(vertices: DataFrame, axis: str = "axis_id") -> DataFrame:
 
 def merged_segments(vertices: DataFrame, axis: str = "axis_id") -> DataFrame:
     """(axis, chain, seq, x1, y1, x2, y2, length, from_m): the segments of axes of several parts (axis, part, seq, x, y) along their merged
-    chains. from_m runs on through the chains of an axis, in order of their least parts; no segment joins two chains."""
+    chains. from_m runs on through the chains of an axis, in order of their least parts, and is summed in whole nanometres; no segment joins two chains."""
     chains = materialize(chain_parts(vertices, axis), "chains-ranked")
     v = vertices.where("x is not null and y is not null").join(chains, [axis, "part"]).withColumn("_o", F.col("way") * F.col("seq"))
     by = ["chain", "rank", "_o"]
     d, hot = deal(v.select(axis, "chain", "rank", "_o", "x", "y"), [axis], by, "merge-blocks")
     d = along(d, hot, [axis], by, lags={"_c": F.col("chain"), "x1": F.col("x"), "y1": F.col("y")})
-    d = d.withColumn("length", F.when(F.col("_c") == F.col("chain"), F.hypot(F.col("x") - F.col("x1"), F.col("y") - F.col("y1")))).where("length > 0")
-    d = along(d, hot, [axis], by, sums={"_to": F.col("length"), "seq": F.lit(1)})
-    return d.select(axis, "chain", "seq", "x1", "y1", F.col("x").alias("x2"), F.col("y").alias("y2"), "length", (F.col("_to") - F.col("length")).alias("from_m")).drop(BLOCK)
+    d = d.withColumn("length", F.when(F.col("_c") == F.col("chain"), straight(F.col("x") - F.col("x1"), F.col("y") - F.col("y1")))).where("length > 0")
+    d = along(d, hot, [axis], by, sums={"_to": nanometres("length"), "seq": F.lit(1)})
+    return d.select(axis, "chain", "seq", "x1", "y1", F.col("x").alias("x2"), F.col("y").alias("y2"), "length", metres(F.col("_to") - nanometres("length")).alias("from_m")).drop(BLOCK)
