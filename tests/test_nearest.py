@@ -3,7 +3,7 @@
 import math
 import random
 
-from roadloom.operators import boundaries, linear
+from roadloom.operators import boundaries, linear, nearest
 from roadloom.operators.nearest import nearest_segment, shape_segments
 from pyspark.sql import functions as F
 
@@ -57,3 +57,17 @@ def test_shape_segments(spark):
     assert lines == [(1, 0, 0, 4, 0), (1, 4, 0, 4, 3), (2, 7, 7, 7, 7)]
     areas = [(r["x1"], r["x2"], r["y2"]) for r in shape_segments(v, closed=F.col("object_id") == 1).collect() if r["object_id"] == 1]
     assert sorted(areas) == [(0, 4, 0), (4, 0, 0), (4, 4, 3)]
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    plans, distances = [], nearest._distances
+
+    def seen(pairs, *more):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return distances(pairs, *more)
+
+    monkeypatch.setattr(nearest, "_distances", seen)
+    points = spark.createDataFrame([(1, 5.0, 1.0)], "point_id long, x double, y double")
+    segments = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double")
+    assert nearest.nearest_segment(points, segments, ["axis_id"]).first()["distance_m"] == 1.0
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
