@@ -60,8 +60,9 @@ def overlap_sum(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
 
 def occupied_gaps(gaps: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
     """gaps (of hard_gaps) + (objects, covered): overlaps, and those gaps that objects (keys, start, end) of the same keys lie in. A
-    gap without any object is the end of what is there, not a hole in the projects."""
-    g = gaps.select(*keys, F.struct("previous", "name", "from").alias("_id"), F.col("from").alias("start"), F.col("to").alias("end")).where("end > start")
+    gap without any object is the end of what is there, not a hole in the projects. Overlaps have neither objects nor covered: gaps of
+    a key lie apart, so that an object meets few of them, but overlaps can each span the whole axis."""
+    g = gaps.where("kind = 'gap'").select(*keys, F.struct("previous", "name", "from").alias("_id"), F.col("from").alias("start"), F.col("to").alias("end")).where("end > start")
     n = overlap_sum(g, objects, keys, "_id").where("overlap > 0")
     j = gaps.withColumn("_id", F.struct("previous", "name", "from")).join(n, [*keys, "_id"], "left").drop("_id")
     return j.where("kind <> 'gap' or objects is not null").withColumnRenamed("overlap", "covered")

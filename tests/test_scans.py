@@ -127,3 +127,12 @@ def test_route_along_does_not_depend_on_the_order_of_its_sums(spark):
 
     line = spark.createDataFrame([("a", i, i / 10, 0.0) for i in range(60)], "road string, seq int, x double, y double")
     assert {r["seq"]: r["route_m"] for r in route_along(line, ["road"], ["seq"]).collect()} == {i: i / 10 for i in range(60)}
+
+
+def test_overlaps_along_a_whole_axis_meet_no_objects(spark):
+    from roadloom.operators.intervals import occupied_gaps
+
+    gaps = spark.createDataFrame([("a", "p", "q", "overlap", 0.0, 1e14), ("a", "q", "r", "gap", 0.0, 50.0), ("a", "r", "s", "gap", 900.0, 950.0)], "road string, previous string, name string, kind string, `from` double, `to` double")
+    objects = spark.createDataFrame([("a", 10.0, 20.0), ("a", 45.0, 60.0)], "road string, start double, `end` double")
+    got = {r["name"]: (r["objects"], r["covered"]) for r in occupied_gaps(gaps, objects, ["road"]).collect()}
+    assert got == {"q": (None, None), "r": (2, 15.0)}
