@@ -53,7 +53,8 @@ def _far_pairs(left: DataFrame, segments: DataFrame, reach: float, point: str, k
     # A hair more than the bound, so that rounding drops no cell.
     most = F.min(F.hypot(F.col("_x") - F.col("_p._px"), F.col("_y") - F.col("_p._py"))).over(W.partitionBy(point)) * (1 + 1e-9) + 1e-6
     near = near.withColumn("_most", most).where(F.hypot(gap("_x", "_l", "_h"), gap("_y", "_b", "_t")) <= F.least("_most", F.lit(reach)))
-    return near.select(point, "_x", "_y", *keys, F.col("_ox").alias("_cx"), F.col("_oy").alias("_cy")).join(held, [*keys, "_cx", "_cy"])
+    # Stored cells are far smaller than the rows read from them, so these too would be broadcast.
+    return near.select(point, "_x", "_y", *keys, F.col("_ox").alias("_cx"), F.col("_oy").alias("_cy")).join(held.hint("merge"), [*keys, "_cx", "_cy"])
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, order: list[str], point: str = "point_id", keys: list[str] | None = None, reach_m: float = 50.0, within_m: float | None = None) -> DataFrame:

@@ -71,3 +71,17 @@ def test_cells_are_not_broadcast(spark, monkeypatch):
     segments = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double")
     assert nearest.nearest_segment(points, segments, ["axis_id"]).first()["distance_m"] == 1.0
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_cells_of_later_rounds_are_not_broadcast(spark, monkeypatch):
+    plans, distances = [], nearest._distances
+
+    def seen(pairs, *more):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return distances(pairs, *more)
+
+    monkeypatch.setattr(nearest, "_distances", seen)
+    points = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 120.0)], "point_id long, x double, y double")
+    segments = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double")
+    assert {r["point_id"]: r["distance_m"] for r in nearest.nearest_segment(points, segments, ["axis_id"]).collect()} == {1: 1.0, 2: 120.0}
+    assert len(plans) == 2 and all("Broadcast" not in p for p in plans)
