@@ -140,6 +140,8 @@ def compare_projects(asset: DataFrame, maint: DataFrame) -> DataFrame:
     The counts are those of difference_counts, taken from one row per object and from the projects' bad chainages.
     """
     k, n = keyed_assets(asset), keyed_maintenance(maint)
+    if n is not maint:
+        n = materialize(n, "keyed-maintenance")  # both reads of it would clean the texts
     measures = n.where("project_key <> '' and measure is not null").select("project_key", "measure").distinct().groupBy("project_key").agg(F.count("*").alias("measures"))
     j = _project_sums(k, n).join(measures, "project_key", "left").withColumn("invalid_chainage", F.col("bad_chainages"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("only_in_asset", "only_in_maintenance", "suspicious_road", "invalid_chainage")}

@@ -33,3 +33,20 @@ def test_rounding(spark):
     assert [r(names.tenth_up, v) for v in (3.8, 3.805)] == [3.8, 3.9]
     assert r(names.hm_label, 4.2) == "04.2" and r(names.hm_label, 12.3) == "12.3"
     assert r(names.snap_label, 12.301)["label"] == "12.3" and r(names.snap_label, 12.304)["label"] == "12.4"
+
+
+def test_patterns_are_applied_where_they_may_fit(spark):
+    assert [one(spark, text.project_key(F.lit(v))) for v in ("n350 – hrb-00.0 -\t00.4", "N350-HRB-00.0-00.4", "a \n b", "null\r\n")] == ["N350-HRB-00.0-00.4", "N350-HRB-00.0-00.4", "A B", " "]
+    assert [one(spark, text.chainage_km(F.lit(v))) for v in ("NaN", "12,5", "89999,9", "90000", "-1", "x")] == [None, 12.5, 89999.9, None, -1.0, None]
+
+
+def test_maintenance_rows_are_cleaned_once(spark, monkeypatch):
+    from roadloom.operators import reconcile
+
+    stored, real = [], reconcile.materialize
+    monkeypatch.setattr(reconcile, "materialize", lambda df, name: stored.append(name) or real(df, name))
+    a = spark.createDataFrame([("o1", "N1", "N350-HRB-00.0-00.4", "rijstrook", "0,1")], "object_no string, road string, project string, subtheme string, chainage_text string")
+    m = spark.createDataFrame([("o1", "N350-HRB-00.0-00.4", "M1", "1,5", "2"), ("o2", "n350 - HRB-00.0-00.4", "M2", "1", "3")], "object_no string, project string, measure string, amount string, price string")
+    row = reconcile.compare_projects(a, m).first()
+    assert (row["status"], row["maint_objects"], row["measures"], row["amount"], row["price"]) == ("OBJECT_DIFFERENCE", 2, 2, 2.5, 5.0)
+    assert stored == ["keyed-maintenance", "compared"]
