@@ -181,3 +181,11 @@ def test_every_pair_of_a_grid_cell_edge(spark):
     got = {(r["src"], r["dst"]) for r in graph.near_pairs(d, d, 20.0).collect()}
     want = {(a[0], b[0]) for a, b in itertools.permutations(rows, 2) if max(a[1], b[1]) - min(a[3], b[3]) <= 20}
     assert got == want
+
+
+def test_cells_of_pairs_are_not_broadcast(spark, tmp_path):
+    lines = spark.range(3).selectExpr("id as object_id", "'a' as subtheme_key", "cast(id * 10 as double) as x1", "0.0d as y1", "cast(id * 10 + 10 as double) as x2", "0.0d as y2")
+    lines.write.parquet(f"{tmp_path}/lines")
+    stored = spark.read.parquet(f"{tmp_path}/lines")
+    for df in (graph.near_pairs(stored, stored, 1.0), graph.proximity_edges(stored)):
+        assert df.count() == 4 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
