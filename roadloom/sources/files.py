@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.shared import materialize
-from roadloom.functions.text import chainage_km, clean_text, date_year_month, normal_text, project_key
+from roadloom.functions.text import chainage_km, clean_text, date_year_month, let, normal_text, project_key
 from roadloom.sources.features import feature_texts
 
 
@@ -194,11 +194,14 @@ def wkt_parts(c: str) -> Column:
     """parts (lines, or rings of areas) of a WKT or EWKT point, line or area, also Multi*; null if the text is none of them."""
     t = F.upper(F.regexp_replace(F.trim(F.col(c), F.lit(" \"'")), r"^(?i)SRID=\d+;\s*", ""))
     body = F.regexp_extract(t, r"^(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*Z?\s*\((.*)\)$", 1)
-    rings = F.filter(F.split(body, r"\)\s*,\s*\("), lambda x: x != "")
-    vertex = lambda v: F.struct(F.split(F.trim(v), r"\s+")[0].try_cast("double").alias("x"), F.get(F.split(F.trim(v), r"\s+"), F.lit(1)).try_cast("double").alias("y"))
-    parts = F.transform(rings, lambda r: F.transform(F.split(F.regexp_replace(r, "[()]", ""), ","), vertex))
-    ok = F.forall(parts, lambda p: F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
-    return F.when((body != "") & ok, parts)
+    number = lambda x, i: F.get(x, F.lit(i)).try_cast("double")
+    vertex = lambda v: let(F.split(F.trim(v), " "), lambda x: F.struct(number(x, 0).alias("x"), number(x, 1).alias("y")))
+    part = lambda r: F.transform(F.split(F.regexp_replace(r, "[()]", ""), ","), vertex)
+    ok = lambda parts: F.forall(parts, lambda p: F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
+    # Each step is computed once, however often the next one uses it: patterns are most of the work.
+    parts = lambda b: F.when(b != "", F.transform(F.filter(F.split(b, r"\)\s*,\s*\("), lambda x: x != ""), part))
+    # Blanks are made single once a text, as a split by a pattern would read the pattern anew for every vertex.
+    return let(let(F.regexp_replace(body, r"\s+", " "), parts), lambda p: F.when(ok(p), p))
 
 
 def _within(parts: Column, x: float, y: float) -> Column:
@@ -210,7 +213,10 @@ def locate(df: DataFrame, gps: str, rd: str) -> tuple[DataFrame, DataFrame]:
 
     The GPS cell counts if it can be read and lies within the degrees of a globe; otherwise the RD cell does, if it is finite.
     """
-    d = with_columns_present(df, [gps, rd]).withColumn("_g", wkt_parts(gps)).withColumn("_r", wkt_parts(rd))
+    # Exploded, one row each: filters on plain columns would be pushed below them and read every text again.
+    both = F.struct(wkt_parts(gps).alias("_g"), wkt_parts(rd).alias("_r"))
+    d = with_columns_present(df, [gps, rd])
+    d = d.select("*", F.explode(F.array(both)).alias("_p")).select(*d.columns, "_p._g", "_p._r")
     good_g, good_r = F.coalesce(_within(F.col("_g"), 180.0, 90.0), F.lit(False)), F.coalesce(_within(F.col("_r"), 1.7e308, 1.7e308), F.lit(False))
     fault = lambda c, p, far: F.concat(F.lit(f"{c}: "), F.when(clean_text(c).isNull(), "empty").when(F.col(p).isNull(), "unreadable").otherwise(far))
     moved = F.transform("_g", lambda p: F.transform(p, lambda v: to_rd(v["x"], v["y"])))
@@ -233,5 +239,7 @@ def to_rd(lon: Column, lat: Column) -> Column:
     dphi, dlam = 0.36 * (lat - 52.15517440), 0.36 * (lon - 5.38720621)
     rx = [(0, 1, 190094.945), (1, 1, -11832.228), (2, 1, -114.221), (0, 3, -32.391), (1, 0, -0.705), (3, 1, -2.340), (1, 3, -0.608), (0, 2, -0.008), (2, 3, 0.148)]
     ry = [(1, 0, 309056.544), (0, 2, 3638.893), (2, 0, 73.077), (1, 2, -157.984), (3, 0, 59.788), (0, 1, 0.433), (2, 2, -6.439), (1, 1, -0.032), (0, 4, 0.092), (1, 4, -0.054)]
-    total = lambda base, terms: reduce(lambda a, t: a + F.lit(t[2]) * F.pow(dphi, F.lit(t[0])) * F.pow(dlam, F.lit(t[1])), terms, F.lit(float(base)))
-    return F.struct(total(155000, rx).alias("x"), total(463000, ry).alias("y"))
+    power = lambda v, n: F.lit(1.0) if n == 0 else v if n == 1 else F.pow(v, F.lit(n))
+    powers = F.struct(*[power(v, n).alias(f"{k}{n}") for k, v in (("p", dphi), ("l", dlam)) for n in range(5)])
+    total = lambda w, base, terms: reduce(lambda a, t: a + F.lit(t[2]) * w[f"p{t[0]}"] * w[f"l{t[1]}"], terms, F.lit(float(base)))
+    return let(powers, lambda w: F.struct(total(w, 155000, rx).alias("x"), total(w, 463000, ry).alias("y")))

@@ -74,6 +74,17 @@ def test_wkt_and_crs(spark):
     assert good.count() == 3 and {r["reason"] for r in bad.collect()} == {"empty geometry", "unreadable geometry"}
 
 
+def test_texts_of_geometry_are_read_once(spark):
+    rows = [(1, " 'LineString Z (1\t2 9,  3   4 9 ) '", "POINT (\t5 6)"), (2, "POINT (5 95)", "MULTIPOLYGON (((1 1, 2 1\t,2 2)) , ((3 3, 4 3, 4 4)))"), (3, "POINT (1\n2)", "POINT (1)")]
+    df = spark.createDataFrame(rows, "id int, gps string, rd string")
+    valid, lost = files.locate(df, "gps", "rd")
+    for d in (valid, lost):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+    got = {r["id"]: (r["geometry_column"], r["parts"]) for r in valid.collect()}
+    assert got[1][0] == "gps" and len(got[1][1][0]) == 2 and got[2] == ("rd", [[(1, 1), (2, 1), (2, 2)], [(3, 3), (4, 3), (4, 4)]])
+    assert [(r["id"], r["reason"]) for r in lost.collect()] == [(3, "gps: unreadable; rd: unreadable")]
+
+
 def test_exports(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", "N1"), (2, "é", "N2")], "object_id int, layer string, road string")
     changes.write_export(d.coalesce(1), str(tmp_path / "x"), {"object_id": "nummer"})
