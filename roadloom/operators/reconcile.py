@@ -90,7 +90,7 @@ def _side_kinds() -> dict[str, Column]:
     want, have = road_in("project_key"), road_in("object_key")
     return {
         "only_in_asset": ~F.col("in_maint"), "only_in_maintenance": ~F.col("in_asset"),
-        "suspicious_road": F.col("in_maint") & (want != "") & (have != "") & (want != have),
+        "suspicious_road": F.col("in_maint") & (want != have) & (want != "") & (have != ""),
     }
 
 
@@ -351,8 +351,9 @@ def control_point_details(asset: DataFrame, maint: DataFrame, diffs: DataFrame)
         d = df.where("project_key <> ''").select("project_key", "object_key", *[F.col(c).alias(f"{name}_{c}") for c in cols])
         return d.withColumn("row_no", F.row_number().over(w.orderBy(*[f"{name}_{c}" for c in cols])))
 
-    open_ = materialize(diffs.select("project_key").distinct(), "detail-projects")
-    kinds = diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences"))
+    # Stored, as both the projects and the objects are taken from it: the differences themselves are computed once.
+    kinds = materialize(diffs.groupBy("project_key", "object_key").agg(F.array_join(F.array_sort(F.collect_set("difference")), ", ").alias("differences")), "detail-kinds")
+    open_ = kinds.select("project_key").distinct()
     a = side(keyed_assets(asset), ["object_no", "chainage"], "asset").join(open_, "project_key", "left_semi")
     m = side(keyed_maintenance(maint), ["object_no", "measure", "amount", "price"], "maint").join(open_, "project_key", "left_semi")
     return a.join(m, ["project_key", "object_key", "row_no"], "full_outer").join(kinds, ["project_key", "object_key"], "left").withColumn("differences", F.coalesce("differences", F.lit("")))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import changes, components, graph, intervals, segment
+from roadloom.operators import changes, components, graph, intervals, reconcile, segment
 
 
 def test_components_with_a_hub_and_a_chain(spark):
@@ -57,3 +57,20 @@ def test_entry_imports_without_llm():
     import __spark_entry__ as e
 
     assert "reconcile_projects" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_details_compute_the_differences_once(spark):
+    a = spark.createDataFrame([("P", "1", "O1", "0,1"), ("P", "2", "O2", "0,2"), ("Q", "3", "O3", "0,3")], "project_key string, object_no string, object_key string, chainage string").withColumn("km", F.lit(0.1))
+    m = spark.createDataFrame([("P", "1", "O1", "M", 1.0, 1.0), ("P", "1", "O1", "N", 1.0, 1.0), ("Q", "3", "O3", "M", 1.0, 1.0)], "project_key string, object_no string, object_key string, measure string, amount double, price double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    diffs = spark.createDataFrame([("P", "O2", "only_in_asset")], "project_key string, object_key string, difference string")
+    got = reconcile.control_point_details(a, m, diffs.mapInArrow(count, diffs.schema)).collect()
+    assert sorted((r["object_key"], r["row_no"], r["maint_measure"], r["differences"]) for r in got if r["object_key"] == "O1") == [("O1", 1, "M", ""), ("O1", 2, "N", "")]
+    assert [(r["row_no"], r["maint_measure"], r["differences"]) for r in got if r["object_key"] == "O2"] == [(1, None, "only_in_asset")] and len(got) == 3
+    assert seen.value == 1
