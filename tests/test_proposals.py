@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from roadloom.operators import diagnostics, proposals
+from roadloom.operators import diagnostics, proposals, references
 
 
 def test_reference_axis_drops_near_points_and_lone_roads(spark):
@@ -37,3 +38,24 @@ def test_comparison_covers_every_verdict_and_empty_input(spark):
 def test_axis_choice_weighs_objects_over_length(spark, objects, axis):
     c = spark.createDataFrame([("p", "near", 100.0, 110.0, True, 0), ("p", "far", 100.0, 900.0, True, objects), ("p", "out", 100.0, 100.0, False, 25)], "project string, axis_id string, length_m double, axis_length_m double, in_range boolean, objects long")
     assert diagnostics.choose_axis(c, "project").first()["axis_id"] == axis
+
+
+def test_objects_of_touched_projects_come_whole_and_in_tiles(spark):
+    c = spark.createDataFrame([("p1", "A - b"), ("p1", "a-B"), ("p1", "C"), ("p2", "A-B"), ("p3", ""), ("p4", None), ("p5", "gone")], "proposal_id string, existing string")
+    a = [(i, "a-b") for i in range(7)] + [(6, "A-B"), (None, "A-B"), (8, "c"), (9, ""), (10, None), (11, "alone")]
+    assets = spark.createDataFrame(a, "object_id long, project string")
+    want = sorted([(p, o) for o in (*range(7), 6, None) for p in ("p1", "p2")] + [("p1", 8)], key=str)
+    for size in ({}, {"names_each": 1, "tile": 3}):
+        got = references.proposal_project_objects(c, assets, **size)
+        assert got.columns == ["object_id", "project", "proposal_id"]
+        assert sorted([(r["proposal_id"], r["object_id"]) for r in got.collect()], key=str) == want
+    assert references.proposal_project_objects(c.limit(0), assets).count() == 0
+
+
+def test_pairs_of_a_large_project_take_little_room_on_disk(spark, tmp_path):
+    many, objects = 2999, 333
+    c = spark.range(2 * many).select(F.concat(F.lit("N350-HRB-"), "id").alias("proposal_id"), F.concat(F.lit("N350-HRB-10.0-1"), F.col("id") % 2).alias("existing"))
+    a = spark.range(2 * objects).select((F.col("id") * 9 + 1000000).alias("object_id"), F.concat(F.lit("N350-HRB-10.0-1"), F.col("id") % 2).alias("project"))
+    references.proposal_project_objects(c, a).select("proposal_id", "object_id").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 2 * many * objects
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.25 * 2 * many * objects
