@@ -177,6 +177,13 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bonus(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def _names_alike(gone: DataFrame, have: DataFrame, ratio: float) -> DataFrame:
+    """Pairs of one road and category whose names may reach that sequence matcher ratio: it leaves a share of 1 - ratio of both names'
+    characters unmatched at most, so no more edits than those part them."""
+    edits = f"levenshtein(missing, candidate, cast(floor({1 - ratio:.2f}D * (length(missing) + length(candidate)) + 1e-9) as int)) >= 0"
+    return gone.where("c1 <> ''").join(have.withColumn("c1", F.col("c2")), ["road", "c1"]).where(edits)
+
+
 def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 65, most: int = 3, bucket: float = 1.0, near_km: float = 1.0) -> DataFrame:
     """(missing, candidate, score, place, objects, evidence): up to `most` maintenance projects of the same road that may stand for a
     project missing in maintenance.
@@ -186,8 +193,8 @@ def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 6
     the first up to 60; a similar name 4 or 8. Of equal scores more objects win, then more overlap, the smaller gap and the
     larger name. A project of another family counts only with moved objects.
 
-    Pairs come from two joins by equality: moved objects of one road, and stretches of road that both touch. Without
-    moved objects nothing beyond near_km can reach 64 but a name that is all but equal, and such names share an end.
+    Pairs come from three joins by equality: moved objects of one road, stretches of road that both touch, and names of one road and
+    category that are all but equal, at any distance. Nothing else can reach 64.
     """
     if least < 64:
         raise ValueError("pairs that score below 64 are not all looked at")
@@ -201,10 +208,12 @@ def replacement_candidates(compared: DataFrame, diffs: DataFrame, least: int = 6
     have = base.where("status <> 'MISSING_IN_MAINTENANCE'").select(F.col("project_key").alias("candidate"), "road", F.col("category").alias("c2"), F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     moved = moved_objects(diffs).join(gone, "missing").join(have, ["candidate", "road"])
     # Ranges enter every bucket that they touch when widened by half the distance that still counts, so no road is a join key.
-    cells = lambda s, e: F.sequence(F.floor((F.least(s, e) - near_km / 2 - 0.01) / bucket), F.floor((F.greatest(s, e) + near_km / 2 + 0.01) / bucket))
+    half = max(near_km, 0.2) / 2 + 0.01
+    cells = lambda s, e: F.sequence(F.floor((F.least(s, e) - half) / bucket), F.floor((F.greatest(s, e) + half) / bucket))
     g = gone.withColumn("b", F.explode(F.array_distinct(F.flatten(F.transform("rs", lambda x: cells(x["s"], x["e"]))))))
     h = have.where("s2 is not null and e2 is not null").withColumn("b", F.explode(cells(F.col("s2"), F.col("e2"))))
-    alike = g.join(h, ["road", "b"]).drop("b").where("f1 = f2 or c1 = '' or c2 = ''").dropDuplicates(["missing", "candidate"])
+    near = g.join(h, ["road", "b"]).drop("b").where("f1 = f2 or c1 = '' or c2 = ''")
+    alike = near.unionByName(_names_alike(gone, have, 0.92 if least > 64 else 0.85)).dropDuplicates(["missing", "candidate"])
     alike = alike.join(moved.select("missing", "candidate"), ["missing", "candidate"], "left_anti").withColumn("objects", F.lit(0).cast("long"))
     pairs = moved.unionByName(alike)
 

@@ -20,3 +20,21 @@ def test_chainages_of_objects_count_as_a_range(spark):
     compared = spark.createDataFrame(rows, "project_key string, status string, hm_min double, hm_max double")
     got = reconcile.replacement_candidates(compared, spark.createDataFrame([], "project_key string, object_key string, difference string")).collect()
     assert [(r["candidate"], r["evidence"], r["place"]) for r in sorted(got, key=lambda r: r["place"])] == [("N350-HRB-08.0-09.0", "overlapping range", 1), ("N350-HRB-09.5-09.9", "range nearby", 2)]
+
+
+def test_names_all_but_equal_count_at_any_distance(spark):
+    gone, names = "N350-HRB-2.3-4.5", ["N350-HRB-12.3-14.5", "N350-HRB-32.3-34.5", "N350-HRB-62.3-84.5", "N350-HRB-12.34-14.5", "N350-PWR-12.3-14.5", "N350-HRBR-12.3-14.5", "N351-HRB-12.3-14.5"]
+    compared = spark.createDataFrame([(gone, GONE)] + [(n, HERE) for n in names], "project_key string, status string")
+    none = spark.createDataFrame([], "project_key string, object_key string, difference string")
+    got = reconcile.replacement_candidates(compared, none, most=9).collect()
+    # Road 35, category 25, name 8: no range is within 1 km.
+    assert {(r["candidate"], r["score"], r["evidence"]) for r in got} == {(n, 68, "name") for n in names[:3]}
+    # With 64 for the least, names that are less alike (4) count too.
+    assert {(r["candidate"], r["score"]) for r in reconcile.replacement_candidates(compared, none, least=64, most=9).collect()} == {(n, 68) for n in names[:3]} | {(names[3], 64)}
+
+
+def test_gaps_up_to_a_fifth_count_however_near_near_is(spark):
+    compared = spark.createDataFrame([("N350-HRB-01.9-01.9", GONE), ("N350-HRBR-02.1-03.8", HERE)], "project_key string, status string")
+    none = spark.createDataFrame([], "project_key string, object_key string, difference string")
+    got = reconcile.replacement_candidates(compared, none, near_km=0.05, bucket=0.01).collect()
+    assert [(r["candidate"], r["score"], r["evidence"]) for r in got] == [("N350-HRBR-02.1-03.8", 35 + 15 + 18, "adjoining range")]
