@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.shared import materialize
 from roadloom.operators import advice, axis_advice as on_axis, boundaries
-from roadloom.plans.boundaries import BOUND, MIDDLES, OBJECTS, RANGES, REF, VERTICES, _ranges
+from roadloom.plans.boundaries import BOUND, OBJECTS, RANGES, REF, _ranges, _shapes
 from roadloom.plans.fixtures import fixture, oracle
 from roadloom.plans.previews import ORACLE_SQL, QUERIES
 from roadloom.plans.proposals import ZONES
@@ -83,7 +83,7 @@ DIAGNOSIS = BOUND + REF.removeprefix(RANGES).replace("object_id in (select objec
 def axis_diagnosis(spark, d):
     objects = fixture(spark, d, OBJECTS.replace('"primary"', "`primary`"))
     axes = fixture(spark, d, "select distinct axis_id, axis_id as road from fx_vertex")
-    t = boundaries.axis_diagnosis(objects, fixture(spark, d, VERTICES), fixture(spark, d, MIDDLES), _segments(spark, d), _anchors(spark, d), axes, fixture(spark, d, ZONES))
+    t = boundaries.axis_diagnosis(objects, *_shapes(spark, d), _segments(spark, d), _anchors(spark, d), axes, fixture(spark, d, ZONES))
     b = t["boundaries"].select("project", "axis_id", "boundary_status", "boundary_warning")
     s = t["summary"].select("project", F.col("objects").alias("reference_objects"), "usable")
     return b.join(t["extents"].select("project", "axis_id", "objects_on_axis"), ["project", "axis_id"]).join(s, "project", "left")

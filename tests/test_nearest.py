@@ -85,3 +85,21 @@ def test_cells_of_later_rounds_are_not_broadcast(spark, monkeypatch):
     segments = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double")
     assert {r["point_id"]: r["distance_m"] for r in nearest.nearest_segment(points, segments, ["axis_id"]).collect()} == {1: 1.0, 2: 120.0}
     assert len(plans) == 2 and all("Broadcast" not in p for p in plans)
+
+
+def test_vertices_at_one_place_count_several_times(spark):
+    seg = spark.createDataFrame([("A", 0.0, 0.0, 1000.0, 0.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double, from_m double")
+    v = spark.createDataFrame([(1, x, 1.0) for x in (100.0, 100.0, 100.0, 400.0, 900.0)] + [(2, 5.0, 300.0), (2, 5.0, 300.0), (2, 6.0, 2.0), (2, None, 2.0)], "object_id long, x double, y double")
+    middles = spark.createDataFrame([(1, 400.0, 1.0), (2, 5.0, 2.0), (2, 5.0, 200.0), (3, 5.0, 2.0)], "object_id long, x double, y double")
+    got = sorted(tuple(r) for r in boundaries.geometry_ranges(v, middles, seg).collect())
+    assert got == [(1, "A", 100.0, 100.0, 900.0, 1.0), (2, "A", 5.0, 5.0, 6.0, 2.0)]
+
+
+def test_first_round_shuffles_points_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(nearest, "materialize", lambda df, name, keep=nearest.materialize: (kept.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    points = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 2.0)], "point_id long, x double, y double")
+    segments = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0)], "axis_id string, x1 double, y1 double, x2 double, y2 double")
+    assert nearest.nearest_segment(points, segments, ["axis_id"], carry=[]).count() == 2
+    # One exchange of the points and one of the cells; points that look again are read from what the round stored.
+    assert [p.count("Exchange hashpartitioning") for n, p in kept if n == "nearest-round"] == [2] and all("Exchange" not in p for n, p in kept if n != "nearest-round")
