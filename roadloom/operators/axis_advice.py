@@ -12,26 +12,29 @@ from roadloom.operators import segment
 from roadloom.operators.advice import proposal_statuses
 from roadloom.operators.boundaries import interval_at
 from roadloom.operators.linear import interpolate
-from roadloom.operators.proposals import compare_proposals, terminal_attention
+from roadloom.operators.proposals import proposal_verdicts, terminal_attention
 from roadloom.operators.scans import BLOCK, along, deal
 
 
-def axis_runs(objects: DataFrame, ranges: DataFrame, profile: list[str], gap_m: float = 5.0, axis: str = "axis_id") -> tuple[DataFrame, DataFrame]:
-    """(members, runs) of the objects (object_id, road, track, project, contract, profile ..) that have a range (object_id, axis, route_from,
-    route_to): members are the objects with their run, short local deviations counted to the run around them (their own one is
-    run0); runs has one row a run (axis, track, run) with the road, extent, objects, gap_before and the profile."""
+def axis_runs(objects: DataFrame, ranges: DataFrame, profile: list[str], gap_m: float = 5.0, axis: str = "axis_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, runs, single, part) of the objects (object_id, road, track, project, contract, profile ..) that have a range (object_id, axis,
+    route_from, route_to): members are the objects without profile with their run, short local deviations counted to the run around them (their own one
+    is run0); runs has one row a run (axis, track, run) with the road, extent, objects, gap_before and the profile; single has the runs
+    before deviations are absorbed, part (axis, track, run, part_of) the run that each of them belongs to."""
     keys = [axis, "track"]
-    o = objects.drop(axis, "start_m", "end_m").join(ranges.where(F.col(axis).isNotNull()).select("object_id", axis, F.col("route_from").alias("start_m"), F.col("route_to").alias("end_m")), "object_id")
-    cut = materialize(segment.technical_runs(o.where("track <> ''"), keys, profile, gap_m), "axis-runs")
+    # Stored with the columns needed: the runs count it by key before they sort it.
+    o = objects.where("track <> ''").select("object_id", "road", "track", "project", "contract", *profile)
+    o = materialize(o.join(ranges.where(F.col(axis).isNotNull()).select("object_id", axis, F.col("route_from").alias("start_m"), F.col("route_to").alias("end_m")), "object_id"), "axis-objects")
+    cut = materialize(segment.technical_runs(o, keys, profile, gap_m), "axis-runs")
     single = materialize(segment.summarise_runs(cut, keys, profile), "axis-single-runs")
     part = materialize(segment.absorb_deviations(single, keys, profile), "axis-absorbed")
-    members = materialize(cut.withColumnRenamed("run", "run0").join(part.select(*keys, F.col("run").alias("run0"), F.col("part_of").alias("run")), [*keys, "run0"]), "axis-members")
+    members = materialize(cut.drop("gap_before", *profile).withColumnRenamed("run", "run0").join(part.select(*keys, F.col("run").alias("run0"), F.col("part_of").alias("run")), [*keys, "run0"]), "axis-members")
     own = F.col("run") == F.col("part_of")
     whole = single.join(part, [*keys, "run"]).groupBy(*keys, "part_of").agg(
         F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"), F.sum("objects").alias("objects"), F.bool_or(own & F.col("gap_before")).alias("gap_before"), *[F.max(F.when(own, F.col(c))).alias(c) for c in profile],
     ).withColumnRenamed("part_of", "run")
     road = members.groupBy(*keys, "run").agg(F.min("road").alias("road"))
-    return members, materialize(whole.join(road, [*keys, "run"]), "axis-whole-runs")
+    return members, materialize(whole.join(road, [*keys, "run"]), "axis-whole-runs"), single, part
 
 
 def axis_ends(runs: DataFrame, anchors: DataFrame, axis: str = "axis_id") -> DataFrame:
@@ -39,10 +42,8 @@ def axis_ends(runs: DataFrame, anchors: DataFrame, axis: str = "axis_id") -> Dat
     the calibrated part, the deviation of the post intervals that they lie in which is larger either way (of equal ones the longer interval's), and what there is to say of these."""
     keys = [axis, "track", "run"]
     ends = runs.select(*keys, F.explode(F.array(F.struct(F.lit("start").alias("end"), F.col("start_m").alias("route_m")), F.struct(F.lit("end").alias("end"), F.col("end_m").alias("route_m")))).alias("e")).select(*keys, "e.*")
-    ends = materialize(ends, "axis-ends")
-    km = interpolate(ends, anchors.select(axis, "route_m", "hm_km"), axis, "route_m", "hm_km").select(*keys, "end", "hm_km", "in_range")
-    at = interval_at(ends, anchors, axis).withColumn("_d", F.col("interval_m") - F.col("expected_m"))
-    j = km.join(at.select(*keys, "end", "_d", "diagnosis"), [*keys, "end"], "left")
+    km = interpolate(ends, anchors.select(axis, "route_m", "hm_km"), axis, "route_m", "hm_km")
+    j = interval_at(km, anchors, axis).withColumn("_d", F.col("interval_m") - F.col("expected_m")).select(*keys, "end", "hm_km", "in_range", "_d", "diagnosis")
     of = lambda e, c: F.max(F.when(F.col("end") == e, F.col(c)))
     g = j.groupBy(*keys).agg(of("start", "hm_km").alias("start_km"), of("end", "hm_km").alias("end_km"), F.bool_and(F.coalesce("in_range", F.lit(False))).alias("in_range"), F.max_by("_d", F.struct(F.round(F.abs("_d"), 6), "_d")).alias("deviation_m"), of("start", "diagnosis").alias("_s"), of("end", "diagnosis").alias("_e"))
     said = F.filter(F.array(F.when(F.col("_s") != "", F.concat(F.lit("begin: "), "_s")), F.when(F.col("_e") != "", F.concat(F.lit("end: "), "_e"))), lambda x: x.isNotNull())
@@ -60,21 +61,23 @@ def axis_advice(objects: DataFrame, ranges: DataFrame, anchors: DataFrame, profi
     have no kilometres; their proposals are out of range and have no name.
     """
     keys = [axis, "track", "run"]
-    members, runs = axis_runs(objects, ranges, profile, gap_m, axis)
+    members, runs, single, part = axis_runs(objects, ranges, profile, gap_m, axis)
     ends = axis_ends(runs, anchors, axis)
     low, high = F.least("start_km", "end_km"), F.greatest("start_km", "end_km")
-    p = runs.join(ends, keys, "left").withColumns({"name_from": tenth_up(low), "name_to": tenth_up(high), "in_range": F.coalesce("in_range", F.lit(False)), "length_m": F.col("end_m") - F.col("start_m")})
+    # Names and numbers that follow from other columns are left out of what is stored and shuffled, and added where they are read.
+    bare = materialize(runs.join(ends, keys, "left"), "axis-proposals")
     named = F.concat(F.col("road"), F.lit("-"), F.col("track"), F.lit("-"), hm_label("name_from"), F.lit("-"), hm_label("name_to"))
-    p = materialize(p.withColumns({"proposal_id": F.concat_ws("-", axis, "track", F.col("run").cast("string")), "proposed": F.coalesce(named, F.lit(""))}), "axis-proposals")
 
-    told = compare_proposals(p, members.select(F.concat_ws("-", axis, "track", F.col("run").cast("string")).alias("proposal_id"), F.col("project").alias("existing")))
-    told = told.where("level = 'proposal'").select(F.col("name").alias("proposal_id"), F.when(F.col("difference") != "no existing project", F.col("status")).alias("comparison"))
+    def full(d: DataFrame) -> DataFrame:
+        d = d.withColumns({"name_from": tenth_up(low), "name_to": tenth_up(high), "in_range": F.coalesce("in_range", F.lit(False)), "length_m": F.col("end_m") - F.col("start_m")})
+        return d.withColumns({"proposal_id": F.concat_ws("-", axis, "track", F.col("run").cast("string")), "proposed": F.coalesce(named, F.lit(""))})
+
+    told = proposal_verdicts(full(bare), members.select(*keys, F.col("project").alias("existing")), keys)
+    told = told.select(*keys, F.when(F.col("difference") != "no existing project", F.col("status")).alias("comparison"))
     cuts = segment.transitions(runs, keys[:2], profile).select(*keys, F.when(F.startswith("reason", F.lit("check")), "check").alias("own_status"))
     lacks = segment.contract_signals(members, keys).groupBy(*keys).agg(F.count("*").alias("_c"))
-    single = members.groupBy(*keys[:2], F.col("run0").alias("run")).agg(*[F.first(F.coalesce(c, F.lit(""))).alias(c) for c in profile])
-    part = members.select(*keys[:2], F.col("run0").alias("run"), F.col("run").alias("part_of")).distinct()
     local = segment.local_deviations(single, part, keys[:2], profile).where("kind = 'missing values'").groupBy(*keys[:2], F.col("part_of").alias("run")).agg(F.count("*").alias("_l"))
-    d = p.join(told, "proposal_id", "left").join(cuts, keys, "left").join(lacks, keys, "left").join(local, keys, "left")
+    d = full(bare.join(told, keys, "left").join(cuts, keys, "left").join(lacks, keys, "left").join(local, keys, "left"))
     d = d.withColumn("data_signals", F.coalesce("_c", F.lit(0)) + F.coalesce("_l", F.lit(0))).drop("_c", "_l")
     d = terminal_attention(d.withColumn("_bad", ~F.col("in_range") | F.coalesce(F.abs("deviation_m") >= 15.0, F.lit(False))), "_bad", "name_to").drop("_bad")
     return proposal_statuses(materialize(d, "axis-signals"))

@@ -29,6 +29,26 @@ def _verdict(kinds: Column, same: Column, several: str) -> Column:
     return F.when(kinds == 0, "no existing project").when(kinds > 1, several).when(same, "match").otherwise("name differs")
 
 
+def _status(difference: str = "difference") -> Column:
+    d = F.col(difference)
+    return F.when(d == "match", "ok").when(d.isin("splits over proposals", "joins projects"), "check").otherwise("attention")
+
+
+def proposal_verdicts(proposals: DataFrame, assigned: DataFrame, by: list[str]) -> DataFrame:
+    """(by .., difference, objects, status), once per proposal (by .., proposed): compare_proposals for proposals that are told apart by
+    `by`. assigned: (by .., existing). Proposals and objects are shuffled once, by `by`."""
+    own = assigned.select(*by, F.coalesce("existing", F.lit("")).alias("existing")).repartition(*by)
+    pairs = own.groupBy(*by, "existing").agg(F.count("*").alias("n"))
+    return _per_proposal(proposals.select(*by, "proposed"), pairs, by).withColumn("status", _status())
+
+
+def _per_proposal(proposals: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    filled = F.when(F.col("existing") != "", 1)
+    new = proposals.join(pairs, by, "left").groupBy(*by).agg(
+        F.count(filled).alias("k"), F.coalesce(F.bool_or((F.col("existing") != "") & (F.col("existing") == F.col("proposed"))), F.lit(False)).alias("same"), F.coalesce(F.sum("n"), F.lit(0)).alias("objects"))
+    return new.select(*by, _verdict(F.col("k"), F.col("same"), "joins projects").alias("difference"), "objects")
+
+
 def compare_proposals(proposals: DataFrame, assigned: DataFrame) -> DataFrame:
     """(level, name, difference, status, objects), once per existing project and once per proposal.
 
@@ -39,12 +59,9 @@ def compare_proposals(proposals: DataFrame, assigned: DataFrame) -> DataFrame:
     named = pairs.join(proposals.select("proposal_id", "proposed"), "proposal_id")
     old = named.where("existing <> ''").groupBy("existing").agg(F.count("*").alias("k"), F.bool_and(F.col("proposed") == F.col("existing")).alias("same"), F.sum("n").alias("objects"))
     per_old = old.select(F.lit("project").alias("level"), F.col("existing").alias("name"), _verdict(F.col("k"), F.col("same"), "splits over proposals").alias("difference"), "objects")
-    filled = F.when(F.col("existing") != "", 1)
-    new = proposals.select("proposal_id", "proposed").join(pairs, "proposal_id", "left").groupBy("proposal_id").agg(
-        F.count(filled).alias("k"), F.coalesce(F.bool_or((F.col("existing") != "") & (F.col("existing") == F.col("proposed"))), F.lit(False)).alias("same"), F.coalesce(F.sum("n"), F.lit(0)).alias("objects"))
-    per_new = new.select(F.lit("proposal").alias("level"), F.col("proposal_id").alias("name"), _verdict(F.col("k"), F.col("same"), "joins projects").alias("difference"), "objects")
-    status = F.when(F.col("difference") == "match", "ok").when(F.col("difference").isin("splits over proposals", "joins projects"), "check").otherwise("attention")
-    return per_old.unionByName(per_new).withColumn("status", status)
+    new = _per_proposal(proposals.select("proposal_id", "proposed"), pairs, ["proposal_id"])
+    per_new = new.select(F.lit("proposal").alias("level"), F.col("proposal_id").alias("name"), "difference", "objects")
+    return per_old.unionByName(per_new).withColumn("status", _status())
 
 
 def cut_reasons(transitions: DataFrame, keys: list[str], kind: str = "track") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadloom.functions.shared import materialize
 from roadloom.operators import advice, axis_advice as on_axis, boundaries
 from roadloom.plans.boundaries import BOUND, OBJECTS, RANGES, REF, _ranges, _shapes
 from roadloom.plans.fixtures import fixture, oracle
@@ -42,8 +41,7 @@ wl as (select *, case when cat = 'outside' then 'outside calibrated range' when
 
 
 def _advice(spark, d):
-    ranges = materialize(_ranges(spark, d), "advice-ranges")
-    return on_axis.axis_advice(asset(spark, d), ranges, _anchors(spark, d), PROFILE)
+    return on_axis.axis_advice(asset(spark, d), _ranges(spark, d), _anchors(spark, d), PROFILE)
 
 
 @query(oracle("select proposal_id, proposed, n as objects, cast(round(s * 10) as bigint) as from_dm, cast(round(e * 10) as bigint) as to_dm, cast(round(dev * 10) as bigint) as deviation_dm, inr as in_range, comparison, cat as category, cast(data_signals as bigint) as data_signals, data_status, boundary_status, terminal, advice, final from st", ON_AXIS))
