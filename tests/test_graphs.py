@@ -189,3 +189,14 @@ def test_cells_of_pairs_are_not_broadcast(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/lines")
     for df in (graph.near_pairs(stored, stored, 1.0), graph.proximity_edges(stored)):
         assert df.count() == 4 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_are_compiled_and_judged_once(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, "a"), (2, 10.2, 0.0, 20.0, 0.0, "a"), (3, 5.0, 0.3, 6.0, 9.0, "b"), (4, 5.0, 60.0, 6.0, 90.0, "b")], "object_id long, x1 double, y1 double, x2 double, y2 double, subtheme_key string")
+    edges = graph.proximity_edges(lines)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2, "longitudinal"), (2, 1, "longitudinal"), (1, 3, "lateral"), (3, 1, "lateral")}
+    for df, joins in ((edges, 1), (graph.near_pairs(lines, lines, 0.5), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("SortMergeJoin") == joins and "namedlambda" not in plan and "lambdafunction" not in plan
+        # The distance is a column of its own; the filter reads it instead of repeating how it is made.
+        assert any("Filter" in line and "distance_m" in line and "HYPOT" not in line.upper() for line in plan.splitlines())
