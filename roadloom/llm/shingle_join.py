@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.shared import materialize
+from roadloom.functions.shared import forget, materialize
 from roadloom.llm.words import bound_batches, lean, split_texts, text_blocks
 from roadloom.operators.components import connected_components
 
@@ -280,7 +280,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text
     both = one.join(made.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
     i, u = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
     # Stored ahead of distinct, so that Spark may split the join's hot keys.
-    return materialize(both.where((100 + pct) * i >= pct * u).select("a", "b"), "join-linked").distinct()
+    linked = materialize(both.where((100 + pct) * i >= pct * u).select("a", "b"), "join-linked")
+    forget(pairs, made)
+    return linked.distinct()
 
 
 def list_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -309,7 +311,10 @@ def _described(docs: DataFrame, key: str, text: str, size: int, pct: int) -> tup
     sketch = count_sketch(docs, text, size)
     rows = materialize(describe_sets(docs, key, text, size, pct, sketch), "join-docs")
     reps = rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "score", "scan", "prefix", "small", "last_level")])
-    return rows, materialize(reps, "join-reps")
+    reps = materialize(reps, "join-reps")
+    few = materialize(rows.select("key", "sid", "n"), "join-keys")
+    forget(rows)  # the prefixes are in reps, once a set
+    return few, reps
 
 
 def shingle_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, pct: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -352,17 +357,21 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     hubs = entries.groupBy("token").agg(F.max(F.struct("score", "sid", "n", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
     hubs = materialize(hubs, "join-hubs")  # as plain tables, both sides of the next join can be split at hot tokens
     lists = materialize(entries.join(hubs, "token").select("token", "sid", "n", "pos", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos")), "join-lists")
+    forget(entries, hubs)
 
     star = materialize(lists.where(F.expr("sid <> hub and " + _fits(pct, "n", "hub_n", "pos", "hub_pos"))).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct(), "join-star")
     edges = materialize(light.union(confirmed(star, reps, docs, key, text, size, pct).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "join-edges")
+    forget(light, star)
     comp = materialize(connected_components(edges), "join-classes")
 
     # Members of one list that are still in different classes.
     of = lists.select("token", "sid", "n", "pos").join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of = materialize(of, "join-of")
+    forget(lists, comp)
     open_ = materialize(of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"), "join-open")
     cross = list_pairs(of.join(open_, "token", "left_semi")).where(F.expr("component <> component2 and " + _fits(pct, "n", "n2", "pos", "pos2")))
     cross = materialize(cross.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct(), "join-cross")
+    forget(of, open_)
     more = confirmed(cross, reps, docs, key, text, size, pct).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     ids = reps.select("sid", "rep")
